@@ -25,6 +25,18 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_overlap
+
+    return benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_forest import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard_tree import shard_documents
 
@@ -33,7 +45,37 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_piece_encoding": op4_piece_encoding,
+    "op7_benchmark_overlap": op7_benchmark_overlap,
+    "op8_jaccard_forest": op8_jaccard_forest,
     "op10_shard_tree": op10_shard_tree,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of a text as the contract of operator 7 has them; \\x escapes are RE2's.
+FOLDED = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLES: dict[str, str] = {
+    "op7_benchmark_overlap": f"""
+WITH d AS (SELECT doc_id, {FOLDED} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {FOLDED} AS w FROM benchmark),
+iw AS (
+    SELECT DISTINCT item, wide, array_to_string(w[s + 1:s + wide], ' ') AS words
+    FROM (SELECT item, w, least(13, len(w)) AS wide, unnest(range(len(w) - least(13, len(w)) + 1)) AS s FROM i WHERE len(w) > 0)
+),
+dw AS (
+    SELECT doc_id, s, wide, array_to_string(w[s + 1:s + wide], ' ') AS words
+    FROM (SELECT doc_id, w, wide, unnest(range(len(w) - wide + 1)) AS s
+          FROM d, (SELECT DISTINCT wide FROM iw) WHERE len(w) >= wide)
+),
+h AS (SELECT dw.doc_id, dw.s, dw.wide, iw.item FROM dw JOIN iw USING (wide, words)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + wide)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(it.n, 0) AS BIGINT) AS n_items, sha256(coalesce(it.items, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+}
