@@ -19,12 +19,24 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_quality_rules
+
+    return apply_quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_encoding import piece_digests
 
     return piece_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import benchmark_overlap
 
@@ -44,7 +56,9 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_adaptive_rules": op3_adaptive_rules,
     "op4_piece_encoding": op4_piece_encoding,
+    "op5_language_backoff": op5_language_backoff,
     "op7_benchmark_overlap": op7_benchmark_overlap,
     "op8_jaccard_forest": op8_jaccard_forest,
     "op10_shard_tree": op10_shard_tree,
