@@ -19,6 +19,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op3_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_quality_rules
 
@@ -56,6 +62,7 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_weak_quality": op2_weak_quality,
     "op3_adaptive_rules": op3_adaptive_rules,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_language_backoff": op5_language_backoff,
