@@ -19,6 +19,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weak_quality import classify_quality
 
@@ -62,6 +68,7 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_trie_tokens": op1_trie_tokens,
     "op2_weak_quality": op2_weak_quality,
     "op3_adaptive_rules": op3_adaptive_rules,
     "op4_piece_encoding": op4_piece_encoding,
