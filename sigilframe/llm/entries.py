@@ -49,6 +49,12 @@ def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_tree import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import benchmark_overlap
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op3_adaptive_rules": op3_adaptive_rules,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_language_backoff": op5_language_backoff,
+    "op6_site_tree": op6_site_tree,
     "op7_benchmark_overlap": op7_benchmark_overlap,
     "op8_jaccard_forest": op8_jaccard_forest,
     "op10_shard_tree": op10_shard_tree,
