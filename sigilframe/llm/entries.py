@@ -67,6 +67,12 @@ def op8_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard_tree import shard_documents
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op6_site_tree": op6_site_tree,
     "op7_benchmark_overlap": op7_benchmark_overlap,
     "op8_jaccard_forest": op8_jaccard_forest,
+    "op9_licence_scan": op9_licence_scan,
     "op10_shard_tree": op10_shard_tree,
 }
 
