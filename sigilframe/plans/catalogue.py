@@ -1,4 +1,6 @@
 """The queries over the reference's operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import dataset_queries
+
+QUERIES = {**dataset_queries.QUERIES}
+ORACLES = {**dataset_queries.ORACLES}
