@@ -220,7 +220,8 @@ def unreachable(patterns: DataFrame) -> DataFrame:
     outer = patterns.select(F.col("name"), F.col("signs").alias("o"), F.col("place").alias("po"))
     inner = patterns.select(F.col("name").alias("blocked_by"), F.col("signs").alias("i"), F.col("place").alias("pi"))
     n = F.size("i")
-    ends = F.filter(F.sequence(n, F.size("o") - 1), lambda k: F.slice("o", k - n + 1, n) == F.col("i"))
+    places = F.sequence(n, F.greatest(n, F.size("o") - 1))
+    ends = F.filter(places, lambda k: (k < F.size("o")) & (F.slice("o", F.greatest(F.lit(1), k - n + 1), n) == F.col("i")))
     met = outer.join(F.broadcast(inner), (F.size("i") < F.size("o")) & (F.size("i") > 0)).withColumn("at", F.array_min(ends))
     first = met.filter(F.col("at").isNotNull()).groupBy("name", "po").agg(F.min(F.struct("pi", "blocked_by", "at")).alias("m"))
     return first.select("name", "m.blocked_by", "m.at")
