@@ -40,7 +40,8 @@ def effect_table(spark: SparkSession) -> DataFrame:
 
 def envelope(age: Column, duration: Column, fade: Column, rise: Column | float = 0.0) -> Column:
     """0 outside [0, duration], a linear rise and fade, 1 between. Without a rise it starts at 1."""
-    up = age / rise if isinstance(rise, Column) else age / (rise or 1.0)
+    rise = rise if isinstance(rise, Column) else F.lit(float(rise))
+    up = age / F.nullif(rise, F.lit(0.0))
     return (
         F.when((age < 0) | (age > duration), 0.0)
         .when(age < rise, up)

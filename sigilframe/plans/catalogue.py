@@ -1,6 +1,6 @@
 """The queries over the reference's operators, and their SQL."""
 
-from . import dataset_queries, sequence_queries
+from . import dataset_queries, model_queries, sequence_queries
 
-QUERIES = {**dataset_queries.QUERIES, **sequence_queries.QUERIES}
-ORACLES = {**dataset_queries.ORACLES, **sequence_queries.ORACLES}
+QUERIES = {**dataset_queries.QUERIES, **sequence_queries.QUERIES, **model_queries.QUERIES}
+ORACLES = {**dataset_queries.ORACLES, **sequence_queries.ORACLES, **model_queries.ORACLES}

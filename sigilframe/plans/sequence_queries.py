@@ -186,10 +186,10 @@ def unreachable_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UNREACHABLE = f"""
 WITH {LINES},
-m AS (SELECT o.name, o.place AS po, i.name AS blocked_by, i.place AS pi, min(k) AS at
+m AS (SELECT o.name, o.place AS po, i.name AS blocked_by, i.place AS pi, min(k) AS "at"
       FROM p o, p i, (SELECT unnest(range(1, 8)) AS k)
       WHERE len(i.signs) < len(o.signs) AND k >= len(i.signs) AND k < len(o.signs) AND o.signs[k - len(i.signs) + 1:k] = i.signs GROUP BY ALL)
-SELECT name, blocked_by, at FROM (SELECT *, row_number() OVER (PARTITION BY name, po ORDER BY pi) AS r FROM m) WHERE r = 1
+SELECT name, blocked_by, "at" FROM (SELECT *, row_number() OVER (PARTITION BY name, po ORDER BY pi) AS r FROM m) WHERE r = 1
 """
 
 
