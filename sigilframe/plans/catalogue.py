@@ -1,6 +1,7 @@
 """The queries over the reference's operators, and their SQL."""
 
-from . import dataset_queries, model_queries, sequence_queries
+from . import dataset_queries, model_queries, sequence_queries, stream_queries
 
-QUERIES = {**dataset_queries.QUERIES, **sequence_queries.QUERIES, **model_queries.QUERIES}
-ORACLES = {**dataset_queries.ORACLES, **sequence_queries.ORACLES, **model_queries.ORACLES}
+PARTS = (dataset_queries, sequence_queries, model_queries, stream_queries)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
