@@ -60,10 +60,13 @@ def scan_images(spark: SparkSession, root: str, decode: bool = False) -> DataFra
 
 
 def scan_labels(spark: SparkSession, root: str) -> DataFrame:
-    """path and line of each label file; a file without lines has one row with a null line."""
+    """path, place and line of each label file; a file without lines has one row with a null line."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    # scans pass over empty files, the listing of files doesn't
+    listed = spark.createDataFrame([(f,) for f in text.inputFiles()], "path string").select(bare(F.col("path")).alias("path"))
     lines = F.filter(F.split("value", r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    return text.select(F.col("_metadata.file_path").alias("path"), F.explode_outer(lines).alias("line"))
+    held = text.select(bare(F.col("_metadata.file_path")).alias("path"), F.posexplode(lines).alias("place", "line"))
+    return listed.join(held, "path", "left")
 
 
 def bare(path: Column) -> Column:
@@ -74,8 +77,9 @@ def bare(path: Column) -> Column:
 def read_samples(spark: SparkSession, root: str) -> DataFrame:
     """Per image: source, origin, label_path, boxes (array of cls, xc, yc, w, h), n_boxes (null without a label file)."""
     images = scan_images(spark, root).withColumn("label_path", bare(label_path(F.col("path"))))
-    parsed = scan_labels(spark, root).select(bare(F.col("path")).alias("label_path"), F.when(F.col("line").isNotNull(), parse_label(F.col("line"))).alias("b"))
-    boxes = parsed.groupBy("label_path").agg(F.collect_list("b").alias("boxes"))
+    parsed = scan_labels(spark, root).select(F.col("path").alias("label_path"), "place", F.when(F.col("line").isNotNull(), parse_label(F.col("line"))).alias("b"))
+    placed = F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("place", "b"))))
+    boxes = parsed.groupBy("label_path").agg(placed.alias("placed")).select("label_path", F.col("placed.b").alias("boxes"))
     joined = images.join(boxes, "label_path", "left")
     return joined.select(
         "source", bare(F.col("path")).alias("origin"), "split", "label_path", "boxes", F.when(F.col("boxes").isNotNull(), F.size("boxes")).alias("n_boxes")
