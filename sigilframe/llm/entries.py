@@ -119,5 +119,43 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS
        CAST(coalesce(it.n, 0) AS BIGINT) AS n_items, sha256(coalesce(it.items, '')) AS items_sha256,
        coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op8_jaccard_forest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, {FOLDED} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * k >= 4 * (x.n + y.n)
+      UNION SELECT p.doc_id, q.doc_id FROM d p JOIN d q ON p.text = q.text AND p.doc_id <> q.doc_id WHERE len(p.w) = 0),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM d
+""",
+    "op3_adaptive_rules": """
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+            SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
+                SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (
+                    SELECT doc_id, i, array_to_string(w[i:i + 2], chr(1)) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)))
+            WHERE k > 1) GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
+        WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+             CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS n_lines
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, unnest([{'k': 'symbols', 'v': n_symbols / greatest(n_words, 1)::DOUBLE, 's': 0.25::DOUBLE}, {'k': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1)::DOUBLE, 's': 0.4::DOUBLE},
+                        {'k': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)::DOUBLE, 's': 0.3::DOUBLE}, {'k': 'word_length', 'v': word_chars / greatest(n_words, 1)::DOUBLE, 's': 3.0::DOUBLE}]) AS x FROM m),
+b AS (SELECT *, CASE WHEN x.v < 1e-4 THEN 0 ELSE floor(ln(x.v / 1e-4) / ln(1.04::DOUBLE)) + 1 END AS bin FROM v WHERE n_words > 0),
+lev AS (SELECT 0 AS level, lang, source, x.k AS k, x.s AS s, bin FROM b UNION ALL SELECT 1, lang, NULL, x.k, x.s, bin FROM b UNION ALL SELECT 2, NULL, NULL, x.k, x.s, bin FROM b),
+q AS (SELECT level, lang, source, k, s, count(*) AS n, quantile_disc(bin, 0.25) AS lo, quantile_disc(bin, 0.75) AS hi FROM lev GROUP BY ALL),
+f AS (SELECT *, CASE WHEN lo = 0 THEN 0 ELSE 1e-4 * pow(1.04::DOUBLE, lo - 0.5) END AS low, CASE WHEN hi = 0 THEN 0 ELSE 1e-4 * pow(1.04::DOUBLE, hi - 0.5) END AS high FROM q),
+e AS (SELECT level, lang, source, k, n, high + greatest(3.0 * (high - low), s) AS fence FROM f),
+u AS (SELECT o.lang, o.source, o.k, CASE WHEN o.n >= 30 THEN o.fence WHEN l.n >= 30 THEN l.fence ELSE a.fence END AS fence
+      FROM e o JOIN e l ON l.level = 1 AND l.k = o.k AND l.lang IS NOT DISTINCT FROM o.lang JOIN e a ON a.level = 2 AND a.k = o.k WHERE o.level = 0),
+ok AS (SELECT v.doc_id, bool_and(x.v <= u.fence) AS within FROM v JOIN u ON u.k = v.x.k AND u.lang IS NOT DISTINCT FROM v.lang AND u.source IS NOT DISTINCT FROM v.source GROUP BY v.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(within, FALSE) AS kept FROM m LEFT JOIN ok USING (doc_id)
 """,
 }
