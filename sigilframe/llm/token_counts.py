@@ -46,20 +46,28 @@ def piece_scores(model_file: str) -> dict[str, int]:
 
 #: A forward score and the tokens it takes are one number, score * TOKEN - tokens, so that greater is better.
 TOKEN = 1 << 32
+POINTS = 0x110000  #: code points
+#: Tokens and pre-tokens are one number too.
+CHUNK = 1 << 36
 
 
 class UnigramTrie:
-    """nodes: kept before the trie starts anew; deepest: characters of the longest pre-token put on it."""
+    """nodes: kept before the trie starts anew; kept: chunks whose counts are remembered, and as many that were used
+    before those, so that a new trie needn't count frequent words again; deepest: characters of the longest pre-token
+    put on the trie."""
 
-    def __init__(self, scores: dict[str, int], nodes: int = 500_000, deepest: int = 128):
+    def __init__(self, scores: dict[str, int], nodes: int = 500_000, kept: int = 400_000, deepest: int = 128):
         self.scores = {piece: s * TOKEN - 1 for piece, s in scores.items()}
         self.longest = max(map(len, scores), default=1)
         self.unknown = (min(scores.values(), default=0) - 10_000_000) * TOKEN
-        self.most, self.deepest = nodes, deepest
+        self.most, self.kept, self.deepest = nodes, kept, deepest
+        self.chunks: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int] | None] = [{}]
+        #: node * POINTS + character -> node; one flat table, so that the collector has no containers to walk
+        self.edges: dict[int, int] = {}
         self.forward: list[int] = [0]
         self.terminal: dict[str, int] = {}
 
@@ -79,23 +87,40 @@ class UnigramTrie:
             return n
         if len(word) > self.deepest:
             return self.plain(word)
-        if len(self.children) > self.most:
+        if len(self.forward) > self.most:
             self.clear()
-        node, path = 0, [self.forward[0]]
-        for d, c in enumerate(word):
-            below = self.children[node]
-            if below is None:
-                below = self.children[node] = {}
-            child = below.get(c)
-            if child is None:
-                child = below[c] = len(self.children)
-                self.children.append(None)
-                self.forward.append(self.extend(word, d, path))
-            node = child
-            path.append(self.forward[node])
+        edges, forward, node, path = self.edges, self.forward, 0, [0]
+        for d, c in enumerate(map(ord, word)):
+            edge = node * POINTS + c
+            node = edges.get(edge)
+            if node is None:
+                node = edges[edge] = len(forward)
+                forward.append(self.extend(word, d, path))
+            path.append(forward[node])
         n = self.terminal[word] = -path[-1] % TOKEN
         return n
 
+    def tally(self, chunk: str) -> int:
+        """Tokens and, in the low bits, pre-tokens of what stands between two spaces."""
+        n = self.older.get(chunk)
+        if n is None:
+            parts = PRETOKEN.findall(SPACE + chunk)
+            n = sum(map(self.count, parts)) * CHUNK + len(parts)
+        if len(chunk) <= self.deepest:
+            if len(self.chunks) >= self.kept:
+                self.older, self.chunks = self.chunks, {}
+            self.chunks[chunk] = n
+        return n
+
+    def text(self, text: str | None) -> tuple[int, int]:
+        """Tokens and pre-tokens of a text. No pre-token reaches over a space, so those between spaces are summed."""
+        if not text:
+            return 0, 0
+        tally, both = self.tally, 0
+        for c, k in Counter(text.split(" ")).items():
+            both += k * (self.chunks.get(c) or tally(c))
+        return both // CHUNK, both % CHUNK
+
     def plain(self, word: str) -> int:
         """The same without the trie, with the last `longest` scores at hand."""
         recent = [0]
@@ -122,11 +147,11 @@ def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
 
     def run(batch: pa.RecordBatch):
         t = trie(model_file)
-        count, tokens, pre = t.count, [], []
+        tokens, pre = [], []
         for text in texts(batch.column(1)):
-            found = Counter(pretokens(text))
-            pre.append(found.total())
-            tokens.append(sum([k * count(w) for w, k in found.items()]))
+            n, m = t.text(text)
+            tokens.append(n)
+            pre.append(m)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(tokens, pa.int64()), pa.array(pre, pa.int64())], ["id", "n_tokens", "n_pretokens"]
         )

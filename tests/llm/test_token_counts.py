@@ -55,7 +55,7 @@ def test_pretokens_keep_every_character():
 def test_long_pretokens_stay_off_the_trie(scores):
     trie = tc.UnigramTrie(scores, deepest=16)
     word = "abc" * 400
-    assert trie.count(word) == brute(word, scores) and len(trie.children) == 1
+    assert trie.count(word) == brute(word, scores) and len(trie.forward) == 1
 
 
 def test_rows(odd_docs, no_docs, scores):
