@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 from math import comb
 
@@ -38,16 +39,20 @@ def hamming_pairs(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
     """
     bands, radius = plan_bands(bits, threshold)
     edges = [bits * i // bands for i in range(bands + 1)]
-    own, near = [], []
+    own, near = [], []  # band, first bit, mask of its width, bits that are turned over
     for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        value = F.shiftrightunsigned("hash", lo).bitwiseAND((1 << (hi - lo)) - 1)
-        own.append(F.struct(F.lit(i).alias("band"), value.alias("value")))
+        own.append((i, lo, (1 << (hi - lo)) - 1, 0))
         for r in range(radius + 1):
-            for places in combinations(range(hi - lo), r):
-                mask = sum(1 << p for p in places)
-                near.append(F.struct(F.lit(i).alias("band"), value.bitwiseXOR(mask).alias("value")))
-    left = rows.select(F.col("id").alias("a"), F.col("hash").alias("hash_a"), F.col("tag").alias("tag_a"), F.inline(F.array(*near)))
-    right = rows.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), F.col("tag").alias("tag_b"), F.inline(F.array(*own)))
+            near += [(i, lo, (1 << (hi - lo)) - 1, sum(1 << p for p in places)) for places in combinations(range(hi - lo), r)]
+
+    def values(bands: list[tuple[int, int, int, int]]) -> Column:
+        """One literal, folded by the optimizer, so that the plan stays small however many values are tried."""
+        rows = F.from_json(F.lit(json.dumps([dict(zip("ilwm", b, strict=True)) for b in bands])), "array<struct<i:int,l:int,w:bigint,m:bigint>>")
+        value = lambda b: F.call_function("shiftrightunsigned", F.col("hash"), b["l"]).bitwiseAND(b["w"]).bitwiseXOR(b["m"])
+        return F.inline(F.transform(rows, lambda b: F.struct(b["i"].alias("band"), value(b).alias("value"))))
+
+    left = rows.select(F.col("id").alias("a"), F.col("hash").alias("hash_a"), F.col("tag").alias("tag_a"), values(near))
+    right = rows.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), F.col("tag").alias("tag_b"), values(own))
     distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
     joined = left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (distance <= threshold))
     return joined.select("a", "b", "tag_a", "tag_b", distance.cast("int").alias("distance")).dropDuplicates(["a", "b"])

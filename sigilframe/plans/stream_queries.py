@@ -19,7 +19,7 @@ def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads events as a stream until its end, and returns what the stream wrote to the shared folder."""
     ensure_checkpoint_dir(spark)
     at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    path = f"{sf_dir}/events.parquet"
+    path = f"{sf_dir}/events.parque[t]"  # as a pattern it may be a file or a folder
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
     frames = events.select(
         F.col("user_id").alias("session"),
