@@ -11,8 +11,9 @@ What a page says of itself comes first: branches that are menus, page headers, f
 forms, scripts, styles or comments by their tag, role, class or id are removed, and what is inside <article> or
 <main> is kept, as pages that repeat each other would else lose their text. The tree decides on the rest.
 
-Pages are parsed where they lie. Only hashes of paths and texts are shuffled, and summed before; the removed paths of
-each host are joined to the pages. A host may hold any share of the pages.
+Pages are parsed where they lie. Only hashes of paths and texts are shuffled, and summed before. The removed paths of
+each host are broadcast to the pages if they are few in all, else joined by shuffling. A host may hold any share of
+the pages.
 
 Defined results: null html counts as empty and gives an empty text; a null url is a host of its own; repeated rows get
 equal results; broken markup is read as far as it goes; extra columns are not looked at; an empty table gives an empty
@@ -261,11 +262,14 @@ def removed_paths(pages: DataFrame, least: float = LEAST) -> DataFrame:
     return low.groupBy("host").agg(F.collect_set("path").alias("removed"))
 
 
-def extract_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+def extract_text(pages: DataFrame, least: float = LEAST, small: int = 200_000) -> DataFrame:
+    """Per page: page_id, url, text, n_chars. small: removed paths of all hosts up to which they are broadcast."""
     ensure_checkpoint_dir(pages.sparkSession)
     # written once, so that the join may deal out both sides and split the pages of a large host
     removed = removed_paths(pages, least).checkpoint()
+    paths = removed.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("n")).first()["n"]
+    if paths <= small:
+        removed = F.broadcast(removed)  # at most that many numbers and hosts; the pages stay where they are
     joined = pages.select("page_id", "url", "html", host_of().alias("host")).join(removed, "host", "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,7 @@ def test_repeated_branches_go_and_unique_ones_stay(spark):
     rows = [(i, f"http://one.example/{i}", f"<body><div class=top>Same on all</div><div class=text><p>Own words of {i}</p></div><div class=low>All alike</div></body>") for i in range(12)]
     rows += [(99, "http://two.example/1", "<body><div class=top>Same on all</div><p>alone</p></body>")]
     out = {r.page_id: r.text for r in st.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out == {r.page_id: r.text for r in st.extract_text(spark.createDataFrame(rows, PAGES), small=-1).collect()}
     assert all(out[i] == f"Own words of {i}" for i in range(12))
     assert out[99] == "Same on all alone"  # a host of one page gives no evidence
 
