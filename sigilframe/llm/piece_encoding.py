@@ -140,10 +140,11 @@ class PieceCodec:
         self.eos = self.whole.eos_id()
         kinds = pb.ModelProto.SentencePiece
         used = [p.piece for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
+        self.spelled = model.trainer_spec.byte_fallback
         #: Units are cut before U+2581 and around line feeds; right only if no piece reaches across.
         self.cuts = (
             model.trainer_spec.model_type == model.trainer_spec.BPE
-            and model.trainer_spec.byte_fallback
+            and self.spelled
             and not model.trainer_spec.treat_whitespace_as_suffix
             and not self.normaliser.squeeze
             and self.normaliser.escape
@@ -191,8 +192,10 @@ class PieceCodec:
     def spans(self, ids: list[int], align: np.ndarray) -> np.ndarray:
         """First byte and end, in the original, of each id. The end id has the empty span at the end.
 
-        An unknown piece has no length of its own, so models without byte fallback get theirs from the library.
+        An unknown piece has no length of its own, so the model must spell unknown characters in bytes.
         """
+        if not self.spelled:
+            raise NotImplementedError("spans need a model with byte fallback")
         ends = np.cumsum(self.width[np.array(ids)])
         ends = np.minimum(ends, len(align) - 1)
         starts = np.concatenate(([0], ends[:-1]))
