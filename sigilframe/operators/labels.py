@@ -17,13 +17,16 @@ def class_map(vocab: DataFrame) -> DataFrame:
 
 def parse_label(line: Column) -> Column:
     """struct<cls, xc, yc, w, h> of a line; null if blank, an error with fewer than five fields. The class may be 3.0."""
-    part = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
-    number = lambda i: part[i].cast("double")
-    parsed = F.struct(
-        number(0).cast("int").alias("cls"), *[number(i + 1).alias(n) for i, n in enumerate(("xc", "yc", "w", "h"))]
-    )
-    short = F.raise_error(F.concat(F.lit("malformed label line: "), line)).cast("struct<cls:int,xc:double,yc:double,w:double,h:double>")
-    return F.when(F.trim(line) == "", None).when(F.size(part) < 5, short).otherwise(parsed)
+    fields = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+
+    def parsed(part: Column) -> Column:
+        number = lambda i: F.get(part, F.lit(i)).cast("double")
+        box = [number(i + 1).alias(n) for i, n in enumerate(("xc", "yc", "w", "h"))]
+        short = F.raise_error(F.concat(F.lit("malformed label line: "), line)).cast("struct<cls:int,xc:double,yc:double,w:double,h:double>")
+        return F.when(F.size(part) < 5, short).otherwise(F.struct(number(0).cast("int").alias("cls"), *box))
+
+    # bound in a lambda, so that a line is cut once and not for each field
+    return F.when(F.trim(line) != "", F.element_at(F.transform(F.array(fields), parsed), 1))
 
 
 def remap_labels(labels: DataFrame, vocab: DataFrame) -> DataFrame:
