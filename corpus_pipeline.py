@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages, each over all that the one before it kept.
 
-Each stage is (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents.
+Each stage is (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents. Stages judge rows,
+not ids: docs are as the stage before has written them, so that a row has the same number whenever they are read.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sigilframe.llm.common import ensure_checkpoint_dir
 from sigilframe.llm.decontaminate import benchmark_overlap
 from sigilframe.llm.entries import piece_model
-from sigilframe.llm.jaccard_forest import jaccard_classes, one_of_each
+from sigilframe.llm.jaccard_forest import jaccard_classes
 from sigilframe.llm.language_id import keep_identified
 from sigilframe.llm.piece_encoding import piece_digests
 from sigilframe.llm.weak_quality import keep_good
@@ -27,16 +28,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+ROW = "__row"
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links of Jaccard similarity 0.8, the one with the least id stays."""
-    return one_of_each(docs, jaccard_classes(docs).checkpoint())
+    """Of rows connected by links of Jaccard similarity 0.8, one with the least id stays; rows without text all stay."""
+    # a null id comes last; the number of the row tells rows of one id apart
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row"))
+    rows = docs.withColumn(ROW, key)
+    spare = jaccard_classes(rows, id_col=ROW).filter(F.col("class_id") != F.col(ROW)).select(ROW).checkpoint()
+    return rows.join(spare, ROW, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = benchmark_overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("__id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    found = benchmark_overlap(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+    return rows.join(found.filter("contaminated").select(ROW), ROW, "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

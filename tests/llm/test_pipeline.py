@@ -49,6 +49,23 @@ def test_run_equals_brute_force(spark, small):
     assert got == want and 100 < len(got) < docs.count()
 
 
+def test_rows_go_and_not_ids(spark, tmp_path):
+    """A row is judged by its own text: its id may be null or another row's."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    docs = [(1, text("a")), (None, text("a") + " end"), (None, text("b")), (2, text("c")), (9, text("c")), (9, text("d")), (9, text("d"))]
+    docs += [(None, text("e")), (None, text("e")), (4, text("f")), (4, text("g"))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text("b")), (2, text("f"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = stages["near_duplicates"](spark, given, str(tmp_path)).checkpoint()
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    left = [docs[0], docs[2], docs[3], docs[5], docs[7], docs[9], docs[10]]
+    assert rows(kept) == sorted(left, key=repr)
+    clean = stages["decontamination"](spark, kept, str(tmp_path))
+    assert rows(clean) == sorted((r for r in left if r not in (docs[2], docs[9])), key=repr)
+
+
 def test_stages_keep_the_columns(spark, odd_docs, no_docs, small):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
