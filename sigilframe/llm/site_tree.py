@@ -9,7 +9,8 @@ removed from each page.
 
 What a page says of itself comes first: branches that are menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or comments by their tag, role, class or id are removed, and what is inside <article> or
-<main> is kept, as pages that repeat each other would else lose their text. The tree decides on the rest.
+<main> is kept, as pages that repeat each other would else lose their text. A class or id doesn't remove the branch
+that holds the page's <article> or <main>. The tree decides on the rest.
 
 Pages are parsed where they lie. Only hashes of paths and texts are shuffled, and summed before. The removed paths of
 each host are broadcast to the pages if they are few in all, else joined by shuffling. A host may hold any share of
@@ -72,21 +73,24 @@ WORDS = re.compile(r"[a-z]+")
 GAMMA, LEAST = 0.9, 0.35
 
 
-def _noise(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: an <article> or <main> is open, whose own header belongs to the text."""
+def _noise(tag: str, attributes: str, inside: bool) -> int:
+    """2 by tag, role or being hidden, 1 by a word of class or id, else 0.
+
+    inside: an <article> or <main> is open, whose own header belongs to the text."""
     if tag in NOISE_TAGS or (tag == "header" and not inside):
-        return True
+        return 2
     if not attributes or tag in ("html", "body") or tag in ANCHORS:
-        return False
+        return 0
+    named = 0
     for m in ATTRIBUTE.finditer(attributes):
         if m[5]:
-            return True
+            return 2
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role" and value in NOISE_ROLES or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name in ("class", "id") and not NOISE_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            named = 1
+    return named
 
 
 def _class(attributes: str) -> str:
@@ -103,18 +107,42 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, str]] = []
         self.children: dict[str, list[str]] = {}
-        # of each open element: tag, path, noise, anchored
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        # of each open element: tag, path, noise, the elements above and with it that are noise by class or id, anchor
+        self.open: list[tuple[str, str, bool, tuple[int, ...], int]] = [("", "", False, (), 0)]
+        # of each <article> or <main>, from 1: tag, what is noise by class or id above it, letters of its own text
+        self.anchors: list[tuple[str, tuple[int, ...], list[int]]] = [("", (), [0])]
+        self.named = 0
+        self.raw: list[tuple[str, bool, tuple[int, ...], int, str]] = []
         self.parts: list[str] = []
         self.read(source)
+        held = self.held()
+        for path, noise, named, anchor, text in self.raw:
+            self.blocks.append((path, -1 if noise or not held.issuperset(named) else int(anchor > 0), text))
+
+    def held(self) -> set[int]:
+        """Elements that are noise by class or id, but hold the page's text: its <article>s below the fewest of them,
+        or the <main> if that has as much text of its own below fewer. What is named so beside or inside them is noise."""
+        least: dict[str, tuple[int, int, set[int]]] = {}
+        for tag, named, size in self.anchors[1:]:
+            depth, total, above = least.get(tag, (len(named), 0, set()))
+            if size[0] and len(named) <= depth:
+                if len(named) < depth:
+                    total, above = 0, set()
+                least[tag] = (len(named), total + size[0], above | set(named))
+        article, main = least.get("article"), least.get("main")
+        if article and main and main[0] < article[0] and main[1] >= article[1]:
+            article = None
+        return (article or main or (0, 0, set()))[2]
 
     def end_block(self) -> None:
         if self.parts:
             text = BLANKS.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                _, path, noise, anchored = next(x for x in reversed(self.open) if x[0] not in INLINE)
-                self.blocks.append((path, -1 if noise else int(anchored), text))
+                _, path, noise, named, anchor = next(x for x in reversed(self.open) if x[0] not in INLINE)
+                self.raw.append((path, noise, named, anchor, text))
+                if not noise and named == self.anchors[anchor][1]:
+                    self.anchors[anchor][2][0] += len(text)
 
     def close(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -142,29 +170,37 @@ class Page:
             for cell in ("td", "th", "tr"):
                 if cell in tops and "table" not in tops[len(tops) - tops[::-1].index(cell) :]:
                     self.close(cell)
-        _, path, noise, anchored = self.open[-1]
+        _, path, noise, named, anchor = self.open[-1]
         own = tag + _class(attributes) if attributes else tag
         if tag in INLINE:
-            self.inline(tag, attributes, path, noise, anchored)
+            self.inline(tag, attributes, path, noise, named, anchor)
             return
         self.children.setdefault(path, []).append(own)
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path") or len(self.open) >= DEEPEST:
             return
         if tag == "body":
-            noise = False
-        noise = noise or _noise(tag, attributes, anchored)
-        self.open.append((tag, f"{path}/{own}", noise, anchored or tag in ANCHORS))
-
-    def inline(self, tag: str, attributes: str, path: str, noise: bool, anchored: bool) -> None:
+            noise, named = False, ()
+        if not noise:
+            found = _noise(tag, attributes, anchor > 0)
+            noise = found == 2
+            if found == 1:
+                self.named += 1
+                named = (*named, self.named)
+        if tag in ANCHORS and not noise:
+            self.anchors.append((tag, named, [0]))
+            anchor = len(self.anchors) - 1
+        self.open.append((tag, f"{path}/{own}", noise, named, anchor))
+
+    def inline(self, tag: str, attributes: str, path: str, noise: bool, named: tuple[int, ...], anchor: int) -> None:
         if tag in VOID or len(self.open) >= DEEPEST:
             return
-        hidden = not noise and _noise(tag, attributes, anchored) and tag != "label"
+        hidden = not noise and _noise(tag, attributes, anchor > 0) and tag != "label"
         if hidden or tag == "label":
             self.end_block()
             # a branch of its own, though inside a line: what it holds is no part of the block around it
-            self.open.append(("\0" + tag, f"{path}/{tag}", True, anchored))
+            self.open.append(("\0" + tag, f"{path}/{tag}", True, named, anchor))
         else:
-            self.open.append((tag, path, noise, anchored))
+            self.open.append((tag, path, noise, named, anchor))
 
     def read(self, source: str) -> None:
         at, n = 0, len(source)

@@ -35,6 +35,16 @@ def test_rules(spark, html, want):
     assert text_of(spark, html) == want
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "page-header", "ad-free", "search-content"])
+def test_a_wrapper_of_the_article_is_no_noise(spark, name):
+    side = "<div class='sidebar'><article>card</article>side</div><div class='comments'><article>nice</article></div>"
+    assert text_of(spark, f"<div class='{name}'><h1>T</h1><article><p>own text</p><div class=share>s</div></article>{side}</div>") == "T own text"
+    assert text_of(spark, f"<main><h1>T</h1><div id='{name}'><article>own text</article></div></main>") == "T own text"
+    assert text_of(spark, f"<body class='{name}'><div class='{name}'><main><p>own text</p>{side}</main></div></body>") == "own text"
+    assert text_of(spark, f"<div class='{name}'>menu</div><article>own text</article>{side}") == "own text"
+    assert text_of(spark, f"<nav><div class='{name}'><article>card</article></div></nav><p>own text</p>") == "own text"
+
+
 def test_repeated_branches_go_and_unique_ones_stay(spark):
     """Without any telling tag or class, what a host's pages repeat is removed."""
     rows = [(i, f"http://one.example/{i}", f"<body><div class=top>Same on all</div><div class=text><p>Own words of {i}</p></div><div class=low>All alike</div></body>") for i in range(12)]
