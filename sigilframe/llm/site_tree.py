@@ -9,8 +9,10 @@ removed from each page.
 
 What a page says of itself comes first: branches that are menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or comments by their tag, role, class or id are removed, and what is inside <article> or
-<main> is kept, as pages that repeat each other would else lose their text. A class or id doesn't remove the branch
-that holds the page's <article> or <main>. The tree decides on the rest.
+<main> has a lower bar, LEAST_INSIDE, as pages that repeat each other would else lose their text: a text counts as
+repeated there only if the pages that share it differ in their longest text of another path, its path must be on
+MIN_INSIDE pages or more, and a page of which more than half would go keeps all of it. A class or id doesn't remove the
+branch that holds the page's <article> or <main>. The tree decides on the rest.
 
 Pages are parsed where they lie. Only hashes of paths and texts are shuffled, and summed before. The removed paths of
 each host are broadcast to the pages if they are few in all, else joined by shuffling. A host may hold any share of
@@ -71,6 +73,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 BLANKS = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 GAMMA, LEAST = 0.9, 0.35
+LEAST_INSIDE, MIN_INSIDE = 0.2, 3
 
 
 def _noise(tag: str, attributes: str, inside: bool) -> int:
@@ -235,7 +238,9 @@ def number(text: str) -> int:
 
 
 def site_evidence(pages: DataFrame) -> DataFrame:
-    """Per page: its host, and once each (path, parent, kind, value): kind 0 how its children follow, 1 a text of it."""
+    """Per page: its host, and once each (path, parent, kind, value): kind 0 how its children follow, 1 a text of it.
+
+    beside: of a text inside an <article> or <main>, the page's longest other text in there, of another path."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         paths: dict[str, int] = {}
@@ -248,16 +253,22 @@ def site_evidence(pages: DataFrame) -> DataFrame:
         hosts, found = [], []
         for host, source in zip(texts(batch.column(0)), texts(batch.column(1)), strict=True):
             page = Page(source or "")
-            own = {(p, 0, number(" ".join(c))) for p, c in page.children.items()}
-            own |= {(p, 0, 0) for p in {b[0] for b in page.blocks} - page.children.keys()}
-            own |= {(p, 1, number(t)) for p, _, t in page.blocks}
+            own = {(p, 0, number(" ".join(c))): None for p, c in page.children.items()}
+            own |= {(p, 0, 0): None for p in {b[0] for b in page.blocks} - page.children.keys()}
+            own |= {(p, 1, number(t)): None for p, s, t in page.blocks if s != 1}
+            inside = [(len(t), t, p) for p, s, t in page.blocks if s == 1]
+            if inside:
+                _, text, at = max(inside)
+                first, second = number(text), number(max((x for x in inside if x[2] != at), default=(0, ""))[1])
+                own |= {(p, 1, number(t)): second if p == at else first for _, t, p in inside}
             hosts.append(host)
-            found.append([(path_number(p), path_number(p.rpartition("/")[0]), k, v) for p, k, v in sorted(own)])
-        kind = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())]))
-        rows = [[{"path": a, "parent": b, "kind": k, "value": v} for a, b, k, v in f] for f in found]
+            found.append([(path_number(p), path_number(p.rpartition("/")[0]), k, v, own[p, k, v]) for p, k, v in sorted(own)])
+        names = ("path", "parent", "kind", "value", "beside")
+        kind = pa.list_(pa.struct([(n, pa.int32() if n == "kind" else pa.int64()) for n in names]))
+        rows = [[dict(zip(names, x, strict=True)) for x in f] for f in found]
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(rows, kind)], ["host", "found"])
 
-    schema = "host string, found array<struct<path:bigint,parent:bigint,kind:int,value:bigint>>"
+    schema = "host string, found array<struct<path:bigint,parent:bigint,kind:int,value:bigint,beside:bigint>>"
     return map_rows(pages.select(host_of().alias("host"), "html"), run, schema).select("host", F.inline("found"))
 
 
@@ -266,14 +277,18 @@ def host_of():
 
 
 def importance(evidence: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """Composite importance of each node that has a text: host, path, importance."""
-    k = evidence.groupBy("host", "path", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("k"))
+    """Composite importance of each node that has a text: host, path, importance, pages m, inside an anchor or not."""
+    k = evidence.groupBy("host", "path", "parent", "kind", "value").agg(
+        F.count(F.lit(1)).alias("k"), F.min("beside").alias("low"), F.max("beside").alias("high")
+    )
     style, text = F.col("kind") == 0, F.col("kind") == 1
+    copied = F.coalesce(F.col("low") == F.col("high"), F.lit(False))
     node = k.groupBy("host", "path", "parent").agg(
         F.sum(F.when(style, F.col("k"))).cast("double").alias("m"),
         F.sum(F.when(style, F.col("k") * F.log("k"))).alias("klogk"),
         F.count(F.when(text, 1)).alias("texts"),
-        F.sum(F.when(text, F.log("k"))).alias("logk"),
+        F.sum(F.when(text, F.when(copied, 0.0).otherwise(F.log("k")))).alias("logk"),
+        F.max(F.col("low").isNotNull()).alias("inside"),
     )
     several = F.col("m") > 1
     node = node.select(
@@ -281,6 +296,8 @@ def importance(evidence: DataFrame, gamma: float = GAMMA) -> DataFrame:
         "path",
         "parent",
         "texts",
+        "m",
+        "inside",
         F.when(several, 1 - F.col("klogk") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("presentation"),
         F.when(several, F.greatest(F.lit(0.0), 1 - F.col("logk") / (F.col("texts") * F.log("m")))).otherwise(1.0).alias("content"),
     )
@@ -288,13 +305,14 @@ def importance(evidence: DataFrame, gamma: float = GAMMA) -> DataFrame:
     return (
         node.filter("texts > 0")
         .join(above, ["host", "parent"], "left")
-        .select("host", "path", (gamma * F.col("content") + (1 - gamma) * F.coalesce("above", F.lit(1.0))).alias("importance"))
+        .select("host", "path", "m", "inside", (gamma * F.col("content") + (1 - gamma) * F.coalesce("above", F.lit(1.0))).alias("importance"))
     )
 
 
 def removed_paths(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """Per host, the paths whose texts its pages lose; at most the number of its nodes."""
-    low = importance(site_evidence(pages)).filter(F.col("importance") < least)
+    inside = (F.col("m") >= MIN_INSIDE) & (F.col("importance") < min(least, LEAST_INSIDE))
+    low = importance(site_evidence(pages)).filter(F.when(F.col("inside"), inside).otherwise(F.col("importance") < least))
     return low.groupBy("host").agg(F.collect_set("path").alias("removed"))
 
 
@@ -311,14 +329,13 @@ def extract_text(pages: DataFrame, least: float = LEAST, small: int = 200_000) -
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out, sizes = [], []
         for i, source in enumerate(texts(batch.column(2))):
-            low, kept, known = set(batch.column(3)[i].as_py() or ()), [], {}
-            for path, state, text in Page(source or "").blocks:
-                if state == 0 and low:
-                    if path not in known:
-                        known[path] = number(path) in low
-                    state = -1 if known[path] else 0
-                if state >= 0:
-                    kept.append(text)
+            low, known = set(batch.column(3)[i].as_py() or ()), {}
+            blocks = [b for b in Page(source or "").blocks if b[1] >= 0]
+            if low:
+                known = {path: number(path) in low for path in {b[0] for b in blocks}}
+            inside = [(len(text), known.get(path)) for path, state, text in blocks if state]
+            copy = 2 * sum(n for n, gone in inside if gone) > sum(n for n, _ in inside)
+            kept = [text for path, state, text in blocks if not known.get(path) or state and copy]
             out.append(" ".join(kept))
             sizes.append(len(out[-1]))
         yield pa.RecordBatch.from_arrays(

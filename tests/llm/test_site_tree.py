@@ -69,6 +69,23 @@ def test_article_stays_where_pages_repeat_each_other(spark):
     assert {r.text for r in st.extract_text(spark.createDataFrame(rows, PAGES)).collect()} == {"same text"}
 
 
+def test_repeated_branches_inside_the_article_go(spark):
+    """Also there, without any telling tag or class; but not what copies of one article repeat."""
+    box = "<div class=x7>Read these next</div>"
+    rows = [(i, "http://one.example/", f"<main><h1>Title {i}</h1><p>Own words of page {i}</p>{box}<p>More of {i}</p></main>") for i in range(9)]
+    same = "<p>Text that all copies have</p><blockquote>A quotation</blockquote>"
+    rows += [(10 + i, "http://two.example/", f"<article><h1>T{i}</h1>{same}</article>") for i in range(5)]
+    rows += [(20 + i, "http://three.example/", f"<article><p>Own words of page {i}</p></article>") for i in range(9)]
+    rows += [(30 + i, "http://three.example/", f"<article>{same}</article>") for i in range(4)]
+    rows += [(40 + i, "http://four.example/", f"<main><p>Own words of page {i}</p>{box}</main>") for i in range(2)]
+    out = {r.page_id: r.text for r in st.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(out[i] == f"Title {i} Own words of page {i} More of {i}" for i in range(9))
+    assert all(out[10 + i] == f"T{i} Text that all copies have A quotation" for i in range(5))
+    assert all(out[20 + i] == f"Own words of page {i}" for i in range(9))
+    assert all(out[30 + i] == "Text that all copies have A quotation" for i in range(4))
+    assert all(out[40 + i] == f"Own words of page {i} Read these next" for i in range(2))  # two pages are no evidence
+
+
 def test_deep_and_broken_pages(spark):
     deep = "<div>" * 20_000 + "<p>core</p>"
     assert text_of(spark, deep) == "core"
