@@ -1,9 +1,12 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line. Its words and pairs of neighbouring words are hashed to features; a logistic regression with
+A paragraph is a line, or the words on both sides of a line's end, as notices are wrapped: up to SPAN words before it
+and SPAN after it, over as many lines as they take, but not over a line without words. Its words and pairs of neighbouring words are hashed to features; a logistic regression with
 one output for each licence family and one for `unknown` gives probabilities, calibrated by a temperature fitted on
 examples that training leaves out. The most probable family is confirmed by comparison with its templates: enough of
-the words of one must stand in the paragraph. Only confirmed families count.
+the words of one must stand in the paragraph; across a line's end, no further from it than the template's length and
+half as much. Only confirmed families count. What is confirmed across lines counts once for a chain of overlapping
+runs, at its first line, and not where one of the lines is confirmed alone for the same family.
 
 The regression is fitted on the driver, on the templates below with words left out or added by rule, and on other
 sentences, so its size is fixed. Scoring is one projection over documents: nothing is shuffled, and the weights are
@@ -15,6 +18,7 @@ empty result; extra columns are not looked at; whole texts are scanned, however
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -101,6 +105,7 @@ OTHERS = (
     "the and of to in is with for that on by it as are was be this from or an at",
 )
 BUCKETS = 1 << 16
+SPAN = 45
 WORD_SPLIT = "[^a-z0-9.+-]+"
 
 
@@ -183,6 +188,15 @@ def literal_array(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def key_words(confirm: float) -> list[str]:
+    """Words of which any text that confirms a template has one: the longest, one more than it may lack."""
+    keys = set()
+    for t in (t for family in TEMPLATES.values() for t in family):
+        own = sorted(set(words_of(t)), key=lambda w: (-len(w), w))
+        keys |= set(own[: len(own) - math.ceil(confirm * len(own) - 1e-9) + 1])
+    return sorted(keys)
+
+
 def licence_columns(model: LicenceModel, spark, text: Column, confirm: float, least: float) -> Column:
     """array of (paragraph, family, probability, match) for each confirmed paragraph of a text."""
     grams = F.split(F.lit("\n".join(model.grams)), "\n")
@@ -201,11 +215,35 @@ def licence_columns(model: LicenceModel, spark, text: Column, confirm: float, le
         """Binds a value inside a lambda, so that it is computed once."""
         return F.element_at(F.transform(F.array(value), body), 1)
 
-    def judge(p: Column, i: Column) -> Column:
-        cut = F.transform(F.split(F.lower(p), WORD_SPLIT), lambda w: F.trim(w, F.lit(".-")))
-        return let(F.filter(cut, lambda w: w != ""), lambda words: of_words(words, i))
+    def cut(p: Column) -> Column:
+        return F.filter(F.transform(F.split(F.lower(p), WORD_SPLIT), lambda w: F.trim(w, F.lit(".-"))), lambda w: w != "")
+
+    def unit(words: Column, before: Column, after: Column) -> Column:
+        return F.struct(words.alias("words"), before.cast("int").alias("before"), after.cast("int").alias("after"))
+
+    none, keys = unit(F.array().cast("array<string>"), F.lit(0), F.lit(0)), F.array(*map(F.lit, key_words(confirm)))
+
+    def across(lines: Column, words: Column, i: Column) -> Column:
+        """The words on both sides of the end of line i: how many stand before it, and how many lines come after it."""
+        ahead = F.slice(lines, i + 2, SPAN)
+
+        def join(run: Column) -> Column:
+            head = F.slice(words, F.greatest(F.size(words) - SPAN + 1, F.lit(1)), SPAN)
+            tail = F.slice(F.flatten(F.transform(run, lambda w: F.slice(w, 1, SPAN))), 1, SPAN)
+            zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+            add = lambda s, w: F.when(s["n"] < SPAN, F.struct((s["n"] + F.size(w)).alias("n"), (s["k"] + 1).alias("k"))).otherwise(s)
+            both = unit(F.concat(head, tail), F.size(head), F.aggregate(run, zero, add, lambda s: s["k"]))
+            return F.when(F.arrays_overlap(both["words"], keys), both).otherwise(none)
+
+        def upto(ahead: Column) -> Column:
+            stop = F.array_position(F.transform(ahead, F.size), 0).cast("int")
+            return F.slice(ahead, 1, F.when(stop > 0, stop - 1).otherwise(SPAN))
 
-    def of_words(words: Column, i: Column) -> Column:
+        run = F.when(F.size(F.get(lines, i + 1)) >= SPAN, F.slice(lines, i + 2, 1)).otherwise(let(ahead, upto))
+        return F.when((F.size(words) > 0) & (F.size(F.get(lines, i + 1)) > 0), let(run, join)).otherwise(none)
+
+    def of_words(u: Column, i: Column) -> Column:
+        words = u["words"]
         n = F.size(words)
         pairs = F.when(
             n > 1,
@@ -214,34 +252,56 @@ def licence_columns(model: LicenceModel, spark, text: Column, confirm: float, le
         at = lambda g: F.get(index, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))
         # a gram counts once in a paragraph; those without weight are left out before anything is added
         active = F.array_distinct(F.filter(F.transform(F.concat(words, pairs), at), lambda k: k > 0))
-        return let(active, lambda a: F.when(F.size(a) > 0, of_grams(a, words, i)))
+        return let(active, lambda a: F.when(F.size(a) > 0, of_grams(a, u, i)))
 
-    def of_grams(active: Column, words: Column, i: Column) -> Column:
+    def of_grams(active: Column, u: Column, i: Column) -> Column:
         score = lambda c: F.aggregate(active, F.lit(float(model.bias[c])), lambda s, k: s + F.get(per_class[c], k)) / model.temperature
-        return let(F.array(*[score(c) for c in range(len(model.classes))]), lambda z: of_scores(z, words, i))
+        return let(F.array(*[score(c) for c in range(len(model.classes))]), lambda z: of_scores(z, u, i))
 
-    def of_scores(z: Column, words: Column, i: Column) -> Column:
+    def of_scores(z: Column, u: Column, i: Column) -> Column:
         top = F.array_max(z)
         best = F.array_position(z, top).cast("int")
         total = F.aggregate(z, F.lit(0.0), lambda s, v: s + F.exp(v - top))
         known = F.element_at(F.array(*[templates[f] for f in families]), F.least(best, F.lit(len(families))))
-        match = F.array_max(F.transform(known, lambda t: F.size(F.array_intersect(t, words)) / F.size(t)))
+
+        def near(t: Column) -> Column:
+            reach = F.ceil(F.size(t) * 1.5).cast("int")
+            first = F.greatest(u["before"] - reach + 1, F.lit(1))
+            return F.when(u["after"] > 0, F.slice(u["words"], first, u["before"] + reach - first + 1)).otherwise(u["words"])
+
+        match = F.array_max(F.transform(known, lambda t: F.size(F.array_intersect(t, near(t))) / F.size(t)))
         found = F.struct(
             i.cast("int").alias("paragraph"),
             F.element_at(F.array(*map(F.lit, model.classes)), best).alias("family"),
             (1 / total).alias("probability"),
             match.alias("match"),
+            u["after"].alias("after"),
         )
         return F.when((best <= len(families)) & (1 / total >= least), let(found, lambda f: F.when(f["match"] >= confirm, f)))
 
-    paragraphs = F.split(text, "\n")
-    return F.filter(F.transform(paragraphs, judge), lambda f: f.isNotNull())
+    def of_lines(lines: Column) -> Column:
+        n = F.size(lines)
+        units = F.concat(F.transform(lines, lambda w: unit(w, F.size(w), F.lit(0))), F.transform(lines, lambda w, i: across(lines, w, i)))
+        return let(F.transform(units, lambda u, i: of_words(u, F.pmod(i, n))), lambda f: of_found(F.slice(f, 1, n), F.slice(f, n + 1, n)))
+
+    def of_found(alone: Column, runs: Column) -> Column:
+        def first(f: Column, i: Column) -> Column:
+            held = F.exists(F.slice(alone, i + 1, f["after"] + 1), lambda a: F.coalesce(a["family"] == f["family"], F.lit(False)))
+            start = F.greatest(i - SPAN, F.lit(0))
+            met = lambda a: F.coalesce((a["family"] == f["family"]) & (a["paragraph"] + a["after"] >= i), F.lit(False))
+            return F.when(f.isNotNull() & ~held & ~F.exists(F.slice(runs, start + 1, i - start), met), f)
+
+        kept = F.filter(F.concat(alone, F.transform(runs, first)), lambda f: f.isNotNull())
+        by_line = F.array_sort(kept)
+        return F.transform(by_line, lambda f: F.struct(*[f[c].alias(c) for c in ("paragraph", "family", "probability", "match")]))
+
+    return let(F.transform(F.split(text, "\n"), cut), of_lines)
 
 
 def scan_licences(
     docs: DataFrame, confirm: float = 0.8, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per row: the id, n_paragraphs, n_licensed, families (sorted), and `found`, an array with the details.
+    """Per row: the id, n_paragraphs (lines), n_licensed, families (sorted), and `found`, an array with the details.
 
     confirm: share of a template's words that must stand in the paragraph; least: probability of the family.
     """

@@ -1,5 +1,7 @@
 """Every template is found, other sentences are not, and the plan has no Python."""
 
+import textwrap
+
 import pytest
 
 from sigilframe.llm import licences as lc
@@ -64,6 +66,32 @@ def test_odd_rows(odd_docs, no_docs):
     assert (r.n_paragraphs, r.n_licensed, r.families) == (3, 2, "mit")
 
 
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+    "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use',
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = []
+    for family, text in WRAPPED.items():
+        for width in (30, 45, 60, 72, 78):
+            for lead in ("", " * ", "# "):
+                rows.append((len(rows), "Some words first.\n" + textwrap.fill(text, width, initial_indent=lead, subsequent_indent=lead) + "\nOther words.", family))
+        # words of a notice on both sides of a blank line are no notice
+    rows.append((len(rows), "This work is under\n\nway, the GNU general", ""))
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    out = lc.scan_licences(df).join(df, "doc_id").collect()
+    assert not [(r.want, r.text, r.families) for r in out if r.families != r.want]
+    assert all(r.n_paragraphs == len(r.text.split("\n")) and all(f.match >= 0.8 for f in r.found) for r in out)
+
+
 def test_temperature_is_fitted():
     model = lc.train()
     assert 0.5 <= model.temperature <= 4 and model.classes[-1] == lc.UNKNOWN
