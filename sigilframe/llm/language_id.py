@@ -5,18 +5,21 @@ never occurred. An unseen word is cut, with a space at both ends, into n-grams o
 is known, the length is reduced by one, down to single characters, and the first length with a known n-gram scores the
 word by their mean. The text's distance from a language is the mean over its words; the nearest wins.
 
-The counts come from a bounded sample of the labelled rows: at most about `per_language` rows of each language, taken
-by a hash of the id. They are counted by Spark, and the most frequent words and n-grams of each language, up to fixed
-numbers, are the model that is sent to the executors. Its size doesn't depend on that of the table.
+The counts come from a bounded sample of the labelled rows: of each language `per_language` distinct texts at most, in
+the order of a hash of the text, and no more once `characters` are passed. Texts are learned whole, and every word and
+n-gram of them is in the model, so that the bounds of the sample are the only ones. Spark counts, and the model comes
+to the driver as columns.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is all text if there was nothing to
-learn from; ties go to the first language in alphabetical order; repeated rows get equal results; extra columns are
-not looked at; an empty table gives an empty result. Whole texts are read, however long.
+learn from; ties go to the first language in alphabetical order; repeated rows get equal results and are learned from
+once; extra columns are not looked at; an empty table gives an empty result. Whole texts are read, however long.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,7 +30,22 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, ship, texts
 
-WORD = re.compile(r"[^\W\d_]+")
+
+def _ranges(kinds: str) -> str:
+    """The characters whose general category begins with one of the letters, as the inside of a character class."""
+    out, first, last = [], None, None
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] in kinds:
+            if last != c - 1:
+                if first is not None:
+                    out.append(f"\\U{first:08x}-\\U{last:08x}")
+                first = c
+            last = c
+    return "".join([*out, f"\\U{first:08x}-\\U{last:08x}"])
+
+
+#: A letter with the letters and marks that follow it, as vowel signs are part of a word.
+WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 LONGEST = 5
 UNKNOWN = "und"
 
@@ -38,81 +56,103 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    return WORD.findall(text.lower())
 
 
 @dataclass
 class LanguageModel:
-    """Distances of words and n-grams (keyed by length and string), one number for each language."""
+    """Words and n-grams have a row each; row r's languages and their gains on the penalty are at starts[r]:starts[r + 1].
+
+    cells: numbers that are remembered for words already scored, at most."""
 
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
-    kept: int = 200_000
+    starts: np.ndarray
+    places: np.ndarray
+    gains: np.ndarray
+    penalty: float
+    cells: int = 1_200_000
     seen: dict[str, int] = field(default_factory=dict, repr=False)
-    rows: list = field(default_factory=list, repr=False)
+    rows: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}, "rows": []}
+        return self.__dict__ | {"seen": {}, "rows": None}
 
-    def word(self, w: str) -> np.ndarray | None:
-        """Distances of one word; nothing if no n-gram of any length is known."""
-        if not (w.isalpha() or any(map(str.isalpha, w))):
-            return None
+    def distances(self, known: list[int]) -> np.ndarray:
+        """Mean distance from each language of some rows."""
+        at = np.concatenate([np.arange(self.starts[r], self.starts[r + 1]) for r in known])
+        return self.penalty + np.bincount(self.places[at], self.gains[at], len(self.languages)) / len(known)
+
+    def word(self, w: str) -> tuple[np.ndarray, int]:
+        """Distances of one word; the length of the n-grams that told them, 0 if none did, or more if it is known."""
         if (i := self.words.get(w)) is not None:
-            return self.table[i]
+            return self.distances([i]), LONGEST + 1
         for n in range(LONGEST, 0, -1):
             if known := [i for g in grams(w, n) if g != " " and (i := self.grams.get(g)) is not None]:
-                return self.table[known].mean(axis=0)
-        return np.full(len(self.languages), float(self.table.max()))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNKNOWN, 0.0
-        seen, rows, places = self.seen, self.rows, []
-        for w in WORD.findall(text.lower()):
+                return self.distances(known), n
+        return np.full(len(self.languages), self.penalty), 0
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, the score, and the share of words told by more than single characters."""
+        found = WORD.findall(text.lower()) if text and self.languages else ()
+        if not found:
+            return UNKNOWN, 0.0, 0.0
+        width = len(self.languages) + 1
+        kept = max(1000, self.cells // width)
+        if self.rows is None or len(self.seen) >= kept:
+            self.seen.clear()
+            self.rows = np.empty((1024, width))
+        seen, total = self.seen, np.zeros(width)
+        at: list[int] = []
+        for w in found:
             i = seen.get(w)
             if i is None:
-                if len(w) > 64:
-                    i = len(rows)
-                    rows.append(self.word(w))
-                else:
-                    i = seen[w] = len(rows)
-                    rows.append(self.word(w))
-            places.append(i)
-        n, total = 0, np.zeros(len(self.languages))
-        for i, k in Counter(places).items():
-            if rows[i] is not None:
-                total += k * rows[i]
-                n += k
-        if len(rows) > self.kept:
-            seen.clear()
-            rows.clear()
-        if not n:
-            return UNKNOWN, 0.0
-        mean = total / n
-        near = np.power(10.0, -(mean - mean.min()) * min(n, 10))
+                far, by = self.word(w)
+                own = np.append(far, by > 1)
+                if len(w) > 64 or len(seen) >= kept:  # scored like the others, but not remembered
+                    total += own
+                    continue
+                i = seen[w] = len(seen)
+                if i >= len(self.rows):
+                    self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+                self.rows[i] = own
+            at.append(i)
+        for i in range(0, len(at), 65536):
+            total += self.rows[at[i : i + 65536]].sum(axis=0)
+        mean = total[:-1] / len(found)
+        near = np.power(10.0, -(mean - mean.min()) * min(len(found), 10))
         best = int(mean.argmin())
-        return self.languages[best], float(near[best] / near.sum())
+        return self.languages[best], float(near[best] / near.sum()), float(total[-1] / len(found))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+
+def sample_texts(labelled: DataFrame, per_language: int, characters: int, text_col: str, lang_col: str) -> DataFrame:
+    """lang and text of the sample. Rows are thinned before anything is sorted, and equal texts are one."""
+    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
+    )
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of")
+    draw = F.xxhash64("text", F.lit(17))
+    # twice as many as are wanted, about, as some may be copies
+    drawn = usable.join(counts, F.col("lang") == F.col("of")).filter(F.pmod(draw, F.lit(1 << 30)) * F.col("n") < float(2 * per_language) * (1 << 30))
+    once = drawn.groupBy("lang", "text").agg(F.count(F.lit(1)).alias("k"))
+    order = Window.partitionBy("lang").orderBy(draw, "text")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = once.withColumns({"rank": F.row_number().over(order), "before": before})
+    return ranked.filter((F.col("rank") <= per_language) & (F.col("before") < characters)).select("lang", "text")
 
 
 def train(
     labelled: DataFrame,
     per_language: int = 1000,
-    words: int = 30_000,
-    ngrams: int = 20_000,
-    id_col: str = "doc_id",
+    characters: int = 6_000_000,
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> LanguageModel:
-    """per_language: rows learned from in each language, about; words, ngrams: kept of each language and length."""
-    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[lang_col]: r["count"] for r in usable.groupBy(lang_col).count().collect()}
-    rate = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        rate = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < rate * 1_000_000
+    """per_language: texts learned from in each language; characters: of them after which no other text is taken."""
 
     def count(batch: pa.RecordBatch):
         words: dict[str, Counter] = {}
@@ -122,10 +162,9 @@ def train(
         for lang, own in words.items():
             for w, k in own.items():
                 found[lang, 0, w] = k
-                if len(w) <= 64:
-                    for n in range(1, LONGEST + 1):
-                        for g in grams(w, n):
-                            found[lang, n, g] += k
+                for n in range(1, LONGEST + 1):
+                    for g in grams(w, n):
+                        found[lang, n, g] += k
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([k[0] for k in found], pa.string()),
@@ -137,43 +176,40 @@ def train(
         )
 
     # a row per batch of the sample for each of its words, so sums are small before they are shuffled
-    sample = usable.filter(drawn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    summed = map_rows(sample, count, "lang string, n int, gram string, k bigint").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    by = Window.partitionBy("lang", "n")
-    ranked = summed.withColumns(
-        {"total": F.sum("k").over(by), "rank": F.row_number().over(by.orderBy(F.desc("k"), "gram"))}
-    ).filter(F.col("rank") <= F.when(F.col("n") == 0, words).otherwise(ngrams))
-    rows = ranked.select("lang", "n", "gram", "k", "total").collect()
-    languages = sorted({r["lang"] for r in rows})
-    place = {lang: i for i, lang in enumerate(languages)}
-    index: dict[tuple[bool, str], int] = {}
-    for r in rows:
-        index.setdefault((r["n"] == 0, r["gram"]), len(index))
-    totals = [r["total"] for r in rows]
-    penalty = float(np.log10(max(totals))) + 1 if totals else 1.0
-    table = np.full((len(index), len(languages)), penalty)
-    for r in rows:
-        table[index[r["n"] == 0, r["gram"]], place[r["lang"]]] = -np.log10(r["k"] / r["total"])
-    return LanguageModel(
-        languages,
-        {g: i for (word, g), i in index.items() if word},
-        {g: i for (word, g), i in index.items() if not word},
-        table,
-    )
+    sample = sample_texts(labelled, per_language, characters, text_col, lang_col)
+    counted = map_rows(sample, count, "lang string, n int, gram string, k bigint").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    got = counted.toArrow().sort_by([("n", "ascending"), ("gram", "ascending"), ("lang", "ascending")])
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(lang.dictionary.to_pylist())
+    rank = {name: i for i, name in enumerate(languages)}
+    places = np.array([rank[x] for x in lang.dictionary.to_pylist()], np.int32)[lang.indices.to_numpy(zero_copy_only=False)] if len(got) else np.empty(0, np.int32)
+    n, k = got["n"].to_numpy(), got["k"].to_numpy().astype(np.float64)
+    total = np.zeros((LONGEST + 1, len(languages)))
+    np.add.at(total, (n, places), k)
+    penalty = float(np.log10(total.max())) + 1 if len(got) else 1.0
+    gains = -np.log10(k / total[n, places]) - penalty
+    words: dict[str, int] = {}
+    ngrams: dict[str, int] = {}
+    starts, last = [], None
+    for i, (length, gram) in enumerate(zip(n.tolist(), got["gram"].to_pylist(), strict=True)):
+        if (length, gram) != last:
+            last = length, gram
+            (ngrams if length else words)[gram] = len(starts)
+            starts.append(i)
+    return LanguageModel(languages, words, ngrams, np.array([*starts, len(gains)], np.int64), places, gains, penalty)
 
 
 def predict_column(df: DataFrame, model: LanguageModel, text: Column) -> Column:
-    """struct<lang, score> of a text."""
+    """struct<lang, score, told> of a text."""
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang string, score double>")
+    @F.arrow_udf("struct<lang string, score double, told double>")
     def predict(column: pa.Array) -> pa.Array:
         m = sent.value
-        got = [m.predict(t) for t in texts(column)]
-        return pa.StructArray.from_arrays(
-            [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"]
-        )
+        got = [m.judge(t) for t in texts(column)]
+        kinds = (pa.string(), pa.float64(), pa.float64())
+        return pa.StructArray.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["lang", "score", "told"])
 
     return predict(text)
 
@@ -190,8 +226,14 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known."""
+def keep_identified(docs: DataFrame, score: float = 0.4, told: float = 0.5) -> DataFrame:
+    """The documents whose language is known; where lang is null it becomes the predicted one.
+
+    Rejected are texts that are null or have no letter, those of which no language has a score, and those of which more
+    than half of the words share with the learned languages single characters at most. If nothing was learned all go.
+    """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     marked = docs.withColumn("__language", predict_column(docs, model, F.col("text")))
-    return marked.filter(F.col("__language.lang") != UNKNOWN).drop("__language")
+    known = (F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= score) & (F.col("__language.told") >= told)
+    lang = F.coalesce("lang", F.col("__language.lang")).cast(docs.schema["lang"].dataType)
+    return marked.filter(known).withColumn("lang", lang).drop("__language")

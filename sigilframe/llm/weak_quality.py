@@ -1,19 +1,23 @@
 """A quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on each document. Their votes fall into at most 3 ** labellers patterns,
-which Spark counts over all documents; expectation-maximisation on these counts estimates how often each labeller
-votes what, when it votes, on good and on bad documents, and the share of good ones. The posterior of a document's pattern is the
-label from which a logistic regression over hashed features of its words learns. That linear scorer, which sees more
-than the labellers do, judges every document.
-
-The scorer is trained on the driver on a bounded sample, at most about `sample` documents taken by a hash of the id.
-
-Defined results: a document without words, or null, has score 0 and is rejected; repeated rows get equal results; an
-empty table gives an empty result and a scorer that isn't used; extra columns are not looked at. Whole texts are read.
+Heuristic labellers vote good, bad or nothing on each document. They overlap and differ in accuracy: some are seldom
+wrong, others vote bad on good documents too. Their votes fall into at most 3 ** labellers patterns, which Spark counts
+over all documents. Expectation-maximisation on these counts begins with the share of good votes and estimates how
+often each labeller votes what, when it votes, on good and on bad documents, and the share of good ones. So one bad vote
+of an accurate labeller outweighs the good ones of all that miss this kind of junk, and one of a poor labeller doesn't.
+The posterior of a document's pattern is the label from which a logistic regression over hashed features of its words
+learns. That linear scorer, which sees more than the labellers do, judges every document.
+
+The scorer is trained on the driver on a bounded sample: `sample` distinct texts at most, by a hash of the text.
+
+Defined results: a document without words, or null, has score 0 and is rejected; repeated rows get equal results and
+count each in the expectation-maximisation, but once in the sample; an empty table gives an empty result and a scorer
+that isn't used; extra columns are not looked at. Whole texts are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable
@@ -43,52 +47,53 @@ def _band(value: float, good: float, bad: float) -> int:
 
 
 def _symbols(m: Measures, data: bytes) -> int:
-    return _band(m.n_symbols / m.n_words, 0.05, 0.3)
+    return _band(m.n_symbols / m.n_words, 0.02, 0.1)
 
 
 def _shouting(m: Measures, data: bytes) -> int:
     upper, lower = len(data.translate(None, _UPPER)), len(data.translate(None, _LOWER))
-    return NONE if upper + lower < 20 else _band(upper / (upper + lower), 0.15, 0.5)
+    return NONE if upper + lower < 20 else _band(upper / (upper + lower), 0.1, 0.3)
 
 
 def _repeats(m: Measures, data: bytes) -> int:
-    return NONE if m.n_words < 12 else _band(m.n_repeat_words / m.n_words, 0.25, 0.5)
+    return NONE if m.n_words < 12 else _band(m.n_repeat_words / m.n_words, 0.1, 0.2)
 
 
 def _top_word(m: Measures, data: bytes) -> int:
     if m.n_words < 20:
         return NONE
-    return _band(int(np.bincount(m.numbers).max()) / m.n_words, 0.15, 0.3)
+    return _band(int(np.bincount(m.numbers).max()) / m.n_words, 0.12, 0.2)
 
 
 def _variety(m: Measures, data: bytes) -> int:
+    """The logarithm of the vocabulary over that of the words, which changes little with a text's length."""
     if m.n_words < 50:
         return NONE
-    return _band(1 - (int(m.numbers.max()) + 1) / min(m.n_words, 400), 0.7, 0.9)
+    return _band(1 - math.log(int(m.numbers.max()) + 1) / math.log(m.n_words), 0.15, 0.25)
 
 
 def _runs(m: Measures, data: bytes) -> int:
     if m.n_words < 12:
         return NONE
-    return _band(float(np.mean(m.numbers[1:] == m.numbers[:-1])), 0.03, 0.2)
+    return _band(float(np.mean(m.numbers[1:] == m.numbers[:-1])), 0.03, 0.1)
 
 
 def _exclaims(m: Measures, data: bytes) -> int:
-    return _band(data.count(b"!") / m.n_words, 0.1, 0.5)
+    return _band(data.count(b"!") / m.n_words, 0.05, 0.25)
 
 
 def _wordless(m: Measures, data: bytes) -> int:
     """Words without a letter or digit, such as the bars of a menu."""
-    return _band(sum(len(w) == 1 and not w.isalnum() and w[0] < 128 for w in m.words) / m.n_words, 0.05, 0.15)
+    return _band(sum(len(w) == 1 and not w.isalnum() and w[0] < 128 for w in m.words) / m.n_words, 0.03, 0.1)
 
 
 def _letters(m: Measures, data: bytes) -> int:
     """Bytes of words that are neither ASCII letters nor parts of other characters."""
-    return _band(len(data.translate(None, _LETTERS)) / max(1, len(data.translate(None, _BLANKS))), 0.15, 0.3)
+    return _band(len(data.translate(None, _LETTERS)) / max(1, len(data.translate(None, _BLANKS))), 0.08, 0.15)
 
 
 def _odd_ends(m: Measures, data: bytes) -> int:
-    return _band(sum(w[-1] in _ODD for w in m.words) / m.n_words, 0.1, 0.3)
+    return _band(sum(w[-1] in _ODD for w in m.words) / m.n_words, 0.05, 0.2)
 
 
 LABELLERS: tuple[Callable[[Measures, bytes], int], ...] = (
@@ -132,27 +137,28 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit_labels(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+def fit_labels(codes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
     """Expectation-maximisation over the votes cast; not to vote says nothing, as it mostly comes of shortness.
 
-    A kind of junk shows to few labellers, so it starts from any bad vote. Pseudo-documents keep it finite.
+    The first labels are the shares of good votes. Pseudo-documents keep it finite.
     """
     v = np.array([unpack(int(c)) for c in codes]).reshape(-1, len(LABELLERS))
-    good = np.where((v == BAD).any(axis=1), 0.05, 0.95)
+    ayes, noes = (v == GOOD).sum(axis=1), (v == BAD).sum(axis=1)
+    good = (ayes + 1) / (ayes + noes + 2)
+    cast = [BAD + 1, GOOD + 1]
     model = LabelModel(0.5, np.zeros((len(LABELLERS), 3)))
+    if not len(codes):
+        return model
     for _ in range(rounds):
-        tally = np.full((2, len(LABELLERS), 3), 2.0)
-        for side, weight in enumerate((counts * (1 - good), counts * good)):
-            for x in (BAD, GOOD):
-                tally[side, :, x + 1] += weight @ (v == x)
-        tally[:, :, NONE + 1] = 0
-        p = np.maximum(tally / tally.sum(axis=2, keepdims=True), 1e-12)
-        share = float((counts @ good + 1) / (counts.sum() + 2))
+        rate = []
+        for weight in (counts * (1 - good), counts * good):
+            tally = np.stack([weight @ (v == x) + 2.0 for x in (BAD, GOOD)], axis=1)
+            rate.append(tally / tally.sum(axis=1, keepdims=True))
         odds = np.zeros((len(LABELLERS), 3))
-        odds[:, [BAD + 1, GOOD + 1]] = np.log(p[1] / np.maximum(p[0], 1e-12))[:, [BAD + 1, GOOD + 1]]
-        model = LabelModel(share, odds)
-        new = model.posterior(codes) if len(codes) else good
-        done, good = (not len(codes)) or float(np.abs(new - good).max()) < 1e-9, new
+        odds[:, cast] = np.log(rate[1] / rate[0])
+        model = LabelModel(float((counts @ good + 1) / (counts.sum() + 2)), odds)
+        new = model.posterior(codes)
+        done, good = float(np.abs(new - good).max()) < 1e-9, new
         if done:
             break
     return model
@@ -163,7 +169,7 @@ _RUN = re.compile(r"(.)\1+")
 
 def shape(word: bytes) -> str:
     """Letters to a and A, digits to 0, runs to one: what remains is how a word is written."""
-    s = word.decode("utf-8", "replace")[:64]
+    s = word.decode("utf-8", "replace")
     s = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s)
     return _RUN.sub(r"\1", s)
 
@@ -239,8 +245,8 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, roun
     return Scorer(w.astype(np.float64), float(b))
 
 
-def train(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> tuple[LabelModel, Scorer]:
-    """sample: documents that the scorer is fitted on, about."""
+def train(docs: DataFrame, sample: int = 3000, text_col: str = "text") -> tuple[LabelModel, Scorer]:
+    """sample: distinct texts that the scorer is fitted on, at most."""
 
     def count(batch: pa.RecordBatch):
         return pa.RecordBatch.from_arrays([pa.array([pattern(votes(t)) for t in texts(batch.column(0))], pa.int32())], ["code"])
@@ -249,24 +255,29 @@ def train(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col:
     codes = np.array([r["code"] for r in counted], np.int64)
     counts = np.array([r["count"] for r in counted], np.float64)
     labels = fit_labels(codes, counts)
-    rate = min(1.0, sample / max(1.0, counts.sum()))
-    drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(29)), F.lit(1_000_000)) < rate * 1_000_000)
+    # twice as many as are wanted, about, as some may be copies; all copies of a text are drawn together and become one
+    draw = F.xxhash64(F.col(text_col), F.lit(29))
+    drawn = docs.select(F.col(text_col).alias("text"), draw.alias("draw")).filter(
+        F.pmod("draw", F.lit(1 << 30)) * F.lit(max(1.0, counts.sum())) < float(2 * sample) * (1 << 30)
+    )
 
     def features(batch: pa.RecordBatch):
         make = Features()
         code, at, values = [], [], []
         for t in texts(batch.column(0)):
-            if (got := make(t)) is not None:
-                code.append(pattern(votes(t)))
-                at.append(got[0].astype(np.int32))
-                values.append(got[1].astype(np.float32))
+            got = make(t)
+            code.append(pattern(votes(t)))
+            at.append(got and got[0].astype(np.int32))
+            values.append(got and got[1].astype(np.float32))
         return pa.RecordBatch.from_arrays(
-            [pa.array(code, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
-            ["code", "at", "values"],
+            [batch.column(1), pa.array(code, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+            ["draw", "code", "at", "values"],
         )
 
-    # each row holds BUCKETS features at most, so the sample's size bounds what comes to the driver
-    held = map_rows(drawn.select(text_col), features, "code int, at array<int>, values array<float>").collect()
+    # each row holds BUCKETS features at most, and their number is limited, so what comes to the driver is bounded
+    made = map_rows(drawn, features, "draw bigint, code int, at array<int>, values array<float>").filter("at is not null")
+    once = made.groupBy("draw").agg(*[F.first(c).alias(c) for c in ("code", "at", "values")])
+    held = once.orderBy(F.pmod("draw", F.lit(1 << 30)), "draw").limit(sample).collect()
     rows = [(np.array(r["at"], np.int64), np.array(r["values"])) for r in held]
     good = labels.posterior(np.array([r["code"] for r in held], np.int64)) if held else np.empty(0)
     return labels, fit_scorer(rows, good)
