@@ -144,16 +144,20 @@ m AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
              CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS n_lines
       FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
-v AS (SELECT *, unnest([{'k': 'symbols', 'v': n_symbols / greatest(n_words, 1)::DOUBLE, 's': 0.25::DOUBLE}, {'k': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1)::DOUBLE, 's': 0.4::DOUBLE},
-                        {'k': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)::DOUBLE, 's': 0.3::DOUBLE}, {'k': 'word_length', 'v': word_chars / greatest(n_words, 1)::DOUBLE, 's': 3.0::DOUBLE}]) AS x FROM m),
+v AS (SELECT *, unnest([{'k': 'symbols', 'v': n_symbols / greatest(n_words, 1)::DOUBLE, 'c': n_symbols, 'z': greatest(n_words, 1)},
+                        {'k': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1)::DOUBLE, 'c': n_dup_lines, 'z': greatest(n_lines, 1)},
+                        {'k': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)::DOUBLE, 'c': n_repeat_words, 'z': greatest(n_words, 1)},
+                        {'k': 'word_length', 'v': word_chars / greatest(n_words, 1)::DOUBLE, 'c': word_chars, 'z': greatest(n_words, 1)}]) AS x FROM m),
 b AS (SELECT *, CASE WHEN x.v < 1e-4 THEN 0 ELSE floor(ln(x.v / 1e-4) / ln(1.04::DOUBLE)) + 1 END AS bin FROM v WHERE n_words > 0),
-lev AS (SELECT 0 AS level, lang, source, x.k AS k, x.s AS s, bin FROM b UNION ALL SELECT 1, lang, NULL, x.k, x.s, bin FROM b UNION ALL SELECT 2, NULL, NULL, x.k, x.s, bin FROM b),
-q AS (SELECT level, lang, source, k, s, count(*) AS n, quantile_disc(bin, 0.25) AS lo, quantile_disc(bin, 0.75) AS hi FROM lev GROUP BY ALL),
-f AS (SELECT *, CASE WHEN lo = 0 THEN 0 ELSE 1e-4 * pow(1.04::DOUBLE, lo - 0.5) END AS low, CASE WHEN hi = 0 THEN 0 ELSE 1e-4 * pow(1.04::DOUBLE, hi - 0.5) END AS high FROM q),
-e AS (SELECT level, lang, source, k, n, high + greatest(3.0 * (high - low), s) AS fence FROM f),
-u AS (SELECT o.lang, o.source, o.k, CASE WHEN o.n >= 30 THEN o.fence WHEN l.n >= 30 THEN l.fence ELSE a.fence END AS fence
+lev AS (SELECT 0 AS level, lang, source, x.k AS k, bin FROM b UNION ALL SELECT 1, lang, NULL, x.k, bin FROM b UNION ALL SELECT 2, NULL, NULL, x.k, bin FROM b),
+q AS (SELECT level, lang, source, k, count(*) AS n, quantile_disc(bin, [0.25, 0.75, 0.8, 0.995]) AS qs FROM lev GROUP BY ALL),
+w AS (SELECT level, lang, source, k, n, [CASE WHEN a = 0 THEN 0 ELSE 1e-4 * pow(1.04::DOUBLE, a - 0.5) END FOR a IN qs] AS cut FROM q),
+e AS (SELECT level, lang, source, k, n, greatest(cut[2] + 3.0 * (cut[2] - cut[1]), CASE WHEN k IN ('dup_lines', 'repeats') THEN cut[4] ELSE cut[3] END) AS up,
+             cut[1] - 3.0 * (cut[2] - cut[1]) AS down FROM w),
+u AS (SELECT o.lang, o.source, o.k, CASE WHEN o.n >= 30 THEN o.up WHEN l.n >= 30 THEN l.up ELSE a.up END AS up, CASE WHEN o.n >= 30 THEN o.down WHEN l.n >= 30 THEN l.down ELSE a.down END AS down
       FROM e o JOIN e l ON l.level = 1 AND l.k = o.k AND l.lang IS NOT DISTINCT FROM o.lang JOIN e a ON a.level = 2 AND a.k = o.k WHERE o.level = 0),
-ok AS (SELECT v.doc_id, bool_and(x.v <= u.fence) AS within FROM v JOIN u ON u.k = v.x.k AND u.lang IS NOT DISTINCT FROM v.lang AND u.source IS NOT DISTINCT FROM v.source GROUP BY v.doc_id)
+ok AS (SELECT v.doc_id, bool_and(x.c - u.up * x.z <= 3.0 * sqrt(x.c::DOUBLE) AND (x.k <> 'word_length' OR u.down * x.z - x.c <= 3.0 * sqrt(x.c::DOUBLE))) AS within
+       FROM v JOIN u ON u.k = v.x.k AND u.lang IS NOT DISTINCT FROM v.lang AND u.source IS NOT DISTINCT FROM v.source GROUP BY v.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(within, FALSE) AS kept FROM m LEFT JOIN ok USING (doc_id)

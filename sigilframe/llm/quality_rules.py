@@ -2,9 +2,13 @@
 
 Each document has a few measures. Their distributions are kept as quantile sketches with logarithmic bins (a value
 is known within 2 percent), which are counts and therefore merge by addition: those of a language's sources make that
-language's sketch, and all make the corpus's. A document is kept if no measure lies beyond the upper fence of its
-language and source, the upper quartile and `reach` times the distance from the lower one, and at least a slack.
-Where language and source have fewer than `least` documents, the language's fence holds, or else the corpus's.
+language's sketch, and all make the corpus's. From its quartiles a language and source gets an upper fence for every
+measure, and a lower one for the length of words: `reach` times the distance of the quartiles beyond them. A measure
+that most documents of the group don't have has equal quartiles, so the upper fence is at least the group's quantile
+TAIL, which bounds the share of a group that the measure may call outliers. A document is kept if no measure lies
+beyond a fence by more than `errors` standard errors of its count, so that one or two symbols or lines don't condemn a
+short document. Where language and source have fewer than `least`
+documents, the language's fences hold, or else the corpus's.
 
 The sketches are grouped by Spark, so a source with a third of all rows is summed before it is shuffled, and the
 fences are joined to the measures.
@@ -26,8 +30,12 @@ from .text_measures import measure
 
 #: Width of a bin, and the value that the first one starts with.
 GAMMA, FIRST = 1.04, 1e-4
-#: Measure and the least distance of its fence from the upper quartile.
-SLACK = {"symbols": 0.25, "dup_lines": 0.4, "repeats": 0.3, "word_length": 3.0}
+#: Measure and, in thousandths, the quantile of its group that its upper fence isn't below: the tail beyond is what it
+#: may condemn at most where quartiles are equal. Symbols and long words are marks of whole kinds of junk, so their
+#: tails are wide; repeated lines and words are common in good documents too, and only extremes count.
+TAIL = {"symbols": 800, "dup_lines": 995, "repeats": 995, "word_length": 800}
+#: Measures that have a lower fence too.
+LOWER = ("word_length",)
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -49,14 +57,21 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return map_rows(chosen, run, schema)
 
 
+#: Measure, its count, and what it is counted in.
+SHARES = {
+    "symbols": ("n_symbols", "n_words"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"),
+    "word_length": ("word_chars", "n_words"),
+}
+
+
+def size_of(column: str) -> Column:
+    return F.greatest(F.col(column), F.lit(1))
+
+
 def ratios() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    return {
-        "symbols": F.col("n_symbols") / words,
-        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeats": F.col("n_repeat_words") / words,
-        "word_length": F.col("word_chars") / words,
-    }
+    return {m: F.col(k) / size_of(n) for m, (k, n) in SHARES.items()}
 
 
 def bin_of(value: Column) -> Column:
@@ -85,39 +100,53 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, reach: float) -> DataFrame:
-    """Upper fence of each level, group and measure, with the documents it stands on."""
+    """Upper and lower fences of each level and group, with the documents they stand on."""
     group = Window.partitionBy("level", "lang", "source", "measure")
     counted = sketch.withColumns({"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("bin"))})
-    quantile = lambda q: value_of(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))))
+    level = lambda q: value_of(F.min(F.when(1000 * F.col("upto") >= q * F.col("total"), F.col("bin"))))
+    tail = F.lit(0)
+    for m, q in TAIL.items():
+        tail = F.when(F.col("measure") == m, F.lit(q)).otherwise(tail)
     at = counted.groupBy("level", "lang", "source", "measure").agg(
-        quantile(0.25).alias("low"), quantile(0.75).alias("high"), F.max("total").alias("documents")
+        level(F.lit(250)).alias("low"), level(F.lit(750)).alias("high"), level(tail).alias("tail"), F.max("total").alias("documents")
     )
-    slack = F.lit(0.0)
-    for m, s in SLACK.items():
-        slack = F.when(F.col("measure") == m, F.lit(s)).otherwise(slack)
-    fence = F.col("high") + F.greatest(reach * (F.col("high") - F.col("low")), slack)
+    spread = reach * (F.col("high") - F.col("low"))
+    upper, lower = F.greatest(F.col("high") + spread, F.col("tail")), F.col("low") - spread
+    of = lambda m, v: F.max(F.when(F.col("measure") == m, v))
     return at.groupBy("level", "lang", "source").agg(
-        F.max("documents").alias("documents"),
-        *[F.max(F.when(F.col("measure") == m, fence)).alias(m) for m in SLACK],
+        F.max("documents").alias("documents"), *[of(m, upper).alias(m) for m in TAIL], *[of(m, lower).alias(f"least_{m}") for m in LOWER]
     )
 
 
 def group_fences(sketch: DataFrame, least: int, reach: float) -> DataFrame:
     """One row for each language and source, with the fence of the first level that has documents enough."""
     at = fences(sketch, reach)
-    row = F.struct(*SLACK)
+    row = F.struct(*TAIL, *[f"least_{m}" for m in LOWER])
     own = at.filter("level = 0").select("lang", "source", "documents", row.alias("own"))
-    lang = at.filter("level = 1").select(F.col("lang").alias("l"), F.col("documents").alias("n1"), row.alias("by_lang"))
-    # one row for the whole corpus, so this is a lookup and not a product of two tables
-    whole = at.filter("level = 2").select(F.lit(1).alias("one"), row.alias("whole"))
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l"))).withColumn("one", F.lit(1)).join(whole, "one")
+    # the corpus's is one row; taken over the few rows of level 1 it comes along with the language's
+    whole = F.max(F.when(F.col("level") == 2, row)).over(Window.partitionBy(F.lit(1)))
+    lang = at.filter("level > 0").withColumn("whole", whole).filter("level = 1").select(
+        F.col("lang").alias("l"), F.col("documents").alias("n1"), row.alias("by_lang"), "whole"
+    )
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")))
     use = (
         F.when(F.col("documents") >= least, F.col("own")).when(F.col("n1") >= least, F.col("by_lang")).otherwise(F.col("whole"))
     )
     return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), use.alias("fence"))
 
 
-def apply_quality_rules(docs: DataFrame, least: int = 30, reach: float = 3.0) -> DataFrame:
+def within(errors: float) -> Column:
+    """No count lies beyond a fence of the document's group by more than so many of its standard errors."""
+    out = F.lit(True)
+    for m, (k, n) in SHARES.items():
+        error = errors * F.sqrt(F.col(k).cast("double"))
+        out = out & (F.col(k) - F.col(f"fence.{m}") * size_of(n) <= error)
+        if m in LOWER:
+            out = out & (F.col(f"fence.least_{m}") * size_of(n) - F.col(k) <= error)
+    return out
+
+
+def apply_quality_rules(docs: DataFrame, least: int = 30, reach: float = 3.0, errors: float = 3.0) -> DataFrame:
     """Per row: doc_id, n_words, the four counts of the base rule, base_failed, kept."""
     ensure_checkpoint_dir(docs.sparkSession)
     measured = base_measures(docs).checkpoint()
@@ -125,9 +154,6 @@ def apply_quality_rules(docs: DataFrame, least: int = 30, reach: float = 3.0) ->
     limits = group_fences(sketches(measured), least, reach).checkpoint()
     same = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    within = F.lit(True)
-    for m, v in ratios().items():
-        within = within & (v <= F.col(f"fence.{m}"))
     return measured.join(limits, same, "left").select(
         "doc_id",
         "n_words",
@@ -136,5 +162,5 @@ def apply_quality_rules(docs: DataFrame, least: int = 30, reach: float = 3.0) ->
         "n_dup_lines",
         "n_repeat_words",
         base_failed.alias("base_failed"),
-        (~base_failed & F.coalesce(within, F.lit(False))).alias("kept"),
+        (~base_failed & F.coalesce(within(errors), F.lit(False))).alias("kept"),
     )

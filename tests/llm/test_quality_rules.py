@@ -76,3 +76,29 @@ def test_odd_rows(odd_docs, no_docs):
     want = sorted(plain(r.text) for r in odd_docs.select("text").collect())
     assert sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
     assert qr.apply_quality_rules(no_docs).count() == 0
+
+
+def test_fences_differ_by_group_and_decide(spark):
+    """The fences reject, and not the base rule alone; those of the groups differ, and so do verdicts where sources do."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    own = qr.apply_quality_rules(docs).select("doc_id", "kept")
+    base = qr.apply_quality_rules(docs, reach=1e9, errors=1e9).select("doc_id", F.col("kept").alias("base"))
+    assert own.join(base, "doc_id").filter("base and not kept").count() > 500
+    limits = qr.group_fences(qr.sketches(qr.base_measures(docs)), 30, 3.0)
+    assert limits.select("fence.word_length").distinct().count() > 10 and limits.select("fence.repeats").distinct().count() > 5
+    # code in one source: its symbols are no outliers, and one fence for all would let prose have as many
+    code = docs.filter("source = 'src1'").withColumn("text", F.regexp_replace("text", " ", " #"))
+    mixed = docs.filter("source <> 'src1'").unionByName(code)
+    grouped = qr.apply_quality_rules(mixed).select("doc_id", "kept")
+    whole = qr.apply_quality_rules(mixed.withColumns({"lang": F.lit("x"), "source": F.lit("y")})).select("doc_id", F.col("kept").alias("other"))
+    differ = grouped.join(whole, "doc_id").filter("kept <> other").join(docs.select("doc_id", "source"), "doc_id")
+    assert differ.filter("source = 'src1' and kept").count() > 200
+
+
+def test_short_documents_are_not_judged_by_one_symbol(spark):
+    word = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+    text = lambda i: " ".join(word[(i + k) % 24] + str(i) + str(k) for k in range(60))
+    rows = [(i, text(i), "en", "prose") for i in range(300)] + [(900, text(900) + " $5", "en", "prose"), (901, text(901) + " $#&" * 12, "en", "prose")]
+    out = {r.doc_id: r for r in qr.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i].kept for i in range(300)) and out[900].kept
+    assert not out[901].base_failed and not out[901].kept
