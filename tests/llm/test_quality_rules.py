@@ -85,7 +85,7 @@ def test_fences_differ_by_group_and_decide(spark):
     base = qr.apply_quality_rules(docs, reach=1e9, errors=1e9).select("doc_id", F.col("kept").alias("base"))
     assert own.join(base, "doc_id").filter("base and not kept").count() > 500
     limits = qr.group_fences(qr.sketches(qr.base_measures(docs)), 30, 3.0)
-    assert limits.select("fence.word_length").distinct().count() > 3 and limits.select("fence.repeats").distinct().count() > 3
+    assert limits.select("fence.word_length").distinct().count() > 3 and limits.select("fence.dup_lines").distinct().count() > 3
     # code in one source: its symbols are no outliers, and one fence for all would let prose have as many
     code = docs.filter("source = 'src1'").withColumn("text", F.regexp_replace("text", " ", " #"))
     mixed = docs.filter("source <> 'src1'").unionByName(code)
