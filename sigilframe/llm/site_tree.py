@@ -2,21 +2,28 @@
 
 The pages of a host are merged: elements with the same path of tags and classes are one node. Two entropies measure a
 node. Of presentation: how the node's children vary over the m pages that have it, in logarithms to base m. Of
-content: each text under the node, seen on k pages, has the entropy log k / log m, and the node's importance is one
-less their mean, so a text that every page repeats counts 0 and one of a single page counts 1. A node's composite
-importance is GAMMA of its content's and the rest of its parent's presentation. Branches of low importance are
-removed from each page.
-
-What a page says of itself comes first: branches that are menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments by their tag, role, class or id are removed, and what is inside <article> or
-<main> has a lower bar, LEAST_INSIDE, as pages that repeat each other would else lose their text: a text counts as
-repeated there only if the pages that share it differ in their longest text of another path, its path must be on
-MIN_INSIDE pages or more, and a page of which more than half would go keeps all of it. A class or id doesn't remove the
-branch that holds the page's <article> or <main>. The tree decides on the rest.
-
-Pages are parsed where they lie. Only hashes of paths and texts are shuffled, and summed before. The removed paths of
-each host are broadcast to the pages if they are few in all, else joined by shuffling. A host may hold any share of
-the pages.
+content: each text under the node, seen on k pages, has the entropy log k / log m, and content is one less their mean,
+so a text that every page repeats counts 0 and one of a single page counts 1. What a node's text is worth is also told
+by where it stands: its setting is the presentation of its parent, or its share of the host's text against VOLUME if
+that is more, and 1 for headings. A template's slots stand in the same place on all pages and hold little, so their
+setting is near 0 though their words may vary; an article's paragraphs differ in number and hold most of the text. The
+importance of a node is content * (GAMMA + (1 - GAMMA) * setting), less the share of its text that is links if it is
+outside an article. In a page the importances are averaged, weighted by length, from the blocks up the branches. Blocks
+and branches of low importance are removed: below LEAST, below LEAST_BESIDE beside the page's <article> or <main>, below
+LEAST_INSIDE inside of it, the latter two on evidence of MIN_PAGES pages or more.
+
+What a page says of itself is a prior: branches that are menus, page headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or comments by their tag, role, class or id, or that aren't shown, are removed too, for a host of one
+page has no tree. A class or id doesn't remove the branch that holds the page's <article> or <main>, and a word such as
+in `no-sidebar` counts only beside those.
+
+Copies of a page repeat each other without being a template. So a text counts as repeated only if the pages that
+share it differ in their longest text of another path; an article of which more than half would go is kept whole; and
+a page without <article> or <main> keeps texts that vary where more than half of its text would go with them.
+
+Pages are parsed where they lie, in time linear in their length. Only hashes of paths and texts are shuffled, and
+summed before. The low nodes of each host are broadcast to the pages if they are few in all, else joined by shuffling.
+A host may hold any share of the pages.
 
 Defined results: null html counts as empty and gives an empty text; a null url is a host of its own; repeated rows get
 equal results; broken markup is read as far as it goes; extra columns are not looked at; an empty table gives an empty
@@ -29,6 +36,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +44,12 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, map_rows, texts
 
-#: Fixed lists of HTML: elements without an end, those that stand inside a line, those whose content is no markup.
+#: Fixed lists of HTML: elements without an end, those that begin a block, those whose content is no markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+BLOCK = frozenset(
+    "html head body address article aside blockquote br caption center col colgroup dd details dialog dir div dl dt "
+    "fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav optgroup "
+    "ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 #: Elements that end an open <p>.
@@ -48,13 +57,15 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TABLE = frozenset("table tbody thead tfoot tr td th caption html body".split())
 #: Elements that are no part of an article.
 NOISE_TAGS = frozenset(
-    "nav footer aside form script style noscript template iframe object embed applet canvas svg math button select "
-    "option textarea input label head title menu dialog audio video map xmp noembed noframes".split()
+    "nav footer aside script style noscript template iframe object embed applet canvas svg button select option textarea "
+    "input label head title menu dialog audio video map xmp noembed noframes search".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words of classes and ids that name parts outside the article.
+#: A prior: words of classes and ids that name parts outside the article.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments "
     "commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu menus modal nav "
@@ -62,224 +73,378 @@ NOISE_WORDS = frozenset(
     "recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored "
     "sponsors subscribe subscription tagcloud toolbar topbar widget widgets".split()
 )
+#: Words before or after these in a class or id that deny it, name a state, or belong to the article.
+BEFORE = frozenset("no not without non hide has have with is".split())
+AFTER = frozenset("free less off hidden content wrapper container layout page".split())
+OWN = frozenset("entry post article story page title".split())
 ANCHORS = frozenset(("article", "main"))
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S
-)
-#: Open elements from which on, as in browsers, a new one isn't nested deeper.
-DEEPEST = 400
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<!\S)(hidden)(?!\S)", re.I)
-BLANKS = re.compile(r"\s+")
-WORDS = re.compile(r"[a-z]+")
-GAMMA, LEAST = 0.9, 0.35
-LEAST_INSIDE, MIN_INSIDE = 0.2, 3
-
-
-def _noise(tag: str, attributes: str, inside: bool) -> int:
-    """2 by tag, role or being hidden, 1 by a word of class or id, else 0.
-
-    inside: an <article> or <main> is open, whose own header belongs to the text."""
-    if tag in NOISE_TAGS or (tag == "header" and not inside):
-        return 2
-    if not attributes or tag in ("html", "body") or tag in ANCHORS:
-        return 0
-    named = 0
-    for m in ATTRIBUTE.finditer(attributes):
-        if m[5]:
-            return 2
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in NOISE_ROLES or name == "aria-hidden" and value == "true":
-            return 2
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(WORDS.findall(value)):
-            named = 1
-    return named
-
-
-def _class(attributes: str) -> str:
-    for m in ATTRIBUTE.finditer(attributes):
-        if m[1] and m[1].lower() == "class":
-            return "." + ".".join(sorted((m[2] or m[3] or m[4] or "").split()))
-    return ""
+TAG = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+STOP = re.compile(r">|=\s*+([\"'])")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+PARTS = re.compile(r"[A-Z]?[a-z]++|[A-Z]++")
+GAMMA, VOLUME, LEAST = 0.3, 0.25, 0.35
+LEAST_BESIDE, LEAST_INSIDE, MIN_PAGES = 0.6, 0.2, 3
+
+#: What an element says of itself: nothing, a noise word that may be none (beside an article it is), one, noise for sure.
+PLAIN, MAYBE, NAMED, SURE = range(4)
+
+
+def number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _word(value: str, inside: bool, header: bool) -> int:
+    """What a class or id says."""
+    found = PLAIN
+    for token in value.split():
+        parts = [p.lower() for p in PARTS.findall(token)]
+        noisy = NOISE_WORDS.intersection(parts)
+        if noisy == {"header"} and inside and (header or not OWN.isdisjoint(parts)):
+            continue
+        if noisy:
+            doubt = parts[0] in BEFORE or parts[-1] in AFTER or noisy == {"header"} and not OWN.isdisjoint(parts)
+            found = max(found, MAYBE if doubt else NAMED)
+    return found
+
+
+def _describe(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
+    """Tag with classes, and what the element says of itself. inside: an <article> or <main> is open."""
+    own, told = tag, PLAIN
+    if tag in NOISE_TAGS:
+        told = SURE
+    elif tag == "form" or tag == "header" and not inside:
+        told = NAMED
+    if attributes and TELLING.search(attributes):
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "class":
+                own = tag + "." + ".".join(sorted(value.split()))
+            if tag in ("html", "body"):
+                continue
+            if name in ("class", "id"):
+                told = max(told, _word(value, inside, tag == "header"))
+            elif (
+                name == "hidden"
+                or name == "role" and value.lower() in NOISE_ROLES
+                or name == "aria-hidden" and value.lower() == "true"
+                or name == "style" and UNSEEN.search(value.lower())
+            ):
+                told = SURE
+    return own, told
+
+
+class Cache:
+    """Of a worker: numbers of paths and of lists of children, and what elements say."""
+
+    def __init__(self, kept: int = 200_000):
+        self.kept, self.paths, self.told = kept, {}, {}
+
+    def path(self, parent: int, own: str) -> int:
+        key = parent, own
+        got = self.paths.get(key)
+        if got is None:
+            if len(self.paths) >= self.kept:
+                self.paths.clear()
+            got = number(f"{parent}/{own}")
+            if len(own) <= 256:
+                self.paths[key] = got
+        return got
+
+    def describe(self, tag: str, attributes: str, inside: bool) -> tuple[str, int]:
+        if len(attributes) > 256:
+            return _describe(tag, attributes, inside)
+        key = tag, attributes, inside
+        got = self.told.get(key)
+        if got is None:
+            if len(self.told) >= self.kept:
+                self.told.clear()
+            got = self.told[key] = _describe(tag, attributes, inside)
+        return got
+
+
+_cache = Cache()
+
+
+class Block(NamedTuple):
+    """state: 1 inside the page's <article> or <main>, 0 outside, -1 noise by its own markup. element: the innermost
+    that begins a block. links: characters of the text that are links."""
+
+    path: int
+    element: int
+    state: int
+    text: str
+    links: int
+    heading: bool
+
+
+class Open(NamedTuple):
+    """sure: noise for sure, of the element or one above. named: the innermost of those that classes or ids name.
+    mute: inside an element that stands in a line and isn't shown."""
+
+    tag: str
+    path: int
+    element: int
+    sure: bool
+    named: int
+    anchor: int
+    mute: bool
 
 
 class Page:
-    """blocks: (path, state, text) in page order, state 1 inside an anchor, 0 outside, -1 noise by its own markup.
-    children: for each path the tags that follow in it, over all its elements."""
+    """blocks, in page order. up: of each element the one above. children: of each path the elements that follow in it."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, str]] = []
-        self.children: dict[str, list[str]] = {}
-        # of each open element: tag, path, noise, the elements above and with it that are noise by class or id, anchor
-        self.open: list[tuple[str, str, bool, tuple[int, ...], int]] = [("", "", False, (), 0)]
-        # of each <article> or <main>, from 1: tag, what is noise by class or id above it, letters of its own text
-        self.anchors: list[tuple[str, tuple[int, ...], list[int]]] = [("", (), [0])]
-        self.named = 0
-        self.raw: list[tuple[str, bool, tuple[int, ...], int, str]] = []
+        self.blocks: list[Block] = []
+        self.parents: dict[int, int] = {0: 0}
+        self.children: dict[int, list[str]] = {}
+        self.up, self.holds = [0], [True]  # element 0 stands for the page; holds: an anchor, or is one
+        self.open = [Open("", 0, 0, False, 0, 0, False)]
+        self.where: dict[str, list[int]] = {}
+        # of each element that a class or id names, from 1: the one above, how many stand above, sure of it or not
+        self.above, self.depth, self.certain = [0], [0], [True]
+        # of each <article> or <main>, from 1: tag, what is named above it, characters of its own text
+        self.anchors: list[list] = [["", 0, 0]]
+        self.raw: list[tuple] = []
         self.parts: list[str] = []
+        self.links, self.link = 0, 0  # of the block; where in `open` a link began
+        self.simple = False
         self.read(source)
+        self.end_block()
+        self.judge()
+
+    def judge(self) -> None:
+        """What is named inside or beside the branches that hold the page's text is noise."""
         held = self.held()
-        for path, noise, named, anchor, text in self.raw:
-            self.blocks.append((path, -1 if noise or not held.issuperset(named) else int(anchor > 0), text))
+        bad = [False]
+        for i in range(1, len(self.above)):
+            bad.append(bad[self.above[i]] or i not in held and (self.certain[i] or self.anchored))
+        for path, element, sure, named, anchor, text, links, heading in self.raw:
+            state = -1 if sure or bad[named] else int(anchor > 0)
+            self.blocks.append(Block(path, element, state, text, links, heading))
 
     def held(self) -> set[int]:
-        """Elements that are noise by class or id, but hold the page's text: its <article>s below the fewest of them,
-        or the <main> if that has as much text of its own below fewer. What is named so beside or inside them is noise."""
-        least: dict[str, tuple[int, int, set[int]]] = {}
+        """Named elements above the page's text: its <article>s below the fewest of them, or the <main> if that has as
+        much text of its own below fewer."""
+        least: dict[str, list] = {}
         for tag, named, size in self.anchors[1:]:
-            depth, total, above = least.get(tag, (len(named), 0, set()))
-            if size[0] and len(named) <= depth:
-                if len(named) < depth:
-                    total, above = 0, set()
-                least[tag] = (len(named), total + size[0], above | set(named))
+            if size:
+                depth, total, below = least.setdefault(tag, [self.depth[named], 0, []])
+                if self.depth[named] < depth:
+                    least[tag] = [self.depth[named], size, [named]]
+                elif self.depth[named] == depth:
+                    least[tag][1] += size
+                    below.append(named)
         article, main = least.get("article"), least.get("main")
         if article and main and main[0] < article[0] and main[1] >= article[1]:
             article = None
-        return (article or main or (0, 0, set()))[2]
+        chosen = article or main
+        self.anchored = chosen is not None
+        held: set[int] = set()
+        for named in chosen[2] if chosen else ():
+            while named and named not in held:
+                held.add(named)
+                named = self.above[named]
+        return held
 
     def end_block(self) -> None:
         if self.parts:
-            text = BLANKS.sub(" ", "".join(self.parts)).strip()
+            text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                _, path, noise, named, anchor = next(x for x in reversed(self.open) if x[0] not in INLINE)
-                self.raw.append((path, noise, named, anchor, text))
-                if not noise and named == self.anchors[anchor][1]:
-                    self.anchors[anchor][2][0] += len(text)
+                at = self.open[-1]
+                self.raw.append((at.path, at.element, at.sure, at.named, at.anchor, text, min(self.links, len(text)), at.tag in HEADINGS))
+                if not at.sure and at.named == self.anchors[at.anchor][1]:
+                    self.anchors[at.anchor][2] += len(text)
+        self.links = 0
+
+    def push(self, entry: Open) -> None:
+        self.where.setdefault(entry.tag, []).append(len(self.open))
+        self.open.append(entry)
+
+    def pop_to(self, i: int) -> None:
+        """Closes what is open from place i on."""
+        if any(not x.mute for x in self.open[i:]):
+            self.end_block()
+        for x in self.open[i:]:
+            self.where[x.tag].pop()
+        del self.open[i:]
+        if self.link >= i:
+            self.link = 0
+
+    def last(self, *tags: str) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
 
     def close(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                if tag not in INLINE or any(x[0] not in INLINE for x in self.open[i + 1 :]):
-                    self.end_block()
-                del self.open[i:]
-                return
-        if tag == "p" or tag not in INLINE:
+        if tag == "a":
+            self.link = 0
+        i = self.last(tag)
+        if i and (tag in TABLE or i > self.last("td", "th", "caption")):
+            self.pop_to(i)
+        elif tag in BLOCK and not self.open[-1].mute:
             self.end_block()
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag not in INLINE:
+        block, at = tag in BLOCK, self.open[-1]
+        if block and not at.mute:
             self.end_block()
-        tops = [x[0] for x in self.open]
-        if tag in ENDS_P and "p" in tops:
-            self.close("p")
-        elif tag == "li" and "li" in tops and not {"ul", "ol"} & set(tops[len(tops) - tops[::-1].index("li") :]):
-            self.close("li")
-        elif tag in ("dt", "dd") and tops[-1] in ("dt", "dd"):
-            self.close(tops[-1])
-        elif tag in ("td", "th") and tops[-1] in ("td", "th"):
-            self.close(tops[-1])
-        elif tag == "tr":
-            for cell in ("td", "th", "tr"):
-                if cell in tops and "table" not in tops[len(tops) - tops[::-1].index(cell) :]:
-                    self.close(cell)
-        _, path, noise, named, anchor = self.open[-1]
-        own = tag + _class(attributes) if attributes else tag
-        if tag in INLINE:
-            self.inline(tag, attributes, path, noise, named, anchor)
+        if block:
+            last = self.last
+            if tag in ENDS_P and last("p") > last("td", "th", "caption", "button", "object"):
+                self.pop_to(last("p"))
+            elif tag == "li" and last("li") > last("ul", "ol", "menu"):
+                self.pop_to(last("li"))
+            elif tag in ("dt", "dd") and last("dt", "dd") > last("dl"):
+                self.pop_to(last("dt", "dd"))
+            elif tag in ("td", "th") and last("td", "th") > last("table"):
+                self.pop_to(last("td", "th"))
+            elif tag == "tr" and (last("tr") > last("table") or last("td", "th") > last("table")):
+                self.pop_to(last("tr") if last("tr") > last("table") else last("td", "th"))
+            at = self.open[-1]
+        own, told = _cache.describe(tag, attributes, at.anchor > 0)
+        void = tag in VOID or attributes.endswith("/") and tag in ("svg", "path")
+        if not block:
+            if void:
+                return
+            if tag == "a":
+                self.link = len(self.open) - 1 or 1
+            if at.mute or told:  # pushed, so that its end is known; others that stand in a line leave no trace
+                self.push(at._replace(tag=tag, mute=True))
             return
-        self.children.setdefault(path, []).append(own)
-        if tag in VOID or attributes.endswith("/") and tag in ("svg", "path") or len(self.open) >= DEEPEST:
+        if not at.mute:
+            self.children.setdefault(at.path, []).append(own)
+        if void:
             return
+        sure, named, anchor = at.sure, at.named, at.anchor
         if tag == "body":
-            noise, named = False, ()
-        if not noise:
-            found = _noise(tag, attributes, anchor > 0)
-            noise = found == 2
-            if found == 1:
-                self.named += 1
-                named = (*named, self.named)
-        if tag in ANCHORS and not noise:
-            self.anchors.append((tag, named, [0]))
+            sure, named = False, 0
+        if told == SURE:
+            sure = True
+        elif told and not sure:
+            self.above.append(named)
+            self.depth.append(self.depth[named] + 1)
+            self.certain.append(told == NAMED)
+            named = len(self.above) - 1
+        path = _cache.path(at.path, own)
+        self.parents[path] = at.path
+        element = len(self.up)
+        self.up.append(at.element)
+        self.holds.append(tag in ("html", "body"))
+        if tag in ANCHORS and not sure and not at.mute:
+            self.anchors.append([tag, named, 0])
             anchor = len(self.anchors) - 1
-        self.open.append((tag, f"{path}/{own}", noise, named, anchor))
-
-    def inline(self, tag: str, attributes: str, path: str, noise: bool, named: tuple[int, ...], anchor: int) -> None:
-        if tag in VOID or len(self.open) >= DEEPEST:
-            return
-        hidden = not noise and _noise(tag, attributes, anchor > 0) and tag != "label"
-        if hidden or tag == "label":
-            self.end_block()
-            # a branch of its own, though inside a line: what it holds is no part of the block around it
-            self.open.append(("\0" + tag, f"{path}/{tag}", True, named, anchor))
-        else:
-            self.open.append((tag, path, noise, named, anchor))
+            while not self.holds[element]:
+                self.holds[element] = True
+                element = self.up[element]
+            element = len(self.up) - 1
+        self.push(Open(tag, path, element, sure, named, anchor, at.mute))
+
+    def end_of_tag(self, source: str, at: int) -> int:
+        """The place of the > that ends a tag, not in quotes. Where quotes leave a tag without an end, it and the rest
+        of the page are read as if there were none."""
+        place = at
+        while not self.simple:
+            m = STOP.search(source, place)
+            if m and not m[1]:
+                return m.start()
+            place = source.find(m[1], m.end()) + 1 if m else 0
+            self.simple = not place
+        end = source.find(">", at)
+        return len(source) if end < 0 else end
+
+    def say(self, text: str) -> None:
+        if not self.open[-1].mute:
+            text = entities.unescape(text) if "&" in text else text
+            self.parts.append(text)
+            if self.link:
+                self.links += len(text)
 
     def read(self, source: str) -> None:
         at, n = 0, len(source)
         while at < n:
-            m = TOKEN.search(source, at)
+            m = TAG.search(source, at)
             if m is None:
-                self.parts.append(entities.unescape(source[at:]))
+                self.say(source[at:])
                 break
-            if m.start() > at:
-                self.parts.append(entities.unescape(source[at : m.start()]))
-            at = m.end()
-            if not m[2]:
+            here = m.start()
+            if here > at:
+                self.say(source[at:here])
+            if m[2] is None:
+                mark = "-->" if source.startswith("<!--", here) else ">"
+                end = source.find(mark, here + 2)
+                at = n if end < 0 else end + len(mark)
                 continue
-            tag = m[2].lower()
+            tag, end = m[2].lower(), self.end_of_tag(source, m.end())
+            at = end + 1
             if m[1]:
-                if any(x[0] == "\0" + tag for x in self.open):
-                    tag = "\0" + tag
                 self.close(tag)
                 continue
-            self.start(tag, m[3])
-            if tag in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-                stop = end.start() if end else n
-                if tag not in NOISE_TAGS:
-                    self.parts.append(source[at:stop])
-                at = stop
-        self.end_block()
-
-
-def number(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            attributes = source[m.end() : end].strip()
+            self.start(tag, attributes)
+            if tag in RAW and not attributes.endswith("/"):
+                after = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
+                at = after.start() if after else n
 
 
 def site_evidence(pages: DataFrame) -> DataFrame:
     """Per page: its host, and once each (path, parent, kind, value): kind 0 how its children follow, 1 a text of it.
 
-    beside: of a text inside an <article> or <main>, the page's longest other text in there, of another path."""
+    beside: of a text, the longest other one of its page that isn't noise, of another path. flags: 1 for a heading, 2
+    inside an <article> or <main>."""
+    names = ["host", "path", "parent", "kind", "value", "beside", "size", "links", "flags"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        paths: dict[str, int] = {}
+        columns: list[list] = [[] for _ in names]
+        add = [c.append for c in columns]
+        numbers: dict[str, int] = {}
 
-        def path_number(p: str) -> int:
-            if p not in paths:
-                paths[p] = number(p)
-            return paths[p]
+        def numbered(text: str) -> int:
+            if len(text) > 256:
+                return number(text)
+            if text not in numbers:
+                numbers[text] = number(text)
+            return numbers[text]
 
-        hosts, found = [], []
         for host, source in zip(texts(batch.column(0)), texts(batch.column(1)), strict=True):
             page = Page(source or "")
-            own = {(p, 0, number(" ".join(c))): None for p, c in page.children.items()}
-            own |= {(p, 0, 0): None for p in {b[0] for b in page.blocks} - page.children.keys()}
-            own |= {(p, 1, number(t)): None for p, s, t in page.blocks if s != 1}
-            inside = [(len(t), t, p) for p, s, t in page.blocks if s == 1]
-            if inside:
-                _, text, at = max(inside)
-                first, second = number(text), number(max((x for x in inside if x[2] != at), default=(0, ""))[1])
-                own |= {(p, 1, number(t)): second if p == at else first for _, t, p in inside}
-            hosts.append(host)
-            found.append([(path_number(p), path_number(p.rpartition("/")[0]), k, v, own[p, k, v]) for p, k, v in sorted(own)])
-        names = ("path", "parent", "kind", "value", "beside")
-        kind = pa.list_(pa.struct([(n, pa.int32() if n == "kind" else pa.int64()) for n in names]))
-        rows = [[dict(zip(names, x, strict=True)) for x in f] for f in found]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(rows, kind)], ["host", "found"])
-
-    schema = "host string, found array<struct<path:bigint,parent:bigint,kind:int,value:bigint,beside:bigint>>"
-    return map_rows(pages.select(host_of().alias("host"), "html"), run, schema).select("host", F.inline("found"))
+            own = {b.path for b in page.blocks}
+            rows = {(p, 0, numbered(" ".join(page.children.get(p, ())))): [None, 0, 0, 0] for p in own | {page.parents[p] for p in own}}
+            plain = [(len(b.text), b.text, b.path) for b in page.blocks if b.state >= 0]
+            first = max(plain, default=(0, "", None))
+            second = max((x for x in plain if x[2] != first[2]), default=(0, "", None))
+            longest, next_longest = numbered(first[1]), numbered(second[1])
+            for b in page.blocks:
+                beside = next_longest if b.path == first[2] else longest
+                row = rows.setdefault((b.path, 1, numbered(b.text)), [beside, 0, 0, 0])
+                row[1] += len(b.text)
+                row[2] += b.links
+                row[3] |= b.heading | 2 * (b.state == 1)
+            for (path, kind, value), rest in rows.items():
+                for put, v in zip(add, (host, path, page.parents[path], kind, value, *rest), strict=True):
+                    put(v)
+        kinds = [pa.string(), *[pa.int64()] * 2, pa.int32(), *[pa.int64()] * 4, pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    schema = "host string, path bigint, parent bigint, kind int, value bigint, beside bigint, size bigint, links bigint, flags int"
+    return map_rows(pages.select(host_of().alias("host"), "html"), run, schema)
 
 
 def host_of():
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def importance(evidence: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """Composite importance of each node that has a text: host, path, importance, pages m, inside an anchor or not."""
+def importance(evidence: DataFrame, gamma: float = GAMMA, volume: float = VOLUME) -> DataFrame:
+    """Of each node that has a text: host, path, pages m, content, importance."""
+    ensure_checkpoint_dir(evidence.sparkSession)
     k = evidence.groupBy("host", "path", "parent", "kind", "value").agg(
-        F.count(F.lit(1)).alias("k"), F.min("beside").alias("low"), F.max("beside").alias("high")
+        F.count(F.lit(1)).alias("k"),
+        F.min("beside").alias("low"),
+        F.max("beside").alias("high"),
+        F.sum("size").alias("size"),
+        F.sum("links").alias("links"),
+        F.bit_or("flags").alias("flags"),
     )
     style, text = F.col("kind") == 0, F.col("kind") == 1
     copied = F.coalesce(F.col("low") == F.col("high"), F.lit(False))
@@ -288,61 +453,92 @@ def importance(evidence: DataFrame, gamma: float = GAMMA) -> DataFrame:
         F.sum(F.when(style, F.col("k") * F.log("k"))).alias("klogk"),
         F.count(F.when(text, 1)).alias("texts"),
         F.sum(F.when(text, F.when(copied, 0.0).otherwise(F.log("k")))).alias("logk"),
-        F.max(F.col("low").isNotNull()).alias("inside"),
+        F.sum("size").alias("size"),
+        F.sum("links").alias("links"),
+        F.bit_or("flags").alias("flags"),
     )
     several = F.col("m") > 1
-    node = node.select(
-        "host",
-        "path",
-        "parent",
-        "texts",
-        "m",
-        "inside",
-        F.when(several, 1 - F.col("klogk") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("presentation"),
-        F.when(several, F.greatest(F.lit(0.0), 1 - F.col("logk") / (F.col("texts") * F.log("m")))).otherwise(1.0).alias("content"),
-    )
+    presentation = F.when(several, 1 - F.col("klogk") / (F.col("m") * F.log("m"))).otherwise(1.0)
+    content = F.when(several, F.greatest(F.lit(0.0), 1 - F.col("logk") / (F.col("texts") * F.log("m")))).otherwise(1.0)
+    # written once: read again for what stands above, and for the text of the host
+    node = node.withColumns({"presentation": presentation, "content": content}).checkpoint()
     above = node.select("host", F.col("path").alias("parent"), F.col("presentation").alias("above"))
-    return (
-        node.filter("texts > 0")
-        .join(above, ["host", "parent"], "left")
-        .select("host", "path", "m", "inside", (gamma * F.col("content") + (1 - gamma) * F.coalesce("above", F.lit(1.0))).alias("importance"))
-    )
-
-
-def removed_paths(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """Per host, the paths whose texts its pages lose; at most the number of its nodes."""
-    inside = (F.col("m") >= MIN_INSIDE) & (F.col("importance") < min(least, LEAST_INSIDE))
-    low = importance(site_evidence(pages)).filter(F.when(F.col("inside"), inside).otherwise(F.col("importance") < least))
-    return low.groupBy("host").agg(F.collect_set("path").alias("removed"))
-
-
-def extract_text(pages: DataFrame, least: float = LEAST, small: int = 200_000) -> DataFrame:
-    """Per page: page_id, url, text, n_chars. small: removed paths of all hosts up to which they are broadcast."""
+    host = node.groupBy("host").agg(F.sum("size").alias("held"))
+    share = F.col("size") / (volume * F.col("held"))
+    heading, inside = F.col("flags").bitwiseAND(1) > 0, F.col("flags").bitwiseAND(2) > 0
+    setting = F.when(heading | ~several, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.coalesce("above", F.lit(1.0)), share)))
+    links = F.when(inside | ~several, 0.0).otherwise(F.col("links") / F.col("size"))
+    worth = F.col("content") * (gamma + (1 - gamma) * setting) * (1 - links)
+    return node.filter("texts > 0").join(above, ["host", "parent"], "left").join(host, "host").select("host", "path", "m", "content", worth.alias("importance"))
+
+
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """Per host, the nodes that any of the bounds may remove; at most the number of its nodes."""
+    found = importance(site_evidence(pages)).filter((F.col("importance") < max(LEAST, LEAST_BESIDE, LEAST_INSIDE)) & (F.col("m") > 1))
+    row = F.struct("path", "importance", "content", (F.col("m") >= MIN_PAGES).alias("sure"))
+    return found.groupBy("host").agg(F.collect_list(row).alias("low"))
+
+
+def prune(page: Page, low: dict[int, tuple[float, float, bool]]) -> tuple[list[bool], list[bool]]:
+    """Of each block, whether it stays, and whether the tree takes it for noise, whatever the markup says."""
+    least = LEAST_BESIDE if page.anchored else LEAST
+    size, worth = [0] * len(page.up), [0.0] * len(page.up)
+    gone = []
+    for b in page.blocks:
+        value, _, sure = low.get(b.path, (1.0, 1.0, True))
+        gone.append(sure and value < LEAST_INSIDE if b.state == 1 else value < (least if sure else LEAST))
+        if b.state < 1:
+            size[b.element] += len(b.text)
+            worth[b.element] += len(b.text) * value
+    if low:
+        # elements stand after the one above them
+        for e in range(len(size) - 1, 0, -1):
+            size[page.up[e]] += size[e]
+            worth[page.up[e]] += worth[e]
+        branch = [False] * len(size)
+        for e in range(1, len(size)):
+            branch[e] = branch[page.up[e]] or not page.holds[e] and size[e] > 0 and worth[e] < LEAST * size[e]
+        gone = [g or b.state < 1 and branch[b.element] for g, b in zip(gone, page.blocks, strict=True)]
+    tree = list(gone)
+    total, lost = [0, 0], [0, 0]
+    varied = [b.state == 1 or low.get(b.path, (1.0, 1.0))[1] >= 0.5 for b in page.blocks]
+    for b, g, v in zip(page.blocks, gone, varied, strict=True):
+        if b.state >= 0:
+            total[b.state] += len(b.text)
+            lost[b.state] += g and v and len(b.text)
+    spared = (not page.anchored and 2 * lost[0] > total[0], 2 * lost[1] > total[1])
+    kept = [b.state >= 0 and (not g or v and spared[b.state]) for b, g, v in zip(page.blocks, gone, varied, strict=True)]
+    return kept, tree
+
+
+def extract_text(pages: DataFrame, small: int = 200_000) -> DataFrame:
+    """Per page: page_id, url, text, n_chars; n_blocks, n_removed, and of these n_tree that the tree finds, with or
+    without the prior. small: low nodes of all hosts up to which they are broadcast."""
     ensure_checkpoint_dir(pages.sparkSession)
     # written once, so that the join may deal out both sides and split the pages of a large host
-    removed = removed_paths(pages, least).checkpoint()
-    paths = removed.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("n")).first()["n"]
-    if paths <= small:
-        removed = F.broadcast(removed)  # at most that many numbers and hosts; the pages stay where they are
-    joined = pages.select("page_id", "url", "html", host_of().alias("host")).join(removed, "host", "left")
+    low = low_nodes(pages).checkpoint()
+    nodes = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("n")).first()["n"]
+    if nodes <= small:
+        low = F.broadcast(low)  # at most that many numbers and hosts; the pages stay where they are
+    joined = pages.select("page_id", "url", "html", host_of().alias("host")).join(low, "host", "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out, sizes = [], []
-        for i, source in enumerate(texts(batch.column(2))):
-            low, known = set(batch.column(3)[i].as_py() or ()), {}
-            blocks = [b for b in Page(source or "").blocks if b[1] >= 0]
-            if low:
-                known = {path: number(path) in low for path in {b[0] for b in blocks}}
-            inside = [(len(text), known.get(path)) for path, state, text in blocks if state]
-            copy = 2 * sum(n for n, gone in inside if gone) > sum(n for n, _ in inside)
-            kept = [text for path, state, text in blocks if not known.get(path) or state and copy]
-            out.append(" ".join(kept))
-            sizes.append(len(out[-1]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(sizes, pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
-        )
+        out: list[tuple] = []
+        hosts: dict[str, dict] = {}
+        for i, (host, source) in enumerate(zip(texts(batch.column(3)), texts(batch.column(2)), strict=True)):
+            if host not in hosts:
+                if len(hosts) >= 64:
+                    hosts.clear()
+                hosts[host] = {x["path"]: (x["importance"], x["content"], x["sure"]) for x in batch.column(4)[i].as_py() or ()}
+            page = Page(source or "")
+            kept, tree = prune(page, hosts[host])
+            text = " ".join(b.text for b, k in zip(page.blocks, kept, strict=True) if k)
+            n = sum(kept)
+            out.append((text, len(text), len(kept), len(kept) - n, sum(t and not k for t, k in zip(tree, kept, strict=True))))
+        kinds = (pa.string(), *[pa.int64()] * 4)
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "text", "n_chars", "n_blocks", "n_removed", "n_tree"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, text string, n_chars bigint"
-    return map_rows(joined.select("page_id", "url", "html", "removed"), run, schema)
+    schema = f"page_id {kind}, url string, text string, n_chars bigint, n_blocks bigint, n_removed bigint, n_tree bigint"
+    return map_rows(joined.select("page_id", "url", "html", "host", "low"), run, schema)
