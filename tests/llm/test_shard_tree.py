@@ -1,5 +1,6 @@
 """The law of the shards, slots, minimal movement, and the tree's descent."""
 
+import math
 import zlib
 from collections import Counter
 
@@ -30,9 +31,12 @@ def test_slots_are_gapless_and_new_shard_takes_only_into_itself(many):
 
 @pytest.mark.parametrize("shards", [1, 7, 13])
 def test_growth_of_any_count(many, shards):
-    both = sh.assign_shards(sh.assign_shards(many, shards), shards + 1, out="grown")
+    both = sh.assign_shards(sh.assign_shards(many, shards), shards + 1, base=shards, out="grown")
     moved = both.filter("shard <> grown").select("grown").distinct().collect()
     assert [r.grown for r in moved] == [shards]
+    again = sh.assign_shards(sh.assign_shards(many, shards + 1, base=shards), shards + 2, base=shards, out="grown")
+    moved = again.filter("shard <> grown").select("grown").distinct().collect()
+    assert [r.grown for r in moved] == [shards + 1]
 
 
 def test_weights(many):
@@ -40,17 +44,51 @@ def test_weights(many):
     counts = Counter(r.shard for r in sh.assign_shards(many, 8, weights).collect())
     others = sum(n for s, n in counts.items() if s != 3) / 7
     assert 2.6 < counts[3] / others < 3.4
-    both = sh.assign_shards(sh.assign_shards(many, 8), 8, weights, out="heavy")
-    assert {r.heavy for r in both.filter("shard <> heavy").select("heavy").distinct().collect()} == {3}
 
 
-def test_descent_takes_the_least_of_each_level(spark):
-    """The same as the least draw of all leaves, as a node's draw is the least of its leaves'."""
-    tree = sh.Topology().tree(40)
-    assert [len(r) for r in tree] == [2] * 5 and sum(len(x) for r in tree for x in r) == 40
-    df = spark.range(500).withColumn("way", sh.descend(F.col("id"), tree, {}))
-    flat = F.array_min(F.array(*[F.struct(sh.draw(F.col("id"), F.lit(s), F.lit(1.0)).alias("draw"), F.lit(s).alias("shard")) for s in range(40)]))
-    assert df.filter(F.col("way.shard") != flat["shard"]).count() == 0
+def test_a_changed_weight_moves_rows_only_in_its_subtrees(many):
+    """Between regions only into the region whose weight grew; in it between racks only into the rack; and so on."""
+    both = sh.assign_shards(sh.assign_shards(many, 40), 40, {13: 5.0}, out="heavy")
+    moved = [(r.shard, r.heavy) for r in both.filter("shard <> heavy").collect()]
+    assert moved and {new // 8 for _, new in moved} == {1}  # shard 13 stands in region 1, shards 8 to 15
+    within = [(old, new) for old, new in moved if old // 8 == 1]
+    assert within and {new // 4 for _, new in within} == {3}  # and there in the second rack, shards 12 to 15
+    assert {new for old, new in within if old // 4 == 3} == {13}
+    gone = sh.assign_shards(many, 40, {13: 0.0})
+    assert gone.filter("shard = 13").count() == 0 and gone.select("shard").distinct().count() == 39
+
+
+def plain(key, tree, hashed):
+    """One level after the other, in Python: the least draw of the regions, of its racks, of its shards."""
+    draw = lambda node, w: -math.log((((hashed[key, node] % 2**64) >> 12) + 0.5) / 2**52) / w
+    size = lambda racks: sum(map(len, racks))
+    racks = min(tree, key=lambda racks: draw(f"region {racks[0][0]}", size(racks)))
+    leaves = min(racks, key=lambda leaves: draw(f"rack {leaves[0]}", len(leaves)))
+    return min(leaves, key=lambda s: draw(f"shard {s}", 1))
+
+
+def test_descent_equals_brute_force(spark):
+    tree = sh.Topology().tree(41, 40)
+    assert [len(r) for r in tree] == [2] * 5 + [1] and sum(len(x) for r in tree for x in r) == 41
+    names = [f"shard {s}" for s in range(41)] + [f"rack {s}" for s in range(0, 41, 4)] + [f"region {s}" for s in range(0, 41, 8)]
+    df = spark.range(400).withColumn("way", sh.descend(F.col("id"), tree, {}))
+    hashed = {(r.id, n): r[n] for r in df.select("id", *[F.xxhash64("id", F.lit(n)).alias(n) for n in names]).collect() for n in names}
+    for r in df.collect():
+        assert r.way == plain(r.id, tree, hashed)
+
+
+def test_eleven_draws_are_made(spark):
+    """5 regions, 2 racks and 4 shards: the draws of other branches stand in conditions that are not entered."""
+    text = str(sh.descend(F.col("id"), sh.Topology().tree(40), {})._jc.toString()).lower()
+    assert text.count("xxhash64") == 5 + 5 * 2 + 40
+    top = str(sh.choose(F.col("id"), [f"region {i}" for i in range(5)], [8.0] * 5)._jc.toString()).lower()
+    assert top.count("xxhash64") == 5
+
+
+def test_copies_of_a_row_are_spread(spark):
+    same = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("t").alias("text"))
+    rows = sh.shard_documents(same).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(5000))
 
 
 def test_odd_rows(odd_docs, no_docs):
