@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship, texts
+from .common import ensure_checkpoint_dir, map_rows, ship, texts
 
 
 def _ranges(kinds: str) -> str:
@@ -72,58 +72,81 @@ class LanguageModel:
     places: np.ndarray
     gains: np.ndarray
     penalty: float
-    cells: int = 1_200_000
+    cells: int = 3_000_000
     seen: dict[str, int] = field(default_factory=dict, repr=False)
     rows: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"seen": {}, "rows": None}
 
-    def distances(self, known: list[int]) -> np.ndarray:
-        """Mean distance from each language of some rows."""
-        at = np.concatenate([np.arange(self.starts[r], self.starts[r + 1]) for r in known])
-        return self.penalty + np.bincount(self.places[at], self.gains[at], len(self.languages)) / len(known)
-
-    def word(self, w: str) -> tuple[np.ndarray, int]:
-        """Distances of one word; the length of the n-grams that told them, 0 if none did, or more if it is known."""
+    def known(self, w: str) -> tuple[list[int], int]:
+        """The rows that tell a word, and the length of their n-grams: 0 if nothing is known of it, more than the
+        longest if it is known itself."""
         if (i := self.words.get(w)) is not None:
-            return self.distances([i]), LONGEST + 1
+            return [i], LONGEST + 1
+        find = self.grams.get
+        padded = f" {w} "
         for n in range(LONGEST, 0, -1):
-            if known := [i for g in grams(w, n) if g != " " and (i := self.grams.get(g)) is not None]:
-                return self.distances(known), n
-        return np.full(len(self.languages), self.penalty), 0
+            if rows := [i for at in range(len(padded) - n + 1) if (i := find(padded[at : at + n])) is not None]:
+                return rows, n
+        return [], 0
+
+    def distances(self, told: list[tuple[list[int], int]]) -> np.ndarray:
+        """Of each word, its mean distance from each language, and whether more than single characters told it."""
+        width, sizes = len(self.languages), np.array([len(rows) for rows, _ in told])
+        rows = np.array([r for own, _ in told for r in own], np.int64)
+        first, many = self.starts[rows], self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        word = np.repeat(np.repeat(np.arange(len(told)), sizes), many)
+        gained = np.bincount(word * width + self.places[at], self.gains[at], len(told) * width).reshape(-1, width)
+        far = self.penalty + gained / np.maximum(sizes, 1)[:, None]
+        return np.column_stack((far, [by > 1 for _, by in told]))
+
+    def word(self, w: str) -> tuple[np.ndarray, int]:
+        told = self.known(w)
+        return self.distances([told])[0, :-1], told[1]
+
+    def sums(self, chunks: list[str]) -> np.ndarray:
+        """Of each run between blanks: the sum of its words' distances from each language, how many of them more than
+        single characters tell, and how many there are."""
+        words = [WORD.findall(c.lower()) for c in chunks]
+        out = np.zeros((len(chunks), len(self.languages) + 2))
+        if told := [self.known(w) for own in words for w in own]:
+            owner = np.repeat(np.arange(len(chunks)), [len(own) for own in words])
+            np.add.at(out, owner, np.column_stack((self.distances(told), np.ones(len(told)))))
+        return out
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """The language, the score, and the share of words told by more than single characters."""
-        found = WORD.findall(text.lower()) if text and self.languages else ()
-        if not found:
+        if not text or not self.languages:
             return UNKNOWN, 0.0, 0.0
-        width = len(self.languages) + 1
+        width = len(self.languages) + 2
         kept = max(1000, self.cells // width)
         if self.rows is None or len(self.seen) >= kept:
             self.seen.clear()
             self.rows = np.empty((1024, width))
-        seen, total = self.seen, np.zeros(width)
-        at: list[int] = []
-        for w in found:
-            i = seen.get(w)
-            if i is None:
-                far, by = self.word(w)
-                own = np.append(far, by > 1)
-                if len(w) > 64 or len(seen) >= kept:  # scored like the others, but not remembered
-                    total += own
-                    continue
-                i = seen[w] = len(seen)
-                if i >= len(self.rows):
-                    self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-                self.rows[i] = own
-            at.append(i)
-        for i in range(0, len(at), 65536):
-            total += self.rows[at[i : i + 65536]].sum(axis=0)
-        mean = total[:-1] / len(found)
-        near = np.power(10.0, -(mean - mean.min()) * min(len(found), 10))
+        seen, total, found = self.seen, np.zeros(width), Counter(text.split())  # no word reaches over a blank
+        new = [c for c in found if c not in seen]
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            got, first = self.sums(part), len(seen)
+            brief = [k for k, c in enumerate(part) if len(c) <= 64][: max(0, kept - first)]
+            if len(brief) < len(part):  # the others are scored like these, but not remembered
+                rest = np.setdiff1d(np.arange(len(part)), brief)
+                total += np.array([found.pop(part[k]) for k in rest]) @ got[rest]
+            while first + len(brief) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+            self.rows[first : first + len(brief)] = got[brief]
+            seen.update(zip([part[k] for k in brief], range(first, first + len(brief)), strict=True))
+        if found:
+            total += np.array(list(found.values()), np.float64) @ self.rows[[seen[c] for c in found]]
+        n = total[-1]
+        if not n:
+            return UNKNOWN, 0.0, 0.0
+        mean = total[:-2] / n
+        near = np.power(10.0, -(mean - mean.min()) * min(n, 10))
         best = int(mean.argmin())
-        return self.languages[best], float(near[best] / near.sum()), float(total[-1] / len(found))
+        return self.languages[best], float(near[best] / near.sum()), float(total[-2] / n)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.judge(text)[:2]
@@ -134,7 +157,9 @@ def sample_texts(labelled: DataFrame, per_language: int, characters: int, text_c
     usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of").checkpoint()
+    if counts.count() <= 10_000:  # a row for each language; else the optimizer decides
+        counts = F.broadcast(counts)
     draw = F.xxhash64("text", F.lit(17))
     # twice as many as are wanted, about, as some may be copies
     drawn = usable.join(counts, F.col("lang") == F.col("of")).filter(F.pmod(draw, F.lit(1 << 30)) * F.col("n") < float(2 * per_language) * (1 << 30))
@@ -175,6 +200,7 @@ def train(
             ["lang", "n", "gram", "k"],
         )
 
+    ensure_checkpoint_dir(labelled.sparkSession)
     # a row per batch of the sample for each of its words, so sums are small before they are shuffled
     sample = sample_texts(labelled, per_language, characters, text_col, lang_col)
     counted = map_rows(sample, count, "lang string, n int, gram string, k bigint").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
@@ -194,7 +220,8 @@ def train(
     for i, (length, gram) in enumerate(zip(n.tolist(), got["gram"].to_pylist(), strict=True)):
         if (length, gram) != last:
             last = length, gram
-            (ngrams if length else words)[gram] = len(starts)
+            if gram != " ":  # it tells nothing
+                (ngrams if length else words)[gram] = len(starts)
             starts.append(i)
     return LanguageModel(languages, words, ngrams, np.array([*starts, len(gains)], np.int64), places, gains, penalty)
 

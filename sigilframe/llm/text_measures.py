@@ -21,7 +21,7 @@ class Measures:
     n_symbols: int
     n_dup_lines: int
     n_repeat_words: int
-    words: list[bytes]
+    distinct: list[bytes]  #: words, by number
     numbers: np.ndarray  #: of the words; equal words have equal numbers
 
 
@@ -66,6 +66,6 @@ def measure(text: str | None) -> Measures:
         len(data.translate(None, _SYMBOL_ONLY)),
         duplicate_lines(data),
         repeated_words(numbers),
-        words,
+        list(ids),
         numbers,
     )

@@ -46,6 +46,11 @@ def _band(value: float, good: float, bad: float) -> int:
     return GOOD if value <= good else BAD if value >= bad else NONE
 
 
+def _share(m: Measures, test: Callable[[bytes], bool]) -> float:
+    """Of the words that pass."""
+    return float(np.array([test(w) for w in m.distinct])[m.numbers].mean())
+
+
 def _symbols(m: Measures, data: bytes) -> int:
     return _band(m.n_symbols / m.n_words, 0.02, 0.1)
 
@@ -84,7 +89,7 @@ def _exclaims(m: Measures, data: bytes) -> int:
 
 def _wordless(m: Measures, data: bytes) -> int:
     """Words without a letter or digit, such as the bars of a menu."""
-    return _band(sum(len(w) == 1 and not w.isalnum() and w[0] < 128 for w in m.words) / m.n_words, 0.03, 0.1)
+    return _band(_share(m, lambda w: len(w) == 1 and not w.isalnum() and w[0] < 128), 0.03, 0.1)
 
 
 def _letters(m: Measures, data: bytes) -> int:
@@ -93,7 +98,7 @@ def _letters(m: Measures, data: bytes) -> int:
 
 
 def _odd_ends(m: Measures, data: bytes) -> int:
-    return _band(sum(w[-1] in _ODD for w in m.words) / m.n_words, 0.05, 0.2)
+    return _band(_share(m, lambda w: w[-1] in _ODD), 0.05, 0.2)
 
 
 LABELLERS: tuple[Callable[[Measures, bytes], int], ...] = (
@@ -194,7 +199,7 @@ class Features:
         if not m.n_words:
             return None
         known = self.known.get
-        pairs = np.array([known(w) or self.word(w) for w in m.words], np.int64)
+        pairs = np.array([known(w) or self.word(w) for w in m.distinct], np.int64)[m.numbers]
         s = pairs[:, 1]
         where = [pairs.ravel(), (s[:-1] * 31 + s[1:] * 17 + 7) % BUCKETS]
         values = np.bincount(np.concatenate(where), minlength=BUCKETS) / m.n_words
