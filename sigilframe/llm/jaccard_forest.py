@@ -2,9 +2,11 @@
 
 A document's set is that of its shingles (runs of five words). Documents with the same set are one node. Each tree of
 the forest orders nodes by a label of minhashes; nodes whose labels share a prefix meet in one branch of the tree's
-prefix trie. The matched prefixes start at full depth and are shortened, deepest tree first, until a pair at the
-threshold meets in some tree with the target probability. Pairs that meet are compared exactly, on sets taken from
-the whole texts.
+prefix trie. A node's matched prefixes start at full depth. They are shortened one tree after the other, where it costs
+least: first in the trees where the shorter prefix is shared by the fewest nodes, until a partner at the threshold meets
+the node in some tree with the target probability. So each node leaves its largest branches at full depth, and a branch
+stays so if all nodes of it leave it; where one needs it, all of it is compared. Pairs that meet are compared exactly,
+on sets taken from the whole texts.
 
 A branch may hold any number of nodes. Branches with the same members are compared once. Large ones are cut into
 blocks by hash, and every pair of blocks is compared in its own task, so no pair is left out and no task gets a whole
@@ -24,7 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_long, ensure_checkpoint_dir, fold_words, map_rows, mix, ship, shingle_hashes, texts, word_hashes
@@ -32,19 +34,12 @@ from .common import as_long, ensure_checkpoint_dir, fold_words, map_rows, mix, s
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 
 
-def forest_depths(trees: int, deepest: int, similarity: float, target: float) -> list[int]:
-    """Prefix length of each tree: full depth, shortened one tree at a time until the recall reaches the target."""
-    depths = [deepest] * trees
-
-    def recall() -> float:
-        miss = 1.0
-        for d in depths:
-            miss *= 1 - similarity**d
-        return 1 - miss
-
-    while recall() < target and max(depths) > 1:
-        depths[depths.index(max(depths))] -= 1
-    return depths
+def shortened(trees: int, deepest: int, shortest: int, similarity: float, target: float) -> int:
+    """Trees in which a node's prefix must be shortened for the recall to reach the target; all if it can't."""
+    for k in range(trees):
+        if 1 - (1 - similarity**shortest) ** k * (1 - similarity**deepest) ** (trees - k) >= target:
+            return k
+    return trees
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -59,40 +54,61 @@ def node_of(doc_id, text: str | None, own: np.ndarray) -> bytes:
 
 
 class Forest:
-    def __init__(self, trees: int = 24, deepest: int = 8, target: float = 0.99999, similarity: float = float(THRESHOLD)):
-        self.depths = forest_depths(trees, deepest, similarity, target)
-        total = sum(self.depths)
+    """trees; minhashes of a full label and of the shortest prefix. The defaults shorten 20 trees and leave 4."""
+
+    def __init__(self, trees: int = 24, deepest: int = 6, shortest: int = 4, target: float = 0.99999, similarity: float = float(THRESHOLD)):
+        self.trees, self.deepest, self.shortest = trees, deepest, shortest
+        self.spare = trees - shortened(trees, deepest, shortest, similarity, target)
+        total = trees * deepest
         seeds = mix(np.arange(1, 2 * total + 1, dtype=np.uint64))
         self.xor, self.times = seeds[:total], seeds[total:] | np.uint64(1)
-        self.first = np.concatenate(([0], np.cumsum(self.depths)[:-1]))
 
-    def labels(self, own: np.ndarray) -> np.ndarray:
-        """One number for each tree: a hash of the matched prefix of the node's label in it."""
+    def labels(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree, a number for the tree and the shortest prefix of the node's label, and one for the rest."""
         least = np.full(len(self.xor), ~np.uint64(0))
         for i in range(0, len(own), 1024):
             part = (own[i : i + 1024, None] ^ self.xor[None, :]) * self.times[None, :]
             np.minimum(least, part.min(axis=0), out=least)
-        order = np.arange(len(least), dtype=np.uint64)
-        return mix(np.add.reduceat(mix(least + order), self.first) + np.arange(len(self.first), dtype=np.uint64))
+        spread = mix(least + np.arange(len(least), dtype=np.uint64)).reshape(self.trees, self.deepest)
+        total = lambda part: mix(part.sum(axis=1, dtype=np.uint64) + np.arange(self.trees, dtype=np.uint64))
+        return total(spread[:, : self.shortest]), total(spread[:, self.shortest :]) >> np.uint64(33)
 
 
-def sketch(docs: DataFrame, forest: Forest, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, node, bytes of text, and the node's label in each tree (none without words)."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and number of each row. Ids may be null or repeated; a row has the same number at each reading."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+
+
+def sketch(docs: DataFrame, forest: Forest, words: int) -> DataFrame:
+    """Per numbered row: id, row, node, bytes of text, and the node's label in each tree (none without words)."""
 
     def run(batch: pa.RecordBatch):
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, keys, rests = [], [], [], []
         for i, text in enumerate(texts(batch.column(1))):
             own = shingle_set(text, words)
-            nodes.append(node_of(batch.column(0)[i].as_py() if text is None else None, text, own))
+            nodes.append(node_of(batch.column(2)[i].as_py() if text is None else None, text, own))
             sizes.append(len(text or ""))
-            keys.append(as_long(forest.labels(own)) if len(own) else [])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["id", "node", "bytes", "keys"],
-        )
+            key, rest = forest.labels(own) if len(own) else (own, own)
+            keys.append(as_long(key))
+            rests.append(rest.astype(np.int32))
+        columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "row", "node", "bytes", "keys", "rests"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_rows(docs, run, f"id {kind}, row bigint, node binary, bytes bigint, keys array<bigint>, rests array<int>")
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), run, f"id {kind}, node binary, bytes bigint, keys array<bigint>")
+def shorten(nodes: DataFrame, spare: int) -> DataFrame:
+    """Nodes with the label by which they are matched in each tree: of the shortest prefix, but of the whole label where
+    all nodes that share that prefix have it among the `spare` branches that are their largest."""
+    entries = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    largest = Window.partitionBy("node").orderBy(F.desc("n"), "tree")
+    told = entries.join(sizes, "key").withColumn("deep", F.row_number().over(largest) <= spare)
+    whole = told.groupBy("key").agg(F.bool_and("deep").alias("all")).filter("all").select("key")
+    deep = told.join(whole, "key").groupBy("node").agg(F.collect_set("tree").alias("deep"))
+    matched = lambda k, i: F.when(F.coalesce(F.array_contains("deep", i), F.lit(False)), F.xxhash64(k, F.get("rests", i))).otherwise(k)
+    return nodes.join(deep, "node", "left").withColumn("keys", F.transform("keys", matched)).drop("deep", "rests")
 
 
 def block_rows(nodes: DataFrame, block: int, block_bytes: int) -> DataFrame:
@@ -123,7 +139,7 @@ def compare_blocks(rows: DataFrame, words: int, threshold: Fraction) -> DataFram
     out = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
 
     def compare(group: list[tuple], across: bool) -> pa.RecordBatch | None:
-        # (node, copies, own, tree, keys, text); a node may come twice if its id is repeated
+        # (node, copies, own, tree, keys, text)
         seen: dict[bytes, tuple] = {}
         for g in group:
             if g[0] not in seen:
@@ -201,12 +217,14 @@ def compare_blocks(rows: DataFrame, words: int, threshold: Fraction) -> DataFram
     return fed.mapInArrow(run, "node binary, root binary, links bigint")
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Least node of each node's component, by rounds of least neighbour and label of label. edges: node, root."""
+def connected(edges: DataFrame) -> DataFrame:
+    """Least node of each node's component, by rounds of least neighbour and label of label. edges: node, root.
+
+    Labels only fall, and a round in which none does is the last. Rounds grow with the logarithm of a path, mostly."""
     edges = edges.filter("node <> root").distinct()
     both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root"))).checkpoint()
     labels = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("label")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = (
             both.join(labels.select(F.col("node").alias("root"), F.col("label").alias("theirs")), "root")
             .groupBy("node")
@@ -219,7 +237,6 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = new.select("node", "label")
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def jaccard_classes(
@@ -236,16 +253,22 @@ def jaccard_classes(
     spark: SparkSession = docs.sparkSession
     ensure_checkpoint_dir(spark)
     forest = forest or Forest(similarity=float(threshold))
-    rows = sketch(docs, forest, words, id_col, text_col).checkpoint()
+    read = numbered(docs, id_col, text_col)
+    rows = sketch(read, forest, words).checkpoint()
     nodes = rows.groupBy("node").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes"), F.first("keys").alias("keys")
+        F.min("id").alias("rep"),
+        F.min("row").alias("row"),
+        F.count(F.lit(1)).alias("copies"),
+        F.max("bytes").alias("bytes"),
+        F.first("keys").alias("keys"),
+        F.first("rests").alias("rests"),
     ).checkpoint()
+    nodes = shorten(nodes, forest.spare).checkpoint()
     met = block_rows(nodes, block, block_bytes)
-    asked = met.join(nodes.select("node", "rep", "copies", "keys"), "node").withColumn("keys", F.slice("keys", 1, F.col("tree") + 1))
-    read = docs.select(F.col(id_col).alias("rep_id"), F.col(text_col).alias("text"))
+    asked = met.join(nodes.select("node", "row", "copies", "keys"), "node").withColumn("keys", F.slice("keys", 1, F.col("tree") + 1))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     fed = (
-        asked.join(read, F.col("rep").eqNullSafe(F.col("rep_id")))
+        asked.join(read.select("row", "text"), "row")
         .select("*", other)
         .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
         .repartition(F.col("key"), F.col("low"), F.col("high"))
@@ -268,12 +291,13 @@ def jaccard_classes(
     )
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is their class's. Rows that repeat an id share its fate, and equal ones stay once."""
-    spare = classes.filter(~F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__id"))
-    kept = docs.join(spare, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    repeated = classes.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__id"))
-    if repeated.limit(1).count() == 0:
-        return kept
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, "text"]))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents without near copies: of each class of rows one stays, which has the least id.
+
+    Rows are judged, not ids: of rows with one id each has the fate of its own text. A null id comes last, and rows of
+    equal id and text, or of null ids, are told apart by their place. Null texts all stay. docs are read twice and must
+    give their rows in the same order, as written tables do."""
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.withColumn("__row", row)
+    spare = jaccard_classes(rows, id_col="__row").filter(F.col("class_id") != F.col("__row")).select("__row").checkpoint()
+    return rows.join(spare, "__row", "left_anti").select(*docs.columns)
