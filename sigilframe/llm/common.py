@@ -27,11 +27,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; only where none is named (tests), one of this machine."""
+    """Uses the shared folder that the cluster names. Where none is named, one of this machine will do in local mode, as
+    in tests; elsewhere others couldn't read it, and a lost executor's work with it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or "file:///tmp/checkpoints/sigilframe")
 
 

@@ -3,10 +3,10 @@
 A window is a run of 13 item words, or the whole of a shorter item. Its shingles (runs of 3 words, fewer if the
 window is shorter) are ordered by rarity: items that hold them, then length, then hash. As a document must hold all
 of a window's shingles, one is a sufficient prefix: the rarest. Documents are read once. Their shingles that pass a
-bit filter of fixed size over the prefixes become candidates, each with its place and the words around it;
+bit filter over the prefixes, of 16 bits for each but 16 MB at most, become candidates, each with its place and the words around it;
 candidates join the prefixes by hash, the offset of the prefix in its window bounds place and length, and the words
-are compared with the window's. Only candidates, counts and hits are shuffled, and nothing but the filter is sent to
-the executors whole, so a benchmark of any size takes the same path.
+are compared with the window's. The prefixes are written once. Only candidates, counts and hits are shuffled, and
+nothing but the filter is sent to the executors whole, so a benchmark of any size takes the same path.
 
 Defined results: a null text has no words and no hits; an item without words has no window; an item with a null id
 hits, but is in no list of ids; repeated rows of documents each get a row, repeated items count once by id; empty
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, fold_words, map_rows, shingle_hashes, texts, word_hashes
+from .common import as_long, ensure_checkpoint_dir, fold_words, map_rows, shingle_hashes, texts, word_hashes
 
-WINDOW, SHINGLE, FILTER_BITS = 13, 3, 22
+#: Words of a window and of a shingle; the largest filter is of 2 ** FILTER_BITS bits.
+WINDOW, SHINGLE, FILTER_BITS = 13, 3, 27
 
 
 def item_shingles(items: DataFrame, window: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -80,18 +81,19 @@ def window_prefixes(items: DataFrame, window: int, shingle: int, id_col: str, te
     )
 
 
-def prefix_filter(prefixes: DataFrame, bits: int) -> tuple[np.ndarray, list[int]]:
-    """A bit for each token's low bits, at most 2 ** (bits - 6) words of 64; and the sizes of shingle in use."""
+def prefix_filter(prefixes: DataFrame, most: int) -> tuple[np.ndarray, list[int]]:
+    """A bit for each token's low bits, in words of 64, 2 ** most bits in all at most; and the sizes of shingle in use."""
+    told = prefixes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # at most as many as a shingle has words
+    bits = min(most, max(16, (16 * sum(r["n"] for r in told)).bit_length()))
     low = F.col("token").bitwiseAND((1 << bits) - 1)
     words = (
         prefixes.groupBy(F.shiftrightunsigned(low, 6).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(token & 63 as int)))").alias("held"))
-        .collect()
+        .toArrow()
     )
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in words:
-        out[r["word"]] = r["held"]
-    return out.view(np.uint64), sorted(r["size"] for r in prefixes.select("size").distinct().collect())
+    out[words["word"].to_numpy()] = words["held"].to_numpy()
+    return out.view(np.uint64), sorted(r["size"] for r in told)
 
 
 def candidates(docs: DataFrame, held: np.ndarray, sizes: list[int], window: int, id_col: str, text_col: str) -> DataFrame:
@@ -144,7 +146,8 @@ def benchmark_overlap(
     item_text_col: str = "text",
 ) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    prefixes = window_prefixes(items, window, shingle, item_col, item_text_col)
+    ensure_checkpoint_dir(docs.sparkSession)
+    prefixes = window_prefixes(items, window, shingle, item_col, item_text_col).checkpoint()
     held, sizes = prefix_filter(prefixes, filter_bits)
     base = candidates(docs, held, sizes, window, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     # a document without candidates joins by a key of its own, not by null, which would meet in one task
@@ -199,3 +202,11 @@ def benchmark_overlap(
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated. Rows are judged, not ids, which may be null or repeated; docs are read
+    twice and must give their rows in the same order, as written tables do."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = benchmark_overlap(rows, items, id_col="__row").filter("contaminated").select("__row")
+    return rows.join(found, "__row", "left_anti").select(*docs.columns)
