@@ -33,7 +33,8 @@ def test_run_equals_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     model = li.train(docs.filter(~li.held_out(F.col("doc_id"))))
-    rows = [r for r in rows if model.predict(r[1])[0] != li.UNKNOWN]
+    judged = [model.judge(t) for _, t in rows]
+    rows = [r for r, (lang, score, told) in zip(rows, judged) if lang != li.UNKNOWN and score >= 0.4 and told >= 0.5]
     ids = [r[0] for r in rows]
     _, scorer = wq.train(docs.filter(F.col("doc_id").isin(ids)))
     make = wq.Features()
