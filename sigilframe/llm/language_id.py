@@ -21,7 +21,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +59,22 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Memory:
+    """Of a worker: sums of runs between blanks that a model has scored. Those of the model before go."""
+
+    of: LanguageModel | None = None
+    seen: dict[str, int] = {}
+    rows: np.ndarray | None = None
+
+
+_memory = Memory()
+
+
 @dataclass
 class LanguageModel:
     """Words and n-grams have a row each; row r's languages and their gains on the penalty are at starts[r]:starts[r + 1].
 
-    cells: numbers that are remembered for words already scored, at most."""
+    cells: numbers that are remembered of runs already scored, at most."""
 
     languages: list[str]
     words: dict[str, int]
@@ -72,12 +83,7 @@ class LanguageModel:
     places: np.ndarray
     gains: np.ndarray
     penalty: float
-    cells: int = 3_000_000
-    seen: dict[str, int] = field(default_factory=dict, repr=False)
-    rows: np.ndarray | None = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"seen": {}, "rows": None}
+    cells: int = 2_000_000
 
     def known(self, w: str) -> tuple[list[int], int]:
         """The rows that tell a word, and the length of their n-grams: 0 if nothing is known of it, more than the
@@ -122,10 +128,10 @@ class LanguageModel:
             return UNKNOWN, 0.0, 0.0
         width = len(self.languages) + 2
         kept = max(1000, self.cells // width)
-        if self.rows is None or len(self.seen) >= kept:
-            self.seen.clear()
-            self.rows = np.empty((1024, width))
-        seen, total, found = self.seen, np.zeros(width), Counter(text.split())  # no word reaches over a blank
+        memory = _memory
+        if memory.of is not self or len(memory.seen) >= kept:
+            memory.of, memory.seen, memory.rows = self, {}, np.empty((1024, width))
+        seen, total, found = memory.seen, np.zeros(width), Counter(text.split())  # no word reaches over a blank
         new = [c for c in found if c not in seen]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
@@ -134,12 +140,12 @@ class LanguageModel:
             if len(brief) < len(part):  # the others are scored like these, but not remembered
                 rest = np.setdiff1d(np.arange(len(part)), brief)
                 total += np.array([found.pop(part[k]) for k in rest]) @ got[rest]
-            while first + len(brief) > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-            self.rows[first : first + len(brief)] = got[brief]
+            while first + len(brief) > len(memory.rows):
+                memory.rows = np.concatenate((memory.rows, np.empty_like(memory.rows)))
+            memory.rows[first : first + len(brief)] = got[brief]
             seen.update(zip([part[k] for k in brief], range(first, first + len(brief)), strict=True))
         if found:
-            total += np.array(list(found.values()), np.float64) @ self.rows[[seen[c] for c in found]]
+            total += np.array(list(found.values()), np.float64) @ memory.rows[[seen[c] for c in found]]
         n = total[-1]
         if not n:
             return UNKNOWN, 0.0, 0.0
@@ -238,7 +244,8 @@ def predict_column(df: DataFrame, model: LanguageModel, text: Column) -> Column:
         kinds = (pa.string(), pa.float64(), pa.float64())
         return pa.StructArray.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["lang", "score", "told"])
 
-    return predict(text)
+    # not to be repeated where the result is used twice
+    return predict.asNondeterministic()(text)
 
 
 def held_out(id_col: Column) -> Column:
