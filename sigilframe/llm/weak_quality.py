@@ -182,7 +182,7 @@ def shape(word: bytes) -> str:
 class Features:
     """Hashed features of a text: shares of words and their shapes, and of pairs of shapes; how words recur."""
 
-    def __init__(self, kept: int = 200_000):
+    def __init__(self, kept: int = 100_000):
         self.known: dict[bytes, tuple[int, int]] = {}
         self.kept = kept
 
