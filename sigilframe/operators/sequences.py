@@ -2,7 +2,7 @@
 
 Frames have session, frame (a unique number that breaks ties), ts (a timestamp) and sign (null when none was
 detected). All window functions share one partitioning by session and one order, so a plan has one exchange and one
-sort. The matcher folds a session's emissions, which are few beside its frames.
+sort. The matcher folds a session's emissions, which are few beside its frames, one after the other.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -113,49 +115,24 @@ def fold_sequences(emitted: DataFrame, patterns: list[Pattern], max_length: int
     A sign is added to the buffer, which keeps the last `max_length`; the longest pattern that ends it matches and
     clears it. dedupe: a sign equal to the last in the buffer isn't added.
     """
-    empty = F.array().cast("array<string>")
-    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    match_type = "struct<frame:bigint,ts:timestamp,sign:string,buffer:array<string>,pattern:string,length:int>"
-
-    def step(acc: Column, e: Column) -> Column:
-        start = F.when(e["reset"], empty).otherwise(acc["buffer"])
-        return bind(start, lambda b: add(acc, e, b))
-
-    def add(acc: Column, e: Column, b: Column) -> Column:
-        longer = F.concat(b, F.array(e["sign"]))
-        longer = F.slice(longer, F.greatest(F.lit(1), F.size(longer) - max_length + 1), max_length)
-        skip = F.coalesce(F.try_element_at(b, F.lit(-1)) == e["sign"], F.lit(False)) if dedupe else F.lit(False)
-        return bind(
-            F.struct(F.when(skip, b).otherwise(longer).alias("buffer"), skip.alias("skip")), lambda n: matched(acc, e, n)
-        )
-
-    def matched(acc: Column, e: Column, n: Column) -> Column:
-        which = F.lit(-1)
-        ordered = longest_first(patterns)
-        for i in reversed(range(len(ordered))):
-            k = len(ordered[i].signs)
-            ends = F.slice(n["buffer"], F.greatest(F.lit(1), F.size(n["buffer"]) - k + 1), k) == F.array(*map(F.lit, ordered[i].signs))
-            which = F.when(~n["skip"] & (F.size(n["buffer"]) >= k) & ends, F.lit(i)).otherwise(which)
-        return bind(which, lambda i: done(acc, e, n, i, ordered))
-
-    def done(acc: Column, e: Column, n: Column, i: Column, ordered: list[Pattern]) -> Column:
-        names, sizes = F.array(*[F.lit(p.name) for p in ordered]), F.array(*[F.lit(len(p.signs)) for p in ordered])
-        after = F.when(i >= 0, empty).otherwise(n["buffer"])
-        row = F.struct(
-            e["frame"].alias("frame"),
-            e["ts"].alias("ts"),
-            e["sign"].alias("sign"),
-            after.alias("buffer"),
-            F.when(i >= 0, F.get(names, i)).alias("pattern"),
-            F.when(i >= 0, F.get(sizes, i)).alias("length"),
-        )
-        return F.struct(after.alias("buffer"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    each = F.struct("ts", F.col("frame").cast("bigint").alias("frame"), F.col("emitted").alias("sign"), "reset")
-    zero = F.struct(empty.alias("buffer"), F.array().cast(f"array<{match_type}>").alias("out"))
-    per = emitted.groupBy("session").agg(F.array_sort(F.collect_list(each)).alias("all"))
-    folded = per.select("session", F.aggregate("all", zero, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select("session", F.inline("out"))
+    ordered = [(p.name, p.signs) for p in longest_first(patterns)]
+
+    def step(buffer: tuple, row: tuple) -> tuple[tuple, tuple]:
+        session, frame, ts, sign, reset = row
+        buffer = () if reset else buffer
+        name = length = None
+        if not (dedupe and buffer and buffer[-1] == sign):
+            buffer = (*buffer, sign)[-max_length:]
+            for pattern, signs in ordered:
+                if len(buffer) >= len(signs) and buffer[len(buffer) - len(signs) :] == signs:
+                    name, length, buffer = pattern, len(signs), ()
+                    break
+        return buffer, (session, frame, ts, sign, list(buffer), name, length)
+
+    fed = emitted.select("session", F.col("frame").cast("bigint").alias("frame"), F.unix_micros("ts").alias("ts"), F.col("emitted").alias("sign"), "reset")
+    kind = fed.schema["session"].dataType.simpleString()
+    schema = f"session {kind}, frame bigint, ts bigint, sign string, buffer array<string>, pattern string, length int"
+    return fold_sorted(fed, "session", ["ts", "frame"], (), step, schema).withColumn("ts", F.timestamp_micros("ts"))
 
 
 def trace(frames: DataFrame, patterns: list[Pattern], s: Smoothing, timeout_s: float = 3.0, max_length: int = 16) -> DataFrame:

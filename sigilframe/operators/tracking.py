@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 
 @dataclass(frozen=True)
 class Anchor:
@@ -16,87 +18,65 @@ class Anchor:
     damping: float = 0.85
 
 
-STATE = "struct<x:double,y:double,radius:double,w:double,h:double,vx:double,vy:double,seen:double,at:double>"
-FIELDS = ("x", "y", "radius", "w", "h", "vx", "vy", "seen", "at")
-
-
-def bind(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def follow(state: Column, e: Column, a: Anchor) -> Column:
-    """The state after an event (ts in seconds, box or null).
+def follower(a: Anchor):
+    """step(state, now, box) for events in order; state is x, y, radius, w, h, vx, vy, seen, at.
 
     The first box is adopted, a jump snaps. Else the step grows with the distance, from `smoothing` to 0.95. Without a
     box the anchor coasts on its slowing velocity for `coast_s`, then stays.
     """
-    none = F.lit(None).cast("double")
-    make = lambda **f: F.struct(*[f[n].cast("double").alias(n) for n in FIELDS])
-    b = e["box"]
-    tx, ty = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
-    tw, th = b["x2"] - b["x1"], b["y2"] - b["y1"]
-    tr = F.greatest(tw, th) * 0.62
-    now = e["ts"]
-    dt = F.coalesce(F.greatest(F.lit(0.0), now - state["at"]), F.lit(0.0))
-    adopt = make(x=tx, y=ty, radius=tr, w=tw, h=th, vx=F.lit(0.0), vy=F.lit(0.0), seen=now, at=now)
-    distance = F.sqrt((tx - state["x"]) * (tx - state["x"]) + (ty - state["y"]) * (ty - state["y"]))
-
-    def moved(d: Column) -> Column:
-        k = a.smoothing + (0.95 - a.smoothing) * F.least(F.lit(1.0), d / max(a.snap_distance, 1e-6))
-        return bind(k, stepped)
-
-    def stepped(k: Column) -> Column:
-        to = lambda f, target: state[f] + (target - state[f]) * k
-        x, y = to("x", tx), to("y", ty)
-        speed = lambda new, f, v: F.when(dt > 1e-4, (new - state[f]) / dt).otherwise(state[v])
-        return make(
-            x=x, y=y, radius=to("radius", tr), w=to("w", tw), h=to("h", th), vx=speed(x, "x", "vx"), vy=speed(y, "y", "vy"), seen=now, at=now
-        )
-
-    coasting = (now - state["seen"] <= a.coast_s) & (dt > 0)
-    coast = lambda moving, still: F.when(coasting, moving).otherwise(still)
-    keep = {n: state[n] for n in FIELDS}
-    glide = make(
-        **keep
-        | {
-            "x": coast(state["x"] + state["vx"] * dt, state["x"]),
-            "y": coast(state["y"] + state["vy"] * dt, state["y"]),
-            "vx": coast(state["vx"] * a.damping, F.lit(0.0)),
-            "vy": coast(state["vy"] * a.damping, F.lit(0.0)),
-            "at": now,
-        }
-    )
-    waiting = make(**{n: none for n in FIELDS} | {"at": now})
-    seen = F.when(state["x"].isNull(), adopt).otherwise(bind(distance, lambda d: F.when(d > a.snap_distance, adopt).otherwise(moved(d))))
-    return F.when(b.isNotNull(), seen).when(state["x"].isNull(), waiting).otherwise(glide)
+    smoothing, snap, coast_s, damping = a.smoothing, a.snap_distance, a.coast_s, a.damping
+
+    def step(state: tuple, now: float, box: dict | None) -> tuple:
+        x, y, radius, w, h, vx, vy, seen, at = state
+        if box is None:
+            if x is None:
+                return (*state[:8], now)
+            dt = max(0.0, now - at)
+            if now - seen <= coast_s and dt > 0:
+                return x + vx * dt, y + vy * dt, radius, w, h, vx * damping, vy * damping, seen, now
+            return x, y, radius, w, h, 0.0, 0.0, seen, now
+        tx, ty = (box["x1"] + box["x2"]) / 2, (box["y1"] + box["y2"]) / 2
+        tw, th = box["x2"] - box["x1"], box["y2"] - box["y1"]
+        tr = max(tw, th) * 0.62
+        if x is not None:
+            far = ((tx - x) * (tx - x) + (ty - y) * (ty - y)) ** 0.5
+            if far <= snap:
+                k = smoothing + (0.95 - smoothing) * min(1.0, far / max(snap, 1e-6))
+                dt = max(0.0, now - at)
+                nx, ny = x + (tx - x) * k, y + (ty - y) * k
+                if dt > 1e-4:
+                    vx, vy = (nx - x) / dt, (ny - y) / dt
+                return nx, ny, radius + (tr - radius) * k, w + (tw - w) * k, h + (th - h) * k, vx, vy, now, now
+        return tx, ty, tr, tw, th, 0.0, 0.0, now, now
+
+    return step
+
+
+FIELDS = ("x", "y", "radius", "w", "h", "vx", "vy")
 
 
 def track_anchor(boxes: DataFrame, a: Anchor = Anchor()) -> DataFrame:
     """Rows with session, frame, ts (seconds) and box (x1, y1, x2, y2 or null): the anchor after each; null before any box."""
-    each = F.struct("ts", F.col("frame").cast("bigint").alias("frame"), "box")
-    per = boxes.groupBy("session").agg(F.array_sort(F.collect_list(each)).alias("all"))
-    none = F.struct(*[F.lit(None).cast("double").alias(n) for n in FIELDS])
-    row = f"struct<frame:bigint,state:{STATE}>"
-    zero = F.struct(none.alias("state"), F.array().cast(f"array<{row}>").alias("out"))
+    follow = follower(a)
 
-    def step(acc: Column, e: Column) -> Column:
-        return bind(
-            follow(acc["state"], e, a),
-            lambda s: F.struct(s.alias("state"), F.concat(acc["out"], F.array(F.struct(e["frame"].alias("frame"), s.alias("state")))).alias("out")),
-        )
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        session, frame, ts, box = row
+        state = follow(state, ts, box)
+        return state, (session, frame, *state[:7])
 
-    out = per.select("session", F.inline(F.aggregate("all", zero, step, lambda acc: acc["out"])))
-    return out.select("session", "frame", *[F.col(f"state.{n}").alias(n) for n in ("x", "y", "radius", "w", "h", "vx", "vy")])
+    fed = boxes.select("session", F.col("frame").cast("bigint").alias("frame"), F.col("ts").cast("double").alias("ts"), "box")
+    schema = f"session {fed.schema['session'].dataType.simpleString()}, frame bigint, " + ", ".join(f"{c} double" for c in FIELDS)
+    return fold_sorted(fed, "session", ["ts", "frame"], (None,) * 9, step, schema)
 
 
 def moving_average(rows: DataFrame, value: str, rate: float = 0.3, start: float = 0.0) -> DataFrame:
     """Rows with session, frame, ts: the average after each, a `rate` of the way to the value; null leaves it."""
-    each = F.struct("ts", F.col("frame").cast("bigint").alias("frame"), F.col(value).cast("double").alias("v"))
-    per = rows.groupBy("session").agg(F.array_sort(F.collect_list(each)).alias("all"))
-    zero = F.struct(F.lit(float(start)).alias("y"), F.array().cast("array<struct<frame:bigint,average:double>>").alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        new = F.when(e["v"].isNull(), acc["y"]).otherwise(acc["y"] + (e["v"] - acc["y"]) * rate)
-        return bind(new, lambda y: F.struct(y.alias("y"), F.concat(acc["out"], F.array(F.struct(e["frame"].alias("frame"), y.alias("average")))).alias("out")))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        session, frame, _, v = row
+        y = state[0] if v is None else state[0] + (v - state[0]) * rate
+        return (y,), (session, frame, y)
 
-    return per.select("session", F.inline(F.aggregate("all", zero, step, lambda acc: acc["out"])))
+    fed = rows.select("session", F.col("frame").cast("bigint").alias("frame"), "ts", F.col(value).cast("double").alias("v"))
+    kind = fed.schema["session"].dataType.simpleString()
+    return fold_sorted(fed, "session", ["ts", "frame"], (float(start),), step, f"session {kind}, frame bigint, average double")
