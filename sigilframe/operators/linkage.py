@@ -32,11 +32,13 @@ def plan_bands(bits: int, threshold: int, probes: int = 64) -> tuple[int, int]:
     return best[1:] if best else (min(bits, threshold + 1), 0)
 
 
-def hamming_pairs(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
-    """Pairs a < b of rows (id, hash, tag) whose hashes differ in `threshold` bits at most: a, b, tag_a, tag_b, distance.
+def near_hashes(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
+    """Distinct hashes hash_a <= hash_b, each with itself too, that differ in `threshold` bits at most, and distance.
 
-    Each hash is cut into bands; a join on band and value finds candidates, one side with every value inside the radius.
+    Rows of one hash are one candidate, however many. Each hash is cut into bands; a join on band and value finds
+    candidates, one side with every value inside the radius.
     """
+    rows = rows.select("hash").distinct()
     bands, radius = plan_bands(bits, threshold)
     edges = [bits * i // bands for i in range(bands + 1)]
     own, near = [], []  # band, first bit, mask of its width, bits that are turned over
@@ -51,29 +53,56 @@ def hamming_pairs(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
         value = lambda b: F.call_function("shiftrightunsigned", F.col("hash"), b["l"]).bitwiseAND(b["w"]).bitwiseXOR(b["m"])
         return F.inline(F.transform(rows, lambda b: F.struct(b["i"].alias("band"), value(b).alias("value"))))
 
-    left = rows.select(F.col("id").alias("a"), F.col("hash").alias("hash_a"), F.col("tag").alias("tag_a"), values(near))
-    right = rows.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), F.col("tag").alias("tag_b"), values(own))
-    distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    joined = left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (distance <= threshold))
-    return joined.select("a", "b", "tag_a", "tag_b", distance.cast("int").alias("distance")).dropDuplicates(["a", "b"])
+    left = rows.select(F.col("hash").alias("hash_a"), values(near))
+    right = rows.select(F.col("hash").alias("hash_b"), values(own))
+    distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b"))).cast("int")
+    met = left.join(right, ["band", "value"]).filter((F.col("hash_a") < F.col("hash_b")) & (distance <= threshold))
+    other = met.select("hash_a", "hash_b", distance.alias("distance")).distinct()
+    return other.unionByName(rows.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance")))
+
+
+def expand(near: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of both hashes of each pair: columns of the rows with _a and _b, the pair's own, each two rows once."""
+    side = lambda x: rows.select(F.col("hash").alias(f"hash_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    both = near.join(side("a"), "hash_a").join(side("b"), "hash_b")
+    return both.filter((F.col("hash_a") < F.col("hash_b")) | (F.col(f"{columns[0]}_a") < F.col(f"{columns[0]}_b")))
+
+
+def hamming_pairs(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
+    """Pairs a < b of rows (id, hash, tag) whose hashes differ in `threshold` bits at most: a, b, tag_a, tag_b, distance.
+
+    All pairs are listed, so n rows of a hash give n * (n - 1) / 2; the counts below don't need them.
+    """
+    found = expand(near_hashes(rows, threshold, bits), rows, ["id", "tag"])
+    turned = F.col("id_a") > F.col("id_b")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return found.select(
+        pick("id_a", "id_b").alias("a"), pick("id_b", "id_a").alias("b"), pick("tag_a", "tag_b").alias("tag_a"), pick("tag_b", "tag_a").alias("tag_b"), "distance"
+    )
+
+
+def tag_pairs(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
+    """The same by groups of rows with one hash and tag, between different tags: hash, tag and n of both."""
+    groups = rows.groupBy("hash", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return expand(near_hashes(rows, threshold, bits), groups, ["tag", "n"]).filter("tag_a <> tag_b")
 
 
 def source_links(pairs: DataFrame) -> DataFrame:
-    """Links between sources, exploded: source_a < source_b and each row involved."""
-    ordered = pairs.filter("tag_a <> tag_b").select(
-        F.least("tag_a", "tag_b").alias("source_a"), F.greatest("tag_a", "tag_b").alias("source_b"), F.explode(F.array("a", "b")).alias("id")
+    """Links between sources, from pairs of groups: source_a < source_b and each group involved."""
+    side = lambda x: F.struct(F.col(f"hash_{x}").alias("hash"), F.col(f"tag_{x}").alias("tag"), F.col(f"n_{x}").alias("n"))
+    ordered = pairs.select(
+        F.least("tag_a", "tag_b").alias("source_a"), F.greatest("tag_a", "tag_b").alias("source_b"), F.explode(F.array(side("a"), side("b"))).alias("g")
     )
-    return ordered.distinct()
+    return ordered.select("source_a", "source_b", "g.*").distinct()
 
 
 def link_summary(links: DataFrame, rows: DataFrame) -> DataFrame:
     """Per link: rows involved on each side and in all, and their share of their source in percent."""
     sized = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("size"))
-    joined = links.join(rows.select("id", "tag"), "id")
-    counted = joined.groupBy("source_a", "source_b").agg(
-        F.count(F.lit(1)).alias("involved"),
-        F.count(F.when(F.col("tag") == F.col("source_a"), 1)).alias("involved_a"),
-        F.count(F.when(F.col("tag") == F.col("source_b"), 1)).alias("involved_b"),
+    counted = links.groupBy("source_a", "source_b").agg(
+        F.sum("n").alias("involved"),
+        F.sum(F.when(F.col("tag") == F.col("source_a"), F.col("n"))).alias("involved_a"),
+        F.sum(F.when(F.col("tag") == F.col("source_b"), F.col("n"))).alias("involved_b"),
     )
     a = sized.select(F.col("tag").alias("source_a"), F.col("size").alias("size_a"))
     b = sized.select(F.col("tag").alias("source_b"), F.col("size").alias("size_b"))
@@ -92,16 +121,17 @@ def link_summary(links: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """vertices(source), edges(source_a, source_b) -> source, group_id, the least source of its component.
 
     Each round takes the least label among neighbours, then the label of that label; the lineage is cut by a checkpoint.
+    Labels only fall, and a round in which none does is the last.
     """
     ensure_checkpoint_dir(vertices.sparkSession)
     both = edges.select(F.col("source_a").alias("source"), F.col("source_b").alias("other"))
     both = both.unionByName(both.select(F.col("other").alias("source"), F.col("source").alias("other"))).distinct().checkpoint()
     labels = vertices.select("source", F.col("source").alias("group_id")).distinct().checkpoint()
-    for _ in range(rounds):
+    while True:
         theirs = labels.select(F.col("source").alias("other"), F.col("group_id").alias("theirs"))
         least = both.join(theirs, "other").groupBy("source").agg(F.min("theirs").alias("theirs"))
         met = labels.join(least, "source", "left").select("source", F.col("group_id").alias("old"), F.least("group_id", "theirs").alias("group_id"))
@@ -111,7 +141,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 60
         labels = new.select("source", "group_id")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def group_sizes(groups: DataFrame, rows: DataFrame) -> DataFrame:
@@ -149,10 +178,19 @@ def leaking_pairs(rows: DataFrame, assignment: DataFrame, threshold: int, bits:
     return hamming_pairs(tagged, threshold, bits).filter("tag_a.split <> tag_b.split")
 
 
-def offender_report(pairs: DataFrame, most: int = 10) -> DataFrame:
+def leak_counts(rows: DataFrame, assignment: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
+    """Leaking pairs by their sources, counted without listing them: source_a < source_b, n."""
+    split = assignment.select("source", "split")
+    pairs = tag_pairs(rows, threshold, bits)
+    for x in ("a", "b"):
+        pairs = pairs.join(split.select(F.col("source").alias(f"tag_{x}"), F.col("split").alias(f"split_{x}")), f"tag_{x}")
+    by = pairs.filter("split_a <> split_b").groupBy(F.least("tag_a", "tag_b").alias("source_a"), F.greatest("tag_a", "tag_b").alias("source_b"))
+    return by.agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+
+
+def offender_report(counts: DataFrame, most: int = 10) -> DataFrame:
     """The source pairs with most leaking pairs."""
-    ordered = pairs.groupBy(F.least("tag_a.tag", "tag_b.tag").alias("source_a"), F.greatest("tag_a.tag", "tag_b.tag").alias("source_b"))
-    return ordered.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_a", "source_b").limit(most)
+    return counts.orderBy(F.desc("n"), "source_a", "source_b").limit(most)
 
 
 def check_no_leakage(pairs: DataFrame, allow: bool = False) -> int:

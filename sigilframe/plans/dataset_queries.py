@@ -226,7 +226,7 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hamming_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hashes(spark, sf_dir)
-    links = linkage.source_links(linkage.hamming_pairs(rows, NEAR, BITS))
+    links = linkage.source_links(linkage.tag_pairs(rows, NEAR, BITS))
     found = linkage.link_summary(links, rows)
     return found.select(
         "source_a",
@@ -253,14 +253,14 @@ VAL, TEST, TIGHT = [3], [7], 13
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hashes(spark, sf_dir)
-    pairs = linkage.hamming_pairs(rows, TIGHT, BITS).filter("tag_a <> tag_b")
+    pairs = linkage.tag_pairs(rows, TIGHT, BITS)
     edges = pairs.select(F.least("tag_a", "tag_b").alias("source_a"), F.greatest("tag_a", "tag_b").alias("source_b")).distinct()
     return linkage.connected_components(rows.select(F.col("tag").alias("source")).distinct(), edges)
 
 
 GROUPS = f"""{HASHES},
-q AS (SELECT DISTINCT a.tag AS source, b.tag AS other FROM h a JOIN h b ON a.tag <> b.tag AND bit_count(xor(a.hash, b.hash)) <= {TIGHT}),
-reach AS (SELECT DISTINCT tag AS source, tag AS other FROM h UNION SELECT r.source, q.other FROM reach r JOIN q ON q.source = r.other),
+tight AS (SELECT DISTINCT a.tag AS source, b.tag AS other FROM h a JOIN h b ON a.tag <> b.tag AND bit_count(xor(a.hash, b.hash)) <= {TIGHT}),
+reach AS (SELECT DISTINCT tag AS source, tag AS other FROM h UNION SELECT r.source, t.other FROM reach r JOIN tight t ON t.source = r.other),
 grouped AS (SELECT source, min(other) AS group_id FROM reach GROUP BY source)
 """
 
@@ -277,22 +277,16 @@ SELECT group_id, count(DISTINCT source) AS n_sources, count(*) AS n_rows FROM gr
 
 
 def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without links between val and test each label may be held out; groups named for both would be an error."""
-    return linkage.assign_splits(literal_groups(spark), VAL, TEST)
+    """The components' splits. A group named for both val and test would be an error, so where the two labels are
+    linked, as random vectors may be if there are many, only val is held out."""
+    found = groups(spark, sf_dir).checkpoint()
+    apart = found.filter(F.col("source").isin(VAL + TEST)).select("group_id").distinct().count() > 1
+    return linkage.assign_splits(found, VAL, TEST if apart else [])
 
 
-#: Groups of labels as fixtures, so that splits don't depend on how near random vectors come.
-GROUP_ROWS = [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 5), (6, 5), (7, 7), (8, 7), (9, 9)]
-
-
-def literal_groups(spark: SparkSession) -> DataFrame:
-    return literal_rows(spark, GROUP_ROWS, "source int, group_id int")
-
-
-ASSIGNED = f"""
-g AS (SELECT * FROM {sql_values(GROUP_ROWS, 'source, group_id')}),
+ASSIGNED = f"""{GROUPS},
 asg AS (SELECT source, group_id, CASE WHEN max(CASE WHEN source IN (3) THEN 1 ELSE 0 END) OVER (PARTITION BY group_id) = 1 THEN 'val'
-        WHEN max(CASE WHEN source IN (7) THEN 1 ELSE 0 END) OVER (PARTITION BY group_id) = 1 THEN 'test' ELSE 'train' END AS split FROM g)
+        WHEN max(CASE WHEN source IN (7) THEN 1 ELSE 0 END) OVER (PARTITION BY group_id) = 1 THEN 'test' ELSE 'train' END AS split FROM grouped)
 """
 
 
@@ -306,19 +300,20 @@ def split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPLIT_SHARES = f"""
-WITH {ASSIGNED}, c AS (SELECT split, count(*) AS n FROM embeddings JOIN asg ON source = label GROUP BY split)
+WITH RECURSIVE {ASSIGNED}, c AS (SELECT split, count(*) AS n FROM embeddings JOIN asg ON source = label GROUP BY split)
 SELECT split, n, round(100.0::DOUBLE * n / (SELECT sum(n) FROM c), 6) AS pct FROM c
 """
 
 
 def leak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = linkage.leaking_pairs(hashes(spark, sf_dir), held_out(spark, sf_dir), NEAR, BITS)
-    report = linkage.offender_report(pairs)
+    """At a wider radius than that of the groups, so that pairs cross the splits."""
+    report = linkage.offender_report(linkage.leak_counts(hashes(spark, sf_dir), held_out(spark, sf_dir), NEAR, BITS))
     return report.select("source_a", "source_b", F.col("n").cast("bigint").alias("n"))
 
 
 LEAK_PAIRS = f"""
-WITH {ASSIGNED}, {PAIRS}
+WITH RECURSIVE {ASSIGNED},
+q AS (SELECT a.tag AS tag_a, b.tag AS tag_b FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= {NEAR})
 SELECT least(tag_a, tag_b) AS source_a, greatest(tag_a, tag_b) AS source_b, count(*) AS n
 FROM q JOIN asg x ON x.source = tag_a JOIN asg y ON y.source = tag_b WHERE x.split <> y.split
 GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10
@@ -441,7 +436,7 @@ SELECT (SELECT count(*) FROM s) AS input, CAST((SELECT coalesce(sum(n - 1), 0) F
     "near_pairs": f"WITH {PAIRS} SELECT a, b, CAST(distance AS INTEGER) AS distance FROM q",
     "hamming_links": HAMMING_LINKS,
     "source_components": SOURCE_COMPONENTS,
-    "assign_splits": f"WITH {ASSIGNED} SELECT source, group_id, split FROM asg",
+    "assign_splits": f"WITH RECURSIVE {ASSIGNED} SELECT source, group_id, split FROM asg",
     "split_shares": SPLIT_SHARES,
     "leak_pairs": LEAK_PAIRS,
     "split_class_pivot": SPLIT_CLASS_PIVOT,
