@@ -187,3 +187,12 @@ def visible_cards(cards: Column, width: Column) -> Column:
     return F.slice(cards, F.greatest(F.lit(1), F.size(cards) - n + 1), n)
 
 
+def ease_out_cubic(age: Column, grow_s: float) -> Column:
+    """Growth from 0 to 1 over grow_s, fast at first."""
+    left = 1 - clamp(age / grow_s, 0.0, 1.0)
+    return 1 - left * left * left
+
+
+def timer_fraction(left_s: Column, timeout_s: Column) -> Column:
+    """Share of the timeout that is left."""
+    return clamp(left_s / F.greatest(timeout_s, F.lit(1e-6)), 0.0, 1.0)

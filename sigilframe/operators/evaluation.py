@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import undo_letterbox
+from .folds import fold_sorted
 
 
 def top1(detections: DataFrame, frame: list[str], order: list[Column]) -> DataFrame:
@@ -80,6 +81,32 @@ def decode_anchors(anchors: DataFrame, accept: float, scale: Column, pad_left: C
     )
 
 
+def suppress(boxes: DataFrame, most: float = 0.7) -> DataFrame:
+    """Non-maximum suppression: of an image's boxes (image, anchor, cls, conf, x1, y1, x2, y2) those that no kept box
+    of their class, of higher confidence, overlaps by more than `most`. Of equal confidence the lower anchor is first.
+
+    An image's boxes are at most a model's anchors, and are folded in order of confidence.
+    """
+
+    def step(kept: tuple, row: tuple) -> tuple[tuple, tuple]:
+        _, image, anchor, cls, conf, x1, y1, x2, y2 = row
+        area, stays = (x2 - x1) * (y2 - y1), True
+        for c, a1, b1, a2, b2 in kept:
+            if c == cls:
+                both = max(0.0, min(x2, a2) - max(x1, a1)) * max(0.0, min(y2, b2) - max(y1, b1))
+                union = area + (a2 - a1) * (b2 - b1) - both
+                if union > 0 and both / union > most:
+                    stays = False
+                    break
+        return ((*kept, (cls, x1, y1, x2, y2)) if stays else kept), (image, anchor, cls, conf, x1, y1, x2, y2, stays)
+
+    names = ("x1", "y1", "x2", "y2")
+    fed = boxes.select((-F.col("conf")).cast("double").alias("order"), "image", "anchor", "cls", F.col("conf").cast("double").alias("conf"), *[F.col(c).cast("double").alias(c) for c in names])
+    kind = lambda c: fed.schema[c].dataType.simpleString()
+    schema = f"image {kind('image')}, anchor {kind('anchor')}, cls {kind('cls')}, conf double, " + ", ".join(f"{c} double" for c in names) + ", stays boolean"
+    return fold_sorted(fed, "image", ["order", "anchor"], (), step, schema).filter("stays").drop("stays")
+
+
 def cache_mode(requested: Column, workers: Column, start_method: Column) -> Column:
     """ram is safe only without workers or with forked ones."""
     return F.when((requested != "ram") | (workers == 0) | (start_method == "fork"), requested).otherwise("disk")

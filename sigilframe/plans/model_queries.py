@@ -69,6 +69,30 @@ SELECT image, anchor, CAST(cls AS INTEGER) AS cls, round(conf, 6) AS conf, round
 """
 
 
+def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of twelve vectors an image, in a grid that makes neighbours overlap."""
+    rows = score_rows(spark, sf_dir).withColumns({"conf": F.array_max("scores"), "image": F.floor(F.col("anchor") / 12)})
+    cls = F.array_position("scores", F.col("conf")).cast("int") % 3
+    x, y = F.col("anchor") % 4 * 10, F.col("anchor") % 3 * 6
+    side = lambda c: c.cast("double")
+    boxes = rows.select("image", "anchor", cls.alias("cls"), "conf", side(x).alias("x1"), side(y).alias("y1"), side(x + 64).alias("x2"), side(y + 48).alias("y2"))
+    return evaluation.suppress(boxes).select("image", "anchor", "cls", F.round("conf", 6).alias("conf"))
+
+
+SUPPRESSED_BOXES = """
+WITH RECURSIVE s AS (SELECT vec_id // 12 AS image, vec_id AS anchor, list_transform(embedding[1:12], lambda x: abs(round(x::DOUBLE * 20) / 20)) AS scores FROM embeddings),
+c AS (SELECT image, anchor, list_max(scores) AS conf, list_position(scores, list_max(scores)) % 3 AS cls, anchor % 4 * 10 AS x, anchor % 3 * 6 AS y FROM s),
+b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY conf DESC, anchor) AS k FROM c),
+t AS (SELECT DISTINCT image, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(cls BIGINT, x BIGINT, y BIGINT)[]) AS kept, CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS cls, CAST(NULL AS DOUBLE) AS conf, FALSE AS stays FROM b
+      UNION ALL
+      SELECT image, k, CASE WHEN stays THEN list_append(kept, {'cls': cls, 'x': x, 'y': y}) ELSE kept END, anchor, cls, conf, stays FROM (
+          SELECT b.*, t.kept, len(list_filter(t.kept, lambda o: o.cls = b.cls AND greatest(0, 64 - abs(o.x - b.x)) * greatest(0, 48 - abs(o.y - b.y))
+                 / (2.0::DOUBLE * 64 * 48 - greatest(0, 64 - abs(o.x - b.x)) * greatest(0, 48 - abs(o.y - b.y))) > 0.7)) = 0 AS stays
+          FROM t JOIN b ON b.image = t.image AND b.k = t.k + 1))
+SELECT image, anchor, CAST(cls AS INTEGER) AS cls, round(conf, 6) AS conf FROM t WHERE stays
+"""
+
+
 def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions on all vectors of label 4 (all, if it had none) against a copy that is off in some."""
     e = table(spark, sf_dir, "embeddings")
@@ -303,7 +327,7 @@ def cache_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        metrics_summary, weakest_classes, anchor_decode, parity_check, held_out_sample, box_iou, head_yaw, mouth_box, effect_envelopes,
+        metrics_summary, weakest_classes, anchor_decode, suppressed_boxes, parity_check, held_out_sample, box_iou, head_yaw, mouth_box, effect_envelopes,
         sprite_envelopes, clone_placements, colour_ramp, volley_schedule, aim_and_pose, effect_lookup, score_gate, cache_mode,
     )
 }
@@ -311,6 +335,7 @@ ORACLES = {
     "metrics_summary": f"WITH {METRICS_SQL} SELECT CAST(class_id AS INTEGER) AS class_id, name, \"AP50\", \"AP50_95\", precision, recall FROM m",
     "weakest_classes": f'WITH {METRICS_SQL} SELECT name, "AP50" FROM m WHERE "AP50" IS NOT NULL ORDER BY "AP50", class_id LIMIT 3',
     "anchor_decode": ANCHOR_DECODE,
+    "suppressed_boxes": SUPPRESSED_BOXES,
     "parity_check": PARITY_CHECK,
     "held_out_sample": "SELECT vec_id FROM embeddings WHERE label = 4 ORDER BY md5('0:' || vec_id), vec_id LIMIT 20",
     "box_iou": BOX_IOU,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import effects as fx
 from ..functions.vocabulary import NAMES
 from ..operators import evaluation, sequences, tracking
 from ..operators.sequences import Pattern, Smoothing
@@ -92,6 +93,43 @@ def smooth_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smoothed.filter(F.col("emitted").isNotNull()).select("session", "frame", "emitted")
 
 
+#: Two of five votes confirm, so that two signs may have as many.
+TIES = Smoothing(5, 2, 4)
+
+
+def smooth_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal votes the sign seen first in the window wins."""
+    smoothed = sequences.smooth(frames(spark, sf_dir), TIES)
+    return smoothed.filter(F.col("emitted").isNotNull()).select("session", "frame", "emitted", F.round("stability", 6).alias("stability"))
+
+
+SMOOTH_TIES = f"""
+WITH f AS (SELECT user_id AS session, event_id AS frame, ts, CASE WHEN value >= 20 THEN event_type END AS sign FROM events),
+v AS (SELECT *, list(sign) OVER (PARTITION BY session ORDER BY ts, frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS win FROM f),
+b AS (SELECT *, list_sort(list_filter([{', '.join(f"{{'c': len(list_filter(win, lambda x: x = '{t}')), 'e': -coalesce(list_position(win, '{t}'), 99), 's': '{t}'}}" for t in TYPES)}], lambda x: x.c > 0), 'DESC') AS top FROM v),
+a AS (SELECT *, CASE WHEN top[1].c >= 2 THEN top[1].s WHEN len(list_filter(win, lambda x: x IS NULL)) >= 4 THEN '' END AS action,
+             coalesce(top[1].c >= 2, FALSE) AS enough FROM b),
+h AS (SELECT *, nullif(last_value(action IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, frame ROWS UNBOUNDED PRECEDING), '') AS held FROM a),
+e AS (SELECT *, CASE WHEN enough AND held IS DISTINCT FROM lag(held) OVER (PARTITION BY session ORDER BY ts, frame) THEN held END AS emitted FROM h)
+SELECT session, frame, emitted, round(len(list_filter(win, lambda x: x = held)) / 5.0::DOUBLE, 6) AS stability FROM e WHERE emitted IS NOT NULL
+"""
+
+
+def card_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as ages in hundredths of a second, and as seconds left of a minute."""
+    e = table(spark, sf_dir, "events")
+    grown, left = fx.ease_out_cubic(F.col("value") / 100, 0.22), fx.timer_fraction(F.col("value"), F.lit(60.0))
+    size = lambda whole: F.floor(whole * (0.85 + 0.15 * grown)).cast("bigint")
+    return e.select("event_id", F.round(grown, 6).alias("ease"), size(104).alias("width"), size(92).alias("height"), F.round(left, 6).alias("left"))
+
+
+CARD_GROWTH = """
+WITH g AS (SELECT event_id, value, 1 - pow(1 - greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100 / 0.22::DOUBLE)), 3) AS ease FROM events)
+SELECT event_id, round(ease, 6) AS ease, CAST(floor(104 * (0.85::DOUBLE + 0.15::DOUBLE * ease)) AS BIGINT) AS width,
+       CAST(floor(92 * (0.85::DOUBLE + 0.15::DOUBLE * ease)) AS BIGINT) AS height, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 60.0::DOUBLE)), 6) AS "left" FROM g
+"""
+
+
 def sign_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     smoothed = sequences.smooth(frames(spark, sf_dir), SMOOTHING)
     return smoothed.select("session", "frame", "held", F.round("stability", 6).alias("stability"))
@@ -161,6 +199,7 @@ PATTERN_LINES = [
     (4, "Earth Style,Tail,hare,ox,tiger,snake,"),
     (5, ",Other,ox,hare,monkey,,"),
     (6, "Wind Style,Wide,rat,ox,hare,monkey,bird"),
+    (7, '"Fire Style","Fireball, Great ""Flame""",snake,"ram",monkey,'),
 ]
 
 
@@ -171,7 +210,8 @@ def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = f"""
-l AS (SELECT place, list_transform(string_split(regexp_replace(line, '^\\x{{FEFF}}', ''), ','), lambda c: trim(c)) AS c
+l AS (SELECT place, list_transform(regexp_extract_all(regexp_replace(line, '^\\x{{FEFF}}', '') || ',', '("(?:[^"]|"")*"|[^,]*),', 1),
+             lambda c: trim(CASE WHEN c LIKE '"%"' THEN replace(c[2:-2], '""', '"') ELSE c END)) AS c
       FROM {sql_values(PATTERN_LINES, 'place, line')}),
 p AS (SELECT place, c[2] AS name, c[1] AS element, list_transform(list_filter(c[3:], lambda x: x <> ''), lambda x: lower(x)) AS signs
       FROM l WHERE len(list_filter(c, lambda x: x <> '')) > 0 AND NOT (place = 0 AND c[1] = 'element' AND c[2] = 'jutsu'))
@@ -276,11 +316,13 @@ def frame_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        top1_detection, smooth_signs, sign_stability, match_sequences, sequence_trace, time_left, match_banner, match_progress, rolling_fps,
+        top1_detection, smooth_signs, smooth_ties, card_growth, sign_stability, match_sequences, sequence_trace, time_left, match_banner, match_progress, rolling_fps,
         pattern_table, unreachable_patterns, anchor_track, yaw_ema, visible_cards, frame_gaps,
     )
 }
 ORACLES = {
+    "smooth_ties": SMOOTH_TIES,
+    "card_growth": CARD_GROWTH,
     "top1_detection": """
 SELECT user_id, day, event_id, event_type, round(value, 6) AS confidence, CASE WHEN value >= 60 THEN event_type END AS vote
 FROM (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1""",

@@ -12,10 +12,12 @@ def parse_pattern_lines(lines: DataFrame, vocab: tuple[str, ...]) -> DataFrame:
     """From place and line: place, name, element, signs. Cells are trimmed, signs in lower case, blanks skipped.
 
     The first line may be a header and start with a byte order mark. A pattern without signs, or with a sign outside
-    the vocabulary, is an error. Cells in double quotes are not looked for.
+    the vocabulary, is an error. A cell in double quotes may hold commas, and a quote twice for one.
     """
-    clean = F.regexp_replace("line", "^\\uFEFF", "")
-    cells = F.transform(F.split(clean, ","), lambda c: F.trim(c))
+    clean = F.concat(F.regexp_replace("line", "^\\uFEFF", ""), F.lit(","))
+    raw = F.regexp_extract_all(clean, F.lit('("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+    plain = lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    cells = F.transform(raw, lambda c: F.trim(plain(c)))
     rows = lines.select("place", cells.alias("c")).filter(F.exists("c", lambda x: x != ""))
     # a file's few lines; later filters, which may raise, don't pass a window
     rows = rows.withColumn("first", F.min("place").over(Window.partitionBy()))
