@@ -20,24 +20,73 @@ def luma(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return ((r + g + b + 32768) >> 16).astype(np.uint8)
 
 
+#: Fixed value: bits after the point of the resampler's weights.
+PRECISION = 22
+
+
 def lanczos_weights(size: int, to: int, lobes: int = 3) -> np.ndarray:
-    """Matrix that resamples `size` values to `to`, with a window that widens when it shrinks them."""
+    """Matrix that resamples `size` values to `to`, in fixed point; the window widens when it shrinks them."""
     scale = size / to
     reach = max(scale, 1.0)
-    centre = (np.arange(to) + 0.5) * scale - 0.5
-    x = (np.arange(size)[None, :] - centre[:, None]) / reach
-    w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
-    return w / w.sum(axis=1, keepdims=True)
+    centre = ((np.arange(to) + 0.5) * scale)[:, None]
+    first = np.maximum((centre - lobes * reach + 0.5).astype(int), 0)
+    last = np.minimum((centre + lobes * reach + 0.5).astype(int), size)
+    at = np.arange(size)[None, :]
+    x = (at - centre + 0.5) / reach
+    w = np.where((at >= first) & (at < last) & (x >= -lobes) & (x < lobes), np.sinc(x) * np.sinc(x / lobes), 0.0)
+    w /= w.sum(axis=1, keepdims=True)
+    return np.trunc(w * (1 << PRECISION) + np.copysign(0.5, w)).astype(np.int64)
+
+
+def resample(grey: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Two passes, over columns and then over rows, each rounded to eight bits; one that keeps its size is left out."""
+    cells = grey.astype(np.int64)
+    for to in (width, height):
+        if cells.shape[1] != to:
+            cells = np.clip((cells @ lanczos_weights(cells.shape[1], to).T + (1 << (PRECISION - 1))) >> PRECISION, 0, 255)
+        cells = cells.T
+    return cells
 
 
 def difference_hash(grey: np.ndarray, side: int) -> bytes:
     """A bit for each cell of a side by side grid: its right neighbour is brighter."""
-    h, w = grey.shape
-    small = lanczos_weights(h, side) @ grey.astype(np.float64) @ lanczos_weights(w, side + 1).T
-    cells = np.clip(np.rint(small), 0, 255).astype(np.int16)
+    cells = resample(grey, side + 1, side)
     return np.packbits((cells[:, 1:] > cells[:, :-1]).ravel()).tobytes()
 
 
+def largest_blob(mask: np.ndarray, least: int = 64) -> tuple[int, int, int, int] | None:
+    """left, top, right, bottom of the largest group of cells above a half that touch, also at corners; nothing where
+    fewer than `least` cells are above. Of equal ones the first counts."""
+    held = mask > 0.5
+    if held.sum() < least:
+        return None
+    edges = np.diff(np.pad(held.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    runs = [(int(y), int(a), int(b)) for (y, a), b in zip(np.argwhere(edges == 1), np.argwhere(edges == -1)[:, 1], strict=True)]
+    root = list(range(len(runs)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above = 0  # the first run of the row above that may touch
+    for i, (y, a, b) in enumerate(runs):
+        while runs[above][0] < y - 1 or runs[above][0] == y - 1 and runs[above][2] < a:
+            above += 1
+        k = above
+        while k < i and runs[k][0] == y - 1 and runs[k][1] <= b:
+            low, high = sorted((find(i), find(k)))
+            root[high] = low
+            k += 1
+    size: dict[int, int] = {}
+    for i, (_, a, b) in enumerate(runs):
+        size[find(i)] = size.get(find(i), 0) + b - a
+    best = max(size, key=lambda r: (size[r], -r))
+    own = [r for i, r in enumerate(runs) if find(i) == best]
+    return min(a for _, a, _ in own), own[0][0], max(b for _, _, b in own), own[-1][0] + 1
+
+
 def content_box(grey: np.ndarray, threshold: int = 16) -> tuple[int, int, int, int]:
     """left, top, right, bottom without bars, which are lines with 98 percent of dark pixels; all if nothing is left."""
     dark = grey < threshold

@@ -1,5 +1,6 @@
 """Source trees, images, manifests, lists and patterns on disk."""
 
+import math
 import struct
 import zlib
 
@@ -14,6 +15,10 @@ from sigilframe.operators import labels
 from sigilframe.sources import dataset_tree, patterns, sinks
 
 
+#: Fixed value: the hash of a picture of waves.
+FIXED_WAVES = "9898989898989898"
+
+
 def png(pixels: np.ndarray) -> bytes:
     h, w, _ = pixels.shape
     part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
@@ -79,6 +84,58 @@ def test_hash_survives_rescaling_and_tells_apart():
     assert images.difference_hash(small, 16) == images.difference_hash(small, 16)
 
 
+def test_resampling_by_its_definition():
+    """Weights written out cell by cell, in fixed point, and the rounding between the passes."""
+    rng = np.random.default_rng(4)
+    grey = rng.integers(0, 256, (23, 37)).astype(np.uint8)
+
+    def line(values, to):
+        scale = len(values) / to
+        reach = max(scale, 1.0)
+        out = []
+        for i in range(to):
+            centre = (i + 0.5) * scale
+            span = range(max(int(centre - 3 * reach + 0.5), 0), min(int(centre + 3 * reach + 0.5), len(values)))
+            sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+            w = [sinc((k - centre + 0.5) / reach) * sinc((k - centre + 0.5) / reach / 3) if -3 <= (k - centre + 0.5) / reach < 3 else 0.0 for k in span]
+            fixed = [int(x / sum(w) * 2**22 + (0.5 if x >= 0 else -0.5)) for x in w]
+            total = sum(f * int(values[k]) for f, k in zip(fixed, span))
+            out.append(min(255, max(0, (total + 2**21) >> 22)))
+        return out
+
+    rows = [line(r, 9) for r in grey]
+    want = np.array([line(c, 8) for c in np.array(rows).T]).T
+    assert (images.resample(grey, 9, 8) == want).all()
+    assert (images.resample(grey, 37, 23) == grey).all()
+
+
+def test_hashes_are_fixed():
+    y, x = np.mgrid[0:40, 0:50]
+    ramp, waves = (x * 5).astype(np.uint8), ((np.sin(x / 4.0) + np.cos(y / 5.0)) * 60 + 128).astype(np.uint8)
+    assert images.difference_hash(ramp, 8) == b"\xff" * 8 and images.difference_hash(ramp[:, ::-1], 8) == b"\0" * 8
+    assert images.difference_hash(waves, 8).hex() == FIXED_WAVES
+
+
+def test_largest_blob_equals_flood_fill():
+    rng = np.random.default_rng(9)
+    for share in (0.1, 0.3, 0.4, 0.5, 0.9):
+        mask = rng.random((30, 41)) < share
+        left, best = {tuple(p) for p in np.argwhere(mask)}, []
+        for p in map(tuple, np.argwhere(mask)):
+            todo, blob = [p] if p in left else [], []
+            left.discard(p)
+            while todo:
+                y, x = todo.pop()
+                blob.append((y, x))
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            best = blob if len(blob) > len(best) else best
+        ys, xs = zip(*best)
+        assert images.largest_blob(mask.astype(float)) == (min(xs), min(ys), max(xs) + 1, max(ys) + 1)
+    assert images.largest_blob(np.eye(20)) is None
+
+
 def test_content_box():
     img = np.full((64, 64), 200, np.uint8)
     img[:10] = img[-10:] = 0
