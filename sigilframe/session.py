@@ -11,10 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder in spark.checkpoint.dir; where none is named (tests), one of this machine."""
+    """Uses the shared folder in spark.checkpoint.dir. Where none is named, one of this machine will do in local mode, as
+    in tests; elsewhere the others couldn't read it. Old checkpoints go with spark.cleaner.referenceTracking.cleanCheckpoints."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/sigilframe")
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or "file:///tmp/checkpoints/sigilframe")
 
 
 def ordered_index(df: DataFrame, *order: Column | str, out: str = "index") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_changed, clip_box, format_label
+from ..functions.images import cropped
 from ..functions.vocabulary import NAMES
 from ..session import ordered_index
 
@@ -38,6 +39,12 @@ def label_files(samples: DataFrame) -> DataFrame:
     )
 
 
+def write_images(rows: DataFrame, path: str) -> None:
+    """The pool's images: id and the content of the image without bars, as PNG, of rows with id and image. One table in
+    place of a file each, as millions of small files are slow to list."""
+    rows.select("id", cropped(F.col("image")).alias("content")).write.mode("overwrite").parquet(path)
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
     """CSV with a header, also of no rows."""
     rows.write.mode("overwrite").csv(path, header=True)

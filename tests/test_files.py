@@ -65,6 +65,21 @@ def test_image_hashes(spark, tree):
     assert all((r.left, r.top, r.right, r.bottom) == (0, 0, 48, 40) and r.width == 48 for r in out)
 
 
+def test_cropped_images(spark, tmp_path):
+    pixels = np.random.default_rng(2).integers(60, 255, (30, 40, 3))
+    pixels[:6] = pixels[-4:] = 0
+    (tmp_path / "s" / "train" / "images").mkdir(parents=True)
+    (tmp_path / "s" / "train" / "images" / "a.png").write_bytes(png(pixels))
+    rows = dataset_tree.scan_images(spark, str(tmp_path), decode=True).withColumn("id", F.lit("s_00000"))
+    sinks.write_images(rows, f"{tmp_path}/pool")
+    out = spark.read.parquet(f"{tmp_path}/pool").first()
+    (tmp_path / "t" / "train" / "images").mkdir(parents=True)
+    (tmp_path / "t" / "train" / "images" / "b.png").write_bytes(bytes(out.content))
+    back = dataset_tree.scan_images(spark, f"{tmp_path}/t/..", decode=True).filter("path like '%b.png'").first().image
+    got = np.frombuffer(back.data, np.uint8).reshape(back.height, back.width, 3)[:, :, ::-1]
+    assert out.id == "s_00000" and (got == pixels[6:26]).all()
+
+
 def test_undecodable_image_is_an_error(spark, tmp_path):
     (tmp_path / "s" / "train" / "images").mkdir(parents=True)
     (tmp_path / "s" / "train" / "images" / "a.png").write_bytes(b"no image")
