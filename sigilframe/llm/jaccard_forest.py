@@ -101,14 +101,14 @@ def sketch(docs: DataFrame, forest: Forest, words: int) -> DataFrame:
 def shorten(nodes: DataFrame, spare: int) -> DataFrame:
     """Nodes with the label by which they are matched in each tree: of the shortest prefix, but of the whole label where
     all nodes that share that prefix have it among the `spare` branches that are their largest."""
-    entries = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
+    entries = nodes.select("row", F.posexplode("keys").alias("tree", "key"))  # the row of a node is its own
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    largest = Window.partitionBy("node").orderBy(F.desc("n"), "tree")
+    largest = Window.partitionBy("row").orderBy(F.desc("n"), "tree")
     told = entries.join(sizes, "key").withColumn("deep", F.row_number().over(largest) <= spare)
     whole = told.groupBy("key").agg(F.bool_and("deep").alias("all")).filter("all").select("key")
-    deep = told.join(whole, "key").groupBy("node").agg(F.collect_set("tree").alias("deep"))
+    deep = told.join(whole, "key").groupBy("row").agg(F.collect_set("tree").alias("deep"))
     matched = lambda k, i: F.when(F.coalesce(F.array_contains("deep", i), F.lit(False)), F.xxhash64(k, F.get("rests", i))).otherwise(k)
-    return nodes.join(deep, "node", "left").withColumn("keys", F.transform("keys", matched)).drop("deep", "rests")
+    return nodes.join(deep, "row", "left").withColumn("keys", F.transform("keys", matched)).drop("deep", "rests")
 
 
 def block_rows(nodes: DataFrame, block: int, block_bytes: int) -> DataFrame:
