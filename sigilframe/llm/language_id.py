@@ -17,6 +17,7 @@ once; extra columns are not looked at; an empty table gives an empty result. Who
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import unicodedata
@@ -62,7 +63,7 @@ def words_of(text: str) -> list[str]:
 class Memory:
     """Of a worker: sums of runs between blanks that a model has scored. Those of the model before go."""
 
-    of: LanguageModel | None = None
+    of: bytes | None = None  # the model's key, so that the model itself isn't kept alive
     seen: dict[str, int] = {}
     rows: np.ndarray | None = None
 
@@ -74,7 +75,7 @@ _memory = Memory()
 class LanguageModel:
     """Words and n-grams have a row each; row r's languages and their gains on the penalty are at starts[r]:starts[r + 1].
 
-    cells: numbers that are remembered of runs already scored, at most."""
+    key: of all that the model holds. cells: numbers that are remembered of runs already scored, at most."""
 
     languages: list[str]
     words: dict[str, int]
@@ -83,6 +84,7 @@ class LanguageModel:
     places: np.ndarray
     gains: np.ndarray
     penalty: float
+    key: bytes
     cells: int = 1_200_000
 
     def known(self, w: str) -> tuple[list[int], int]:
@@ -129,8 +131,8 @@ class LanguageModel:
         width = len(self.languages) + 2
         kept = max(1000, self.cells // width)
         memory = _memory
-        if memory.of is not self or len(memory.seen) >= kept:
-            memory.of, memory.seen, memory.rows = self, {}, np.empty((1024, width))
+        if memory.of != self.key or len(memory.seen) >= kept:
+            memory.of, memory.seen, memory.rows = self.key, {}, np.empty((1024, width))
         seen, total, found = memory.seen, np.zeros(width), Counter(text.split())  # no word reaches over a blank
         new = [c for c in found if c not in seen]
         for i in range(0, len(new), 4096):
@@ -229,7 +231,9 @@ def train(
             if gram != " ":  # it tells nothing
                 (ngrams if length else words)[gram] = len(starts)
             starts.append(i)
-    return LanguageModel(languages, words, ngrams, np.array([*starts, len(gains)], np.int64), places, gains, penalty)
+    key = hashlib.blake2b("\0".join([*languages, *got["gram"].to_pylist()]).encode("utf-8", "surrogatepass"))
+    key.update(n.tobytes() + places.tobytes() + gains.tobytes())
+    return LanguageModel(languages, words, ngrams, np.array([*starts, len(gains)], np.int64), places, gains, penalty, key.digest())
 
 
 def predict_column(df: DataFrame, model: LanguageModel, text: Column) -> Column:
