@@ -62,6 +62,24 @@ def texts(column: pa.Array) -> Iterator[str | None]:
         yield column[i].as_py()
 
 
+def runs(offsets: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Rows from and to, of about `size` bytes each; a longer text is a run of its own."""
+    out, a, n = [], 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all strings of a column, and where each begins; null is empty."""
+    whole = column.cast(pa.large_binary()).fill_null(b"")
+    _, places, data = whole.buffers()
+    at = np.frombuffer(places, np.int64, len(whole) + 1, 8 * whole.offset)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), at
+
+
 def fold_words(text: str | None) -> bytes:
     """Lower-cased words, [0-9a-z] and all beyond ASCII, joined by one space."""
     if not text:

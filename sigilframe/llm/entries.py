@@ -19,6 +19,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -79,6 +85,18 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curve_packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+def op12_rank_select_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fim_digests
+
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_trie_tokens": op1_trie_tokens,
     "op2_weak_quality": op2_weak_quality,
@@ -90,6 +108,8 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_forest": op8_jaccard_forest,
     "op9_licence_scan": op9_licence_scan,
     "op10_shard_tree": op10_shard_tree,
+    "op11_curve_packing": op11_curve_packing,
+    "op12_rank_select_middle": op12_rank_select_middle,
 }
 
 #: Words of a text as the contract of operator 7 has them; \\x escapes are RE2's.
@@ -130,6 +150,18 @@ l AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
       UNION SELECT p.doc_id, q.doc_id FROM d p JOIN d q ON p.text = q.text AND p.doc_id <> q.doc_id WHERE len(p.w) = 0),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM d
+""",
+    "op12_rank_select_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN range(4)] AS h FROM d),
+c AS (SELECT doc_id, t, n, array_to_string(u[1:least(h[1] % (n + 1), h[2] % (n + 1))], '') AS p,
+             array_to_string(u[least(h[1] % (n + 1), h[2] % (n + 1)) + 1:greatest(h[1] % (n + 1), h[2] % (n + 1))], '') AS m,
+             array_to_string(u[greatest(h[1] % (n + 1), h[2] % (n + 1)) + 1:], '') AS s,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                  WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM c
 """,
     "op3_adaptive_rules": """
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
