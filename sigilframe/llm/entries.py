@@ -97,6 +97,12 @@ def op12_rank_select_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_automata import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_trie_tokens": op1_trie_tokens,
     "op2_weak_quality": op2_weak_quality,
@@ -110,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op10_shard_tree": op10_shard_tree,
     "op11_curve_packing": op11_curve_packing,
     "op12_rank_select_middle": op12_rank_select_middle,
+    "op13_phrase_automata": op13_phrase_automata,
 }
 
 #: Words of a text as the contract of operator 7 has them; \\x escapes are RE2's.
@@ -162,6 +169,24 @@ c AS (SELECT doc_id, t, n, array_to_string(u[1:least(h[1] % (n + 1), h[2] % (n +
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
        sha256(t) AS restored_sha256 FROM c
+""",
+    "op13_phrase_automata": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+x AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT x.lang, x.phrase, x.a, x.cut, l.a AS l, r.a AS r, 1000000::HUGEINT * x.a * x.a // (l.a::HUGEINT * r.a) AS score
+      FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = x.head JOIN f AS r ON r.lang = x.lang AND r.phrase = x.tail),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+up AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE k = 3) GROUP BY ALL),
+ok AS (SELECT low.* FROM low LEFT JOIN up USING (lang, phrase) WHERE up.most IS NULL OR 100 * up.most < 50 * low.a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ok QUALIFY rank <= 2000)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM t JOIN n USING (lang)
 """,
     "op3_adaptive_rules": """
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

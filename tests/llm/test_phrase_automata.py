@@ -1,0 +1,134 @@
+"""The automaton against all substrings, shards against plain splitting, collocations against brute force and SQL."""
+
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from sigilframe.llm import entries
+from sigilframe.llm import phrase_automata as ph
+
+PIECE, WORD = re.compile("[.,;:!?\n-\r]"), re.compile("[^ \t]+")
+
+
+def plainly(rows, longest=3, least=10, share=50, first=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows, from counts of all phrases."""
+    f, n = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in PIECE.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = WORD.findall(piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f.setdefault(lang, Counter())[tuple(w[i : i + k])] += 1
+    out = []
+    for lang, c in f.items():
+        wide = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        kept = []
+        for p, a in wide.items():
+            inside = lambda q, p=p: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+            if any(len(q) > len(p) and 100 * b >= share * a and inside(q) for q, b in wide.items()):
+                continue
+            score, _, l, r = min((1000000 * a * a // (c[p[:k]] * c[p[k:]]), k, c[p[:k]], c[p[k:]]) for k in range(1, len(p)))  # noqa: E741
+            kept.append((-score, -a, " ".join(p).encode(), l, r))
+        for rank, (score, a, p, l, r) in enumerate(sorted(kept)[:first], 1):  # noqa: E741
+            out.append((lang, rank, p.decode(), -a, l, r, n[lang], -score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_states_hold_every_phrase_once_with_its_count(seed):
+    rng = np.random.default_rng(seed)
+    words = rng.integers(-1, 4 + 10 * (seed % 2), 400)
+    auto = ph.Automaton(words, 4)
+    places = Counter()
+    ends = {}
+    for k in range(1, 5):
+        for i in range(k - 1, len(words)):
+            p = tuple(words[i - k + 1 : i + 1].tolist())
+            if min(p) >= 0:
+                places[p] += 1
+                ends.setdefault(p, []).append(i)
+    got = {}
+    for k in range(1, 5):
+        for e, c in zip(*auto.phrases(k), strict=True):
+            p = tuple(words[e - k + 1 : e + 1].tolist())
+            assert p not in got
+            got[p] = c
+    assert got == places
+    # states are the classes of phrases with equal ends, cut off at the depth
+    assert len(auto.ends) == len({tuple(x) for x in ends.values()})
+
+
+def test_nodes_that_may_not_be_extended(spark):
+    words = np.array([0, 1, 2, -1, 0, 1, 2, 3, 0, 1])
+    auto = ph.Automaton(words, 3, lambda k, ends: words[ends] != 3 if k == 1 else np.isin(words[ends], [1, 2]))
+    ends, counts = auto.phrases(3)
+    assert [tuple(words[e - 2 : e + 1]) for e in ends] == [(0, 1, 2)] and counts.tolist() == [2]
+    assert not len(ph.Automaton(np.array([-1, -1]), 3).ends)
+    assert not len(ph.Automaton(np.empty(0, np.int64), 3, lambda k, e: np.ones(len(e), bool)).ends)
+
+
+@pytest.mark.parametrize("size", [3, 40, 1 << 20])
+def test_shards_cut_only_between_pieces(size):
+    rnd = random.Random(2)
+    alphabet = ["a", "Bé", " ", "\t", ".", "\n", "\x1c", "漢", " ", "\x0b", "!", "x y z "]
+    rows = [(rnd.choice(["en", None, "x"]), "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))) for _ in range(80)] + [("en", None), ("en", "")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.string())], ["lang", "text"]) for part in (rows[:50], rows[50:])]
+    got = Counter()
+    for lang, shard in ph.shards(iter(batches), size):
+        codes, words = ph.coded(shard)
+        said = " ".join("." if c < 0 else words[c].decode() for c in codes)
+        got.update((lang, tuple(p.split(" "))) for p in re.sub(r" ?\. ?", ".", said).split(".") if p)
+    want = Counter()
+    for lang, text in rows:
+        for piece in PIECE.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            if WORD.findall(piece):
+                want[lang or "und", tuple(WORD.findall(piece))] += 1
+    assert got == want
+
+
+def prose(n, seed, vocab=40):
+    rnd = random.Random(seed)
+    words = [rnd.choice("bdkmnst") + rnd.choice("aeiou") + rnd.choice(["", "n", "É", "x\x1c"]) for _ in range(vocab)]
+    fixed = [" ".join(rnd.choice(words) for _ in range(3)) for _ in range(8)]
+    make = lambda: " ".join(rnd.choice(fixed) if rnd.random() < 0.3 else rnd.choice(words) for _ in range(rnd.randint(0, 120)))
+    return [(rnd.choice(["en", "fr", None, "und"]), re.sub(" ", lambda m: rnd.choice([" "] * 9 + [". ", "\t", ", "]), make()) if rnd.random() < 0.95 else None) for _ in range(n)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"longest": 4, "least": 5, "share": 70, "first": 25}, {"longest": 2, "shard_size": 2000}, {"shard_size": 500, "filter_bits": 6}])
+def test_equals_brute_force(spark, odd_docs, settings):
+    rows = prose(220, len(settings)) + [(r.lang, r.text) for r in odd_docs.collect()]
+    df = spark.createDataFrame([(i, lang, text, 1) for i, (lang, text) in enumerate(rows)], "h1 long, lang string, text string, a int").repartition(5)
+    own = {k: v for k, v in settings.items() if k in ("longest", "least", "share", "first")}
+    want = plainly(rows, **own)
+    assert len(want) > 30
+    assert sorted(map(tuple, ph.collocations(df, **settings).collect())) == want
+
+
+def test_products_beyond_64_bits(spark):
+    df = spark.createDataFrame([(3_000_000_000, 3_000_000_001, 3_000_000_007), (10, 10, 10)], "a long, l long, r long")
+    got = [r[0] for r in df.select(ph.exact_score(df.a, df.l, df.r)).collect()]
+    assert got == [1000000 * r.a * r.a // (r.l * r.r) for r in df.collect()]
+
+
+def test_no_rows(spark, no_docs):
+    assert ph.collocations(no_docs).collect() == []
+    assert ph.collocations(spark.createDataFrame([("en", None), (None, ""), ("en", "one. two")], "lang string, text string")).collect() == []
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '/root/testdata/sf{sf}/documents.parquet'")
+    name = "op13_phrase_automata"
+    df = entries.QUERIES[name](spark, f"/root/testdata/sf{sf}")
+    want = con.sql(entries.ORACLES[name])
+    assert want.columns == df.columns
+    rows = sorted(map(tuple, df.collect()))
+    assert rows and rows == sorted(want.fetchall())
