@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from . import theta
+
+#: Share of all pairs from which on blocks are compared in place of candidates by bands.
+WIDE = 0.01
+#: Edges from which on components are found in rounds and not in one task.
+MANY_EDGES = 100_000
 
 
 def difference_bits(values: Column, bits: int) -> Column:
@@ -32,13 +40,26 @@ def plan_bands(bits: int, threshold: int, probes: int = 64) -> tuple[int, int]:
     return best[1:] if best else (min(bits, threshold + 1), 0)
 
 
+def candidate_share(bits: int, threshold: int) -> float:
+    """Share of all pairs that bands are expected to make candidates of random hashes."""
+    bands, radius = plan_bands(bits, threshold)
+    return bands * sum(comb(-(-bits // bands), r) for r in range(radius + 1)) * 2.0 ** -(bits / bands)
+
+
 def near_hashes(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
     """Distinct hashes hash_a <= hash_b, each with itself too, that differ in `threshold` bits at most, and distance.
 
-    Rows of one hash are one candidate, however many. Each hash is cut into bands; a join on band and value finds
-    candidates, one side with every value inside the radius.
+    Rows of one hash are one candidate, however many. Where bands tell candidates apart, they are found by them; at a
+    wider radius blocks of hashes are compared. Both lose no pair.
     """
     rows = rows.select("hash").distinct()
+    other = theta.near(rows, threshold) if candidate_share(bits, threshold) > WIDE else banded(rows, threshold, bits)
+    return other.unionByName(rows.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance")))
+
+
+def banded(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
+    """hash_a < hash_b and distance by bands: each hash is cut into some; a join on band and value finds candidates, one
+    side with every value inside the radius."""
     bands, radius = plan_bands(bits, threshold)
     edges = [bits * i // bands for i in range(bands + 1)]
     own, near = [], []  # band, first bit, mask of its width, bits that are turned over
@@ -57,8 +78,7 @@ def near_hashes(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
     right = rows.select(F.col("hash").alias("hash_b"), values(own))
     distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b"))).cast("int")
     met = left.join(right, ["band", "value"]).filter((F.col("hash_a") < F.col("hash_b")) & (distance <= threshold))
-    other = met.select("hash_a", "hash_b", distance.alias("distance")).distinct()
-    return other.unionByName(rows.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance")))
+    return met.select("hash_a", "hash_b", distance.alias("distance")).distinct()
 
 
 def expand(near: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -81,10 +101,33 @@ def hamming_pairs(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
     )
 
 
+def hash_groups(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("hash", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tag_pairs(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
     """The same by groups of rows with one hash and tag, between different tags: hash, tag and n of both."""
-    groups = rows.groupBy("hash", "tag").agg(F.count(F.lit(1)).alias("n"))
-    return expand(near_hashes(rows, threshold, bits), groups, ["tag", "n"]).filter("tag_a <> tag_b")
+    return expand(near_hashes(rows, threshold, bits), hash_groups(rows), ["tag", "n"]).filter("tag_a <> tag_b")
+
+
+def tag_distances(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
+    """Pairs of rows of two different tags by distance: tag_a < tag_b, distance, n. One search serves every radius up to
+    the threshold, and of wide ones only sums are shuffled."""
+    if candidate_share(bits, threshold) > WIDE:
+        found = theta.tag_distances(hash_groups(rows), threshold)
+    else:
+        least, most = F.least("tag_a", "tag_b"), F.greatest("tag_a", "tag_b")
+        found = tag_pairs(rows, threshold, bits).select(least.alias("tag_a"), most.alias("tag_b"), "distance", (F.col("n_a") * F.col("n_b")).alias("n"))
+    return found.groupBy("tag_a", "tag_b", "distance").agg(F.sum("n").alias("n"))
+
+
+def links_between(rows: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
+    """Links between sources with each group involved: source_a < source_b, hash, tag, n."""
+    if candidate_share(bits, threshold) <= WIDE:
+        return source_links(tag_pairs(rows, threshold, bits))
+    near = theta.involved(hash_groups(rows), threshold)
+    ends = F.least("tag", "other").alias("source_a"), F.greatest("tag", "other").alias("source_b")
+    return near.select(*ends, "hash", "tag", "n").distinct()
 
 
 def source_links(pairs: DataFrame) -> DataFrame:
@@ -124,12 +167,17 @@ def link_summary(links: DataFrame, rows: DataFrame) -> DataFrame:
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """vertices(source), edges(source_a, source_b) -> source, group_id, the least source of its component.
 
-    Each round takes the least label among neighbours, then the label of that label; the lineage is cut by a checkpoint.
-    Labels only fall, and a round in which none does is the last.
+    Up to MANY_EDGES edges are counted first and joined in one task. More take rounds: each takes the least label among
+    neighbours, then the label of that label; the lineage is cut by a checkpoint. Labels only fall, and a round in which
+    none does is the last.
     """
     ensure_checkpoint_dir(vertices.sparkSession)
     both = edges.select(F.col("source_a").alias("source"), F.col("source_b").alias("other"))
-    both = both.unionByName(both.select(F.col("other").alias("source"), F.col("source").alias("other"))).distinct().checkpoint()
+    few = both.distinct().checkpoint()
+    if few.count() <= MANY_EDGES:
+        found = joined_up(few)
+        return vertices.select("source").distinct().join(found, "source", "left").select("source", F.coalesce("group_id", "source").alias("group_id"))
+    both = few.unionByName(few.select(F.col("other").alias("source"), F.col("source").alias("other"))).distinct().checkpoint()
     labels = vertices.select("source", F.col("source").alias("group_id")).distinct().checkpoint()
     while True:
         theirs = labels.select(F.col("source").alias("other"), F.col("group_id").alias("theirs"))
@@ -143,6 +191,30 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_up(edges: DataFrame) -> DataFrame:
+    """source, group_id of a bounded number of edges (source, other), in one task."""
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        column = None
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            column = batch.column(0).type
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = sorted((root(a), root(b)))
+                parent[b] = a
+        if parent:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parent), column), pa.array([root(x) for x in parent], column)], ["source", "group_id"])
+
+    return edges.coalesce(1).mapInArrow(run, f"source {kind}, group_id {kind}")
+
+
 def group_sizes(groups: DataFrame, rows: DataFrame) -> DataFrame:
     """Per group: its sources and rows."""
     sized = rows.groupBy(F.col("tag").alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -178,14 +250,14 @@ def leaking_pairs(rows: DataFrame, assignment: DataFrame, threshold: int, bits:
     return hamming_pairs(tagged, threshold, bits).filter("tag_a.split <> tag_b.split")
 
 
-def leak_counts(rows: DataFrame, assignment: DataFrame, threshold: int, bits: int = 63) -> DataFrame:
-    """Leaking pairs by their sources, counted without listing them: source_a < source_b, n."""
-    split = assignment.select("source", "split")
-    pairs = tag_pairs(rows, threshold, bits)
+def leak_counts(rows: DataFrame, assignment: DataFrame, threshold: int, bits: int = 63, distances: DataFrame | None = None) -> DataFrame:
+    """Leaking pairs by their sources, counted without listing them: source_a < source_b, n. distances: those of
+    tag_distances at this radius or a wider one, if they are there."""
+    found = tag_distances(rows, threshold, bits) if distances is None else distances.filter(F.col("distance") <= threshold)
+    pairs = found.groupBy(F.col("tag_a").alias("source_a"), F.col("tag_b").alias("source_b")).agg(F.sum("n").alias("n"))
     for x in ("a", "b"):
-        pairs = pairs.join(split.select(F.col("source").alias(f"tag_{x}"), F.col("split").alias(f"split_{x}")), f"tag_{x}")
-    by = pairs.filter("split_a <> split_b").groupBy(F.least("tag_a", "tag_b").alias("source_a"), F.greatest("tag_a", "tag_b").alias("source_b"))
-    return by.agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+        pairs = pairs.join(assignment.select(F.col("source").alias(f"source_{x}"), F.col("split").alias(f"split_{x}")), f"source_{x}")
+    return pairs.filter("split_a <> split_b").select("source_a", "source_b", "n")
 
 
 def offender_report(counts: DataFrame, most: int = 10) -> DataFrame:
@@ -206,6 +278,42 @@ def random_order(id_col: Column, seed: int = 0) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
 
 
+def least_prefixes(keys: DataFrame, ranks: list[int], key: str = "key", digits: int = 4) -> list[str | None]:
+    """For each rank r, a prefix p such that the rows whose key begins with p or less are the r least. No sort.
+
+    Hexadecimal keys are counted by their first digits; what remains of a rank falls into one value, whose rows alone
+    are counted by the next digits, until a rank ends with a value. Counts of 16 ** digits values for each rank are all
+    that the driver sees. Rows of equal keys are on one side: of the rank's own key all are in. None where r is 0.
+    """
+    found: list[str | None] = [None] * len(ranks)
+    open_ = {i: ("", r) for i, r in enumerate(ranks) if r > 0}
+    depth = 0
+    while open_:
+        depth += digits
+        heads = sorted({head for head, _ in open_.values()})
+        rows = keys if depth == digits else keys.filter(F.substring(key, 1, depth - digits).isin(heads))
+        told = rows.groupBy(F.substring(key, 1, depth).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length(key)).alias("long")).collect()
+        for i, (head, left) in list(open_.items()):
+            del open_[i]
+            for value, n, long in sorted(x for x in told if x["value"].startswith(head)):
+                if left <= n:
+                    break
+                left -= n
+            else:
+                found[i] = "g"  # beyond all digits: there are no more rows than the rank
+                continue
+            if left == n or long <= depth:
+                found[i] = value
+            else:
+                open_[i] = (value, left)
+    return found
+
+
+def up_to(key: Column, prefix: str | None) -> Column:
+    """The rows that a prefix of least_prefixes stands for."""
+    return F.lit(False) if prefix is None else F.substring(key, 1, len(prefix)) <= prefix
+
+
 def listing_gaps(listed: DataFrame, images: DataFrame, labels: DataFrame) -> DataFrame:
     """Listed paths that lack their image or label; listed has path and label_path."""
     no_image = listed.join(images.select("path"), "path", "left_anti").select("path", F.lit("image").alias("missing"))

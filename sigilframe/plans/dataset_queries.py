@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.vocabulary import ALIASES, EXCLUDED, NAMES, normalize_class_name
 from ..operators import dedup, labels, linkage
-from ..session import literal_rows, ordered_index, table
+from ..session import ensure_checkpoint_dir, literal_rows, ordered_index, table
 from .literals import sql_value, sql_values
 
 RAW_NAMES = [
@@ -226,7 +226,7 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hamming_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hashes(spark, sf_dir)
-    links = linkage.source_links(linkage.tag_pairs(rows, NEAR, BITS))
+    links = linkage.links_between(rows, NEAR, BITS)
     found = linkage.link_summary(links, rows)
     return found.select(
         "source_a",
@@ -247,15 +247,20 @@ SELECT c.*, round(100.0::DOUBLE * involved_a / za.size, 6) AS pct_a, round(100.0
 FROM c JOIN z za ON za.tag = source_a JOIN z zb ON zb.tag = source_b
 """
 
-#: Labels of vectors that are held out, and the radius at which only some labels are linked.
-VAL, TEST, TIGHT = [3], [7], 13
+#: The label whose group is held out for val, and the radius at which labels are linked.
+VAL, TIGHT = 3, 13
 
 
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hashes(spark, sf_dir)
-    pairs = linkage.tag_pairs(rows, TIGHT, BITS)
-    edges = pairs.select(F.least("tag_a", "tag_b").alias("source_a"), F.greatest("tag_a", "tag_b").alias("source_b")).distinct()
-    return linkage.connected_components(rows.select(F.col("tag").alias("source")).distinct(), edges)
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs by labels and distance: one search for the groups' radius and the wider one of the leaks."""
+    ensure_checkpoint_dir(spark)
+    return linkage.tag_distances(hashes(spark, sf_dir), NEAR, BITS).checkpoint()
+
+
+def groups(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    found = linkage.tag_distances(hashes(spark, sf_dir), TIGHT, BITS) if found is None else found
+    edges = found.filter(F.col("distance") <= TIGHT).select(F.col("tag_a").alias("source_a"), F.col("tag_b").alias("source_b")).distinct()
+    return linkage.connected_components(hashes(spark, sf_dir).select(F.col("tag").alias("source")).distinct(), edges)
 
 
 GROUPS = f"""{HASHES},
@@ -276,17 +281,19 @@ SELECT group_id, count(DISTINCT source) AS n_sources, count(*) AS n_rows FROM gr
 """
 
 
-def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The components' splits. A group named for both val and test would be an error, so where the two labels are
-    linked, as random vectors may be if there are many, only val is held out."""
-    found = groups(spark, sf_dir).checkpoint()
-    apart = found.filter(F.col("source").isin(VAL + TEST)).select("group_id").distinct().count() > 1
-    return linkage.assign_splits(found, VAL, TEST if apart else [])
+def held_out(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """Splits of the components: val is the group of one label, test that of the greatest label outside of it, if any
+    is. (A group named for both would be an error.)"""
+    known = groups(spark, sf_dir, found).checkpoint()
+    val = known.filter(F.col("source") == VAL).select(F.col("group_id").alias("val"))
+    test = known.join(F.broadcast(val), F.col("group_id") != F.col("val")).agg(F.max("source")).first()[0]
+    return linkage.assign_splits(known, [VAL], [] if test is None else [test])
 
 
 ASSIGNED = f"""{GROUPS},
-asg AS (SELECT source, group_id, CASE WHEN max(CASE WHEN source IN (3) THEN 1 ELSE 0 END) OVER (PARTITION BY group_id) = 1 THEN 'val'
-        WHEN max(CASE WHEN source IN (7) THEN 1 ELSE 0 END) OVER (PARTITION BY group_id) = 1 THEN 'test' ELSE 'train' END AS split FROM grouped)
+named AS (SELECT (SELECT group_id FROM grouped WHERE source = {VAL}) AS val),
+chosen AS (SELECT val, (SELECT group_id FROM grouped, named WHERE group_id <> val ORDER BY source DESC LIMIT 1) AS test FROM named),
+asg AS (SELECT source, group_id, CASE WHEN group_id = val THEN 'val' WHEN group_id = test THEN 'test' ELSE 'train' END AS split FROM grouped, chosen)
 """
 
 
@@ -307,7 +314,9 @@ SELECT split, n, round(100.0::DOUBLE * n / (SELECT sum(n) FROM c), 6) AS pct FRO
 
 def leak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At a wider radius than that of the groups, so that pairs cross the splits."""
-    report = linkage.offender_report(linkage.leak_counts(hashes(spark, sf_dir), held_out(spark, sf_dir), NEAR, BITS))
+    found = distances(spark, sf_dir)
+    counts = linkage.leak_counts(hashes(spark, sf_dir), held_out(spark, sf_dir, found), NEAR, BITS, found)
+    report = linkage.offender_report(counts)
     return report.select("source_a", "source_b", F.col("n").cast("bigint").alias("n"))
 
 
@@ -382,10 +391,10 @@ SELECT '/set/images/' || doc_id || '.jpg', 'label' FROM documents WHERE doc_id N
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of all rows each for val and test, in an order that a seed fixes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", linkage.random_order(F.col("doc_id")).alias("key"))
-    placed = ordered_index(docs, "key", "doc_id")
-    tenth = (docs.count() * 0.1).__int__()
-    split = F.when(F.col("index") < tenth, "val").when(F.col("index") < 2 * tenth, "test").otherwise("train")
-    return placed.select("doc_id", split.alias("split"))
+    tenth = int(docs.count() * 0.1)
+    val, test = linkage.least_prefixes(docs, [tenth, 2 * tenth])
+    split = F.when(linkage.up_to(F.col("key"), val), "val").when(linkage.up_to(F.col("key"), test), "test").otherwise("train")
+    return docs.select("doc_id", split.alias("split"))
 
 
 RANDOM_SPLIT = """

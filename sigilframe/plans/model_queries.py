@@ -118,8 +118,9 @@ SELECT count(*) AS images, CAST(sum(CASE WHEN coalesce(a.cls, -1) = coalesce(b.c
 def held_out_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 20 vectors of the held-out label, in an order that a seed fixes."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("source"))
-    held = evaluation.held_out_or_all(e, "4")
-    return held.orderBy(linkage.random_order(F.col("vec_id")), "vec_id").limit(20).select("vec_id")
+    held = evaluation.held_out_or_all(e, "4").withColumn("key", linkage.random_order(F.col("vec_id")))
+    (least,) = linkage.least_prefixes(held, [20])
+    return held.filter(linkage.up_to(F.col("key"), least)).select("vec_id")
 
 
 def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
