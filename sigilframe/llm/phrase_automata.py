@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, ship
 
 #: The largest filter is of 2 ** FILTER_BITS bits. A shard has about SHARD bytes, all open shards of a task twice that.
-FILTER_BITS, SHARD = 27, 16 << 20
+FILTER_BITS, SHARD = 27, 8 << 20
 #: Parts of a language that are ranked apart before its first rows are.
 BUCKETS = 64
 
@@ -54,8 +54,8 @@ class Automaton:
     """
 
     def __init__(self, words: np.ndarray, depth: int, alive: Callable[[int, np.ndarray], np.ndarray] | None = None):
-        self.words = words.astype(np.int64)
-        levels, at, n = [], self.words, int(words.max(initial=-1)) + 1
+        self.words = words
+        levels, at, n = [], words, int(words.max(initial=-1)) + 1
         for k in range(1, depth + 1):
             if k == 1:
                 places, key = np.flatnonzero(at >= 0), at[at >= 0]
@@ -64,13 +64,15 @@ class Automaton:
                     live = alive(k - 1, levels[-1][0])
                     at = np.where((at >= 0) & live[at], at, -1)
                 places = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0)) + 1
-                key = self.words[places - k + 1] * n + at[places]
+                key = words[places - k + 1].astype(np.int64) * n + at[places]
             known, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             link = known % n if k > 1 else np.full(len(known), -1)
             levels.append((places[first], counts, link))
-            at = np.full(len(words), -1, np.int64)
+            del key
+            at = np.full(len(words), -1, np.int32)
             at[places] = inverse
             n = len(known)
+            del inverse, places
         self._join(levels)
 
     def _join(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
@@ -135,7 +137,7 @@ def coded(shard: bytes) -> tuple[np.ndarray, list[bytes]]:
     whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, spaced.size])), spaced])
     found = pc.ascii_split_whitespace(whole).values.dictionary_encode()
     words = found.dictionary.cast(pa.large_binary()).to_pylist()
-    number = np.arange(len(words))
+    number = np.arange(len(words), dtype=np.int32)
     for i, w in enumerate(words):
         if w in (b"", b"."):
             number[i] = -2 if w == b"" else -1
@@ -143,6 +145,12 @@ def coded(shard: bytes) -> tuple[np.ndarray, list[bytes]]:
     return codes[codes > -2], words
 
 
+def sliced(rows: pa.RecordBatch, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches that take little room on their way."""
+    for i in range(0, rows.num_rows, most):
+        yield rows.slice(i, most)
+
+
 def word_ids(lang: str, words: list[bytes], seed: int) -> np.ndarray:
     """64-bit hashes of language and word."""
     head = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed)
@@ -198,15 +206,13 @@ def all_words(texts: DataFrame, size: int, seed: int) -> DataFrame:
             counts = np.bincount(codes[codes >= 0], minlength=len(words))
             there = np.flatnonzero(counts)
             words = [words[i] for i in there]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(word_ids(lang, words, seed).view(np.int64)),
-                    pa.array([lang] * len(words), pa.string()),
-                    pa.array(words, pa.binary()).cast(pa.string()),
-                    pa.array(counts[there], pa.int64()),
-                ],
-                ["h1", "lang", "word", "a"],
-            )
+            rows = [
+                pa.array(word_ids(lang, words, seed).view(np.int64)),
+                pa.array([lang] * len(words), pa.string()),
+                pa.array(words, pa.binary()).cast(pa.string()),
+                pa.array(counts[there], pa.int64()),
+            ]
+            yield from sliced(pa.RecordBatch.from_arrays(rows, ["h1", "lang", "word", "a"]))
 
     rows = texts.mapInArrow(run, "h1 bigint, lang string, word string, a bigint")
     return rows.repartition("h1").groupBy("h1", "lang", "word").agg(F.sum("a").alias("a"))
@@ -230,7 +236,7 @@ def phrase_counts(texts: DataFrame, length: int, filters: list[np.ndarray], size
 
             ends, counts = Automaton(codes, length, alive).phrases(length)
             found = [pa.array(h.view(np.int64)) for h in hashes(ends, length)]
-            yield pa.RecordBatch.from_arrays([*found, pa.array(counts, pa.int64())], [*columns(length), "a"])
+            yield from sliced(pa.RecordBatch.from_arrays([*found, pa.array(counts, pa.int64())], [*columns(length), "a"]))
 
     names = columns(length)
     rows = texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "a"]))
