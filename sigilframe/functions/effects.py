@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import first_interval
 from .geometry import clamp
 
 # The effect of each pattern and its parameters.
@@ -137,22 +138,15 @@ def blades_in_flight(age: Column, blades: int, interval: float, speed: float) ->
     return F.filter(each, lambda b: (age >= b["index"] * interval) & (b["travel"] <= 1.35))
 
 
-def ramp_table(spark: SparkSession, stops: tuple) -> DataFrame:
-    """level, blue, green, red for 256 levels, by a join of levels with the first interval that holds them."""
-    intervals = [(k, *map(float, (a, b)), *ca, *cb) for k, ((a, ca), (b, cb)) in enumerate(zip(stops, stops[1:], strict=False))]
-    names = "b0 int, g0 int, r0 int, b1 int, g1 int, r1 int"
-    held = spark.createDataFrame(intervals, f"k int, t0 double, t1 double, {names}")
-    levels = spark.range(256).select(F.col("id").cast("int").alias("level"), (F.col("id") / 255.0).alias("t"))
-    # both sides are fixed small tables
-    joined = levels.join(F.broadcast(held), (levels.t >= held.t0) & (levels.t <= held.t1))
-    first = Window.partitionBy("level").orderBy("k")
-    share = (F.col("t") - F.col("t0")) / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-6))
+def ramp_colours(levels: DataFrame, stops: tuple, key: list[str], at: str) -> DataFrame:
+    """key, blue, green, red of positions from 0 to 1 on a ramp: a join with the first interval of stops that holds each."""
+    held = [(k, *map(float, (a, b)), *ca, *cb) for k, ((a, ca), (b, cb)) in enumerate(zip(stops, stops[1:], strict=False))]
+    names = "k int, t0 double, t1 double, b0 int, g0 int, r0 int, b1 int, g1 int, r1 int"
+    intervals = levels.sparkSession.createDataFrame(held, names)
+    met = first_interval(levels, intervals, key, at, "t0", "t1", ["k"])
+    share = (F.col(at) - F.col("t0")) / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-6))
     mixed = lambda c: (F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * share).cast("int")
-    return (
-        joined.withColumn("__first", F.row_number().over(first))
-        .filter("__first = 1")
-        .select("level", mixed("b").alias("blue"), mixed("g").alias("green"), mixed("r").alias("red"))
-    )
+    return met.select(*key, mixed("b").alias("blue"), mixed("g").alias("green"), mixed("r").alias("red"))
 
 
 def estimate_yaw(keypoints: Column) -> Column:

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .folds import fold_sorted
+from .pattern_automaton import PatternAutomaton
 
 
 @dataclass(frozen=True)
@@ -109,34 +111,40 @@ def emissions(clocked: DataFrame, expires: bool = True) -> DataFrame:
     return out.withColumn("reset", reset if expires else F.lit(False))
 
 
+def automaton(patterns: list[Pattern], max_length: int = 16) -> PatternAutomaton:
+    return PatternAutomaton([(p.name, p.signs) for p in longest_first(patterns)], max_length)
+
+
 def fold_sequences(emitted: DataFrame, patterns: list[Pattern], max_length: int = 16, dedupe: bool = True) -> DataFrame:
-    """Per emission in order: buffer after it, and the pattern it completes with its length.
+    """Per emission in order: buffer after it, the pattern it completes with its length, and node, the automaton's.
 
     A sign is added to the buffer, which keeps the last `max_length`; the longest pattern that ends it matches and
-    clears it. dedupe: a sign equal to the last in the buffer isn't added.
+    clears it. dedupe: a sign equal to the last in the buffer isn't added. A sign takes one transition of an automaton
+    of all patterns, so the time doesn't depend on their number.
     """
-    ordered = [(p.name, p.signs) for p in longest_first(patterns)]
+    ship(emitted.sparkSession)
+    sent = emitted.sparkSession.sparkContext.broadcast(automaton(patterns, max_length))
 
-    def step(buffer: tuple, row: tuple) -> tuple[tuple, tuple]:
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
         session, frame, ts, sign, reset = row
-        buffer = () if reset else buffer
-        name = length = None
+        buffer, node = ((), 0) if reset else state
+        found = None
         if not (dedupe and buffer and buffer[-1] == sign):
-            buffer = (*buffer, sign)[-max_length:]
-            for pattern, signs in ordered:
-                if len(buffer) >= len(signs) and buffer[len(buffer) - len(signs) :] == signs:
-                    name, length, buffer = pattern, len(signs), ()
-                    break
-        return buffer, (session, frame, ts, sign, list(buffer), name, length)
+            known = sent.value
+            buffer, node = (*buffer, sign)[-max_length:], known.step(node, sign)
+            found = known.longest[node]
+            if found:
+                buffer, node = (), 0
+        return (buffer, node), (session, frame, ts, sign, list(buffer), *(found or (None, None)), node)
 
     fed = emitted.select("session", F.col("frame").cast("bigint").alias("frame"), F.unix_micros("ts").alias("ts"), F.col("emitted").alias("sign"), "reset")
     kind = fed.schema["session"].dataType.simpleString()
-    schema = f"session {kind}, frame bigint, ts bigint, sign string, buffer array<string>, pattern string, length int"
-    return fold_sorted(fed, "session", ["ts", "frame"], (), step, schema).withColumn("ts", F.timestamp_micros("ts"))
+    schema = f"session {kind}, frame bigint, ts bigint, sign string, buffer array<string>, pattern string, length int, node int"
+    return fold_sorted(fed, "session", ["ts", "frame"], ((), 0), step, schema).withColumn("ts", F.timestamp_micros("ts"))
 
 
 def trace(frames: DataFrame, patterns: list[Pattern], s: Smoothing, timeout_s: float = 3.0, max_length: int = 16) -> DataFrame:
-    """Per emission: session, frame, ts, sign, buffer, pattern, length."""
+    """Per emission: session, frame, ts, sign, buffer, pattern, length, node."""
     clocked = idle_clock(smooth(frames, s), timeout_s)
     return fold_sequences(emissions(clocked), patterns, max_length)
 
@@ -173,20 +181,21 @@ def frame_states(frames: DataFrame, patterns: list[Pattern], s: Smoothing, timeo
     )
 
 
-def progress(traced: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """Per emission, the patterns that the buffer's end begins: pattern, depth, and rank by depth."""
-    ordered = longest_first(patterns)
+def progress(traced: DataFrame, patterns: list[Pattern], max_length: int = 16) -> DataFrame:
+    """Per emission, the patterns that the buffer's end begins: pattern, depth, and rank by depth.
 
-    def depth(p: Pattern) -> Column:
-        signs, n = F.array(*map(F.lit, p.signs)), len(p.signs)
-        fits = lambda d: (d <= F.size("buffer")) & (F.slice(signs, 1, d) == F.slice("buffer", F.greatest(F.lit(1), F.size("buffer") - d + 1), d))
-        return F.array_max(F.filter(F.sequence(F.lit(1), F.lit(n)), fits))
-
-    each = F.array(*[F.struct(F.lit(p.name).alias("pattern"), depth(p).alias("depth"), F.lit(i).alias("i")) for i, p in enumerate(ordered)])
-    begun = F.filter(each, lambda x: x["depth"].isNotNull())
-    ranked = F.array_sort(F.transform(begun, lambda x: F.struct((-x["depth"]).alias("k"), x["i"].alias("i"), x["pattern"].alias("pattern"))))
-    out = traced.select("session", "frame", F.posexplode(ranked).alias("rank", "x"))
-    return out.select("session", "frame", "rank", "x.pattern", (-F.col("x.k")).alias("depth"))
+    The emission's node gives the prefixes that the buffer ends with, and each of those the patterns that it begins; a
+    pattern counts with its longest. Both are small tables; their size is left to the optimizer.
+    """
+    spark, known = traced.sparkSession, automaton(patterns, max_length)
+    ends = [(node, end, depth) for node in range(1, len(known.next)) for end, depth in known.ends(node)]
+    begins = [(end, place, known.names[place]) for end, places in enumerate(known.begins) for place in places]
+    chain = spark.createDataFrame(ends, "node int, __end int, depth int")
+    begun = spark.createDataFrame(begins, "__end int, __place int, pattern string")
+    met = traced.select("session", "frame", "node").join(chain, "node").join(begun, "__end")
+    deepest = met.groupBy("session", "frame", "__place", "pattern").agg(F.max("depth").alias("depth"))
+    rank = F.row_number().over(Window.partitionBy("session", "frame").orderBy(F.desc("depth"), "__place")) - 1
+    return deepest.select("session", "frame", rank.alias("rank"), "pattern", "depth")
 
 
 def unreachable(patterns: DataFrame) -> DataFrame:

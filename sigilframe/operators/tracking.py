@@ -1,4 +1,4 @@
-"""Folds over a session's boxes: the anchor that follows them, and moving averages."""
+"""Folds over a session's boxes: the anchor that follows them."""
 
 from __future__ import annotations
 
@@ -67,16 +67,3 @@ def track_anchor(boxes: DataFrame, a: Anchor = Anchor()) -> DataFrame:
     fed = boxes.select("session", F.col("frame").cast("bigint").alias("frame"), F.col("ts").cast("double").alias("ts"), "box")
     schema = f"session {fed.schema['session'].dataType.simpleString()}, frame bigint, " + ", ".join(f"{c} double" for c in FIELDS)
     return fold_sorted(fed, "session", ["ts", "frame"], (None,) * 9, step, schema)
-
-
-def moving_average(rows: DataFrame, value: str, rate: float = 0.3, start: float = 0.0) -> DataFrame:
-    """Rows with session, frame, ts: the average after each, a `rate` of the way to the value; null leaves it."""
-
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        session, frame, _, v = row
-        y = state[0] if v is None else state[0] + (v - state[0]) * rate
-        return (y,), (session, frame, y)
-
-    fed = rows.select("session", F.col("frame").cast("bigint").alias("frame"), "ts", F.col(value).cast("double").alias("v"))
-    kind = fed.schema["session"].dataType.simpleString()
-    return fold_sorted(fed, "session", ["ts", "frame"], (float(start),), step, f"session {kind}, frame bigint, average double")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import effects as fx
 from ..functions import geometry as g
 from ..functions.vocabulary import NAMES, class_table
-from ..operators import evaluation
-from ..operators import linkage
+from ..operators import evaluation, linkage
+from ..operators.intervals import first_interval
 from ..session import literal_rows, table
 from .literals import sql_values
 
@@ -247,20 +247,41 @@ SELECT row_number() OVER (ORDER BY depth DESC, index) - 1 AS place, depth, side,
 
 
 def colour_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = [fx.ramp_table(spark, stops).select(F.lit(name).alias("ramp"), "*") for name, stops in fx.RAMPS.items()]
+    """Values of events as levels of 256, and their colours on each ramp."""
+    e = table(spark, sf_dir, "events")
+    level = F.pmod(F.floor("value"), F.lit(256)).cast("int")
+    levels = e.select("event_id", level.alias("level"), (level / 255.0).alias("t"))
+    each = [fx.ramp_colours(levels, stops, ["event_id", "level"], "t").select(F.lit(name).alias("ramp"), "*") for name, stops in fx.RAMPS.items()]
     return each[0].unionByName(each[1])
 
 
 STOPS = [(name, k, a, b, *ca, *cb) for name, stops in fx.RAMPS.items() for k, ((a, ca), (b, cb)) in enumerate(zip(stops, stops[1:], strict=False))]
 COLOUR_RAMP = f"""
 WITH s AS (SELECT * FROM {sql_values(STOPS, 'ramp, k, t0, t1, b0, g0, r0, b1, g1, r1')}),
-l AS (SELECT CAST(i AS INTEGER) AS level, i / 255.0::DOUBLE AS t FROM range(256) x(i)),
-j AS (SELECT *, (t - t0) / greatest(t1 - t0, 1e-6) AS q, row_number() OVER (PARTITION BY ramp, level ORDER BY k) AS r FROM l JOIN s ON t BETWEEN t0 AND t1)
-SELECT ramp, level, CAST(trunc(b0 + (b1 - b0) * q) AS INTEGER) AS blue, CAST(trunc(g0 + (g1 - g0) * q) AS INTEGER) AS green, CAST(trunc(r0 + (r1 - r0) * q) AS INTEGER) AS red
+l AS (SELECT event_id, CAST(CAST(floor(value) AS BIGINT) % 256 AS INTEGER) AS level, CAST(floor(value) AS BIGINT) % 256 / 255.0::DOUBLE AS t FROM events),
+j AS (SELECT *, (t - t0) / greatest(t1 - t0, 1e-6) AS q, row_number() OVER (PARTITION BY ramp, event_id ORDER BY k) AS r FROM l JOIN s ON t BETWEEN t0 AND t1)
+SELECT ramp, event_id, level, CAST(trunc(b0 + (b1 - b0) * q) AS INTEGER) AS blue, CAST(trunc(g0 + (g1 - g0) * q) AS INTEGER) AS green, CAST(trunc(r0 + (r1 - r0) * q) AS INTEGER) AS red
 FROM j WHERE r = 1
 """
 
 
+def busy_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hour of one type of events is the time from its first to its last; each event with the first hour it lies in."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    hour = F.floor(F.col("at") / 3_600_000_000).cast("long")
+    held = e.groupBy(F.col("event_type").alias("kind"), hour.alias("hour")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    met = first_interval(e.select("event_id", "at"), held, ["event_id"], "at", "low", "high", ["low", "kind"])
+    return met.select("event_id", "kind", "hour", (F.col("high") - F.col("low")).alias("micros"))
+
+
+BUSY_HOURS = """
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t FROM events),
+h AS (SELECT event_type AS kind, t // 3600000000 AS hour, min(t) AS low, max(t) AS high FROM e GROUP BY ALL)
+SELECT event_id, kind, CAST(hour AS BIGINT) AS hour, high - low AS micros
+FROM e JOIN h ON t BETWEEN low AND high QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY low, kind) = 1
+"""
+
+
 def volley_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, v = fx.SPECS["Water Bullet Jutsu"], fx.SPECS["Vacuum Wave"]
     blades = fx.blades_in_flight(F.col("age"), v["blades"], v["interval"], v["speed"])
@@ -329,7 +350,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         metrics_summary, weakest_classes, anchor_decode, suppressed_boxes, parity_check, held_out_sample, box_iou, head_yaw, mouth_box, effect_envelopes,
-        sprite_envelopes, clone_placements, colour_ramp, volley_schedule, aim_and_pose, effect_lookup, score_gate, cache_mode,
+        sprite_envelopes, clone_placements, colour_ramp, busy_hours, volley_schedule, aim_and_pose, effect_lookup, score_gate, cache_mode,
     )
 }
 ORACLES = {
@@ -346,6 +367,7 @@ ORACLES = {
     "sprite_envelopes": SPRITE_ENVELOPES,
     "clone_placements": CLONE_PLACEMENTS,
     "colour_ramp": COLOUR_RAMP,
+    "busy_hours": BUSY_HOURS,
     "volley_schedule": VOLLEY_SCHEDULE,
     "aim_and_pose": AIM_AND_POSE,
     "effect_lookup": f"SELECT id, m.name, kind, duration FROM {sql_values(MATCHED, 'id, name').replace(' AS v(', ' AS m(')} LEFT JOIN {sql_values([(n, s['kind'], float(s['duration'])) for n, s in fx.SPECS.items()], 'name, kind, duration')} USING (name)",

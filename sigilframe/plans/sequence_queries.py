@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import effects as fx
 from ..functions.vocabulary import NAMES
-from ..operators import evaluation, sequences, tracking
+from ..operators import blocks, evaluation, sequences, tracking
 from ..operators.sequences import Pattern, Smoothing
 from ..session import literal_rows, table
 from ..sources.patterns import parse_pattern_lines
@@ -284,7 +284,7 @@ def yaw_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     yaw = F.when(F.col("event_type") != "error", F.col("value") / 245 - 1)
     rows = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("frame"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), yaw.alias("yaw"))
-    out = tracking.moving_average(rows, "yaw")
+    out = blocks.moving_average(rows, "yaw")
     return out.select("session", "frame", F.round("average", 6).alias("yaw"))
 
 
@@ -297,6 +297,49 @@ SELECT session, frame, round(y, 6) AS yaw FROM t WHERE k > 0
 """
 
 
+#: Lengths of patterns, and in how many places their signs may follow one another for them to be one.
+RARE = {3: 2, 4: 6, 5: 1_000_000_000}
+
+
+def found_patterns(spark: SparkSession, sf_dir: str) -> list[Pattern]:
+    """Patterns that events themselves give: signs that are emitted one after another, the shorter the rarer. There are
+    five signs, so these are some thousands at most."""
+    emitted = sequences.smooth(frames(spark, sf_dir), SMOOTHING).filter(F.col("emitted").isNotNull())
+    by = Window.partitionBy("session").orderBy("ts", "frame")
+    told = None
+    for n, most in RARE.items():
+        last = F.collect_list("emitted").over(by.rowsBetween(-(n - 1), 0))
+        runs = emitted.select(last.alias("signs")).filter(F.size("signs") == n)
+        rare = runs.groupBy("signs").count().filter(F.col("count") <= most).select("signs")
+        told = rare if told is None else told.unionByName(rare)
+    return [Pattern(">".join(r["signs"]), tuple(r["signs"])) for r in told.orderBy("signs").collect()]
+
+
+def many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of patterns by the thousand."""
+    out = sequences.match_sequences(frames(spark, sf_dir), found_patterns(spark, sf_dir), SMOOTHING, DAY)
+    return out.select("session", "frame", "pattern", "length")
+
+
+MANY_PATTERNS = f"""
+WITH RECURSIVE {CLOCKED},
+p AS ({' UNION ALL '.join(f"""SELECT {n} AS n, signs FROM (SELECT session, list(emitted) OVER (PARTITION BY session ORDER BY k ROWS {n - 1} PRECEDING) AS signs FROM em)
+      WHERE len(signs) = {n} GROUP BY signs HAVING count(*) <= {most}""" for n, most in RARE.items())}),
+l AS (SELECT {', '.join(f"coalesce(list(array_to_string(signs, '>')) FILTER (n = {n}), []) AS l{n}" for n in RARE)} FROM p),
+t AS (
+    SELECT session, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame, CAST([] AS VARCHAR[]) AS buffer, CAST(NULL AS INTEGER) AS n, CAST(NULL AS VARCHAR) AS pattern
+    FROM (SELECT DISTINCT session FROM em)
+    UNION ALL
+    SELECT session, k, frame, CASE WHEN n IS NULL THEN b ELSE [] END, n, CASE WHEN n IS NOT NULL THEN array_to_string(b[-n:], '>') END FROM (
+        SELECT session, k, frame, b, CASE {' '.join(f"WHEN NOT skip AND list_contains(l{n}, array_to_string(b[-{n}:], '>')) THEN {n}" for n in sorted(RARE, reverse=True))} END AS n FROM l, (
+            SELECT session, k, frame, skip, CASE WHEN skip THEN b0 ELSE list_append(b0, sign)[-16:] END AS b FROM (
+                SELECT *, coalesce(b0[-1] = sign, FALSE) AS skip FROM (
+                    SELECT em.session, em.k, em.frame, em.emitted AS sign, CASE WHEN em.reset THEN [] ELSE t.buffer END AS b0
+                    FROM t JOIN em ON em.session = t.session AND em.k = t.k + 1)))))
+SELECT session, frame, pattern, n AS length FROM t WHERE n IS NOT NULL
+"""
+
+
 def visible_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.effects import visible_cards as last_cards
 
@@ -317,7 +360,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         top1_detection, smooth_signs, smooth_ties, card_growth, sign_stability, match_sequences, sequence_trace, time_left, match_banner, match_progress, rolling_fps,
-        pattern_table, unreachable_patterns, anchor_track, yaw_ema, visible_cards, frame_gaps,
+        pattern_table, unreachable_patterns, anchor_track, yaw_ema, many_patterns, visible_cards, frame_gaps,
     )
 }
 ORACLES = {
@@ -338,6 +381,7 @@ FROM (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id
     "unreachable_patterns": UNREACHABLE,
     "anchor_track": ANCHOR_TRACK,
     "yaw_ema": YAW_EMA,
+    "many_patterns": MANY_PATTERNS,
     "visible_cards": f"WITH RECURSIVE {FOLDED} SELECT session, frame, array_to_string(buffer[-2:], '>') AS cards FROM t WHERE k > 0",
     "frame_gaps": f"""WITH {SMOOTHED}, i AS (SELECT session, ts, frame, emitted, row_number() OVER (PARTITION BY session ORDER BY ts, frame) AS i FROM e),
 g AS (SELECT session, i - lag(i) OVER (PARTITION BY session ORDER BY ts, frame) AS gap FROM i WHERE emitted IS NOT NULL)

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.sequences import Pattern, Smoothing, longest_first
+from ..operators.pattern_automaton import PatternAutomaton
+from ..operators.sequences import Pattern, Smoothing, automaton
+from ..session import ship
 
 OUTPUT = "session bigint, frame bigint, ts timestamp, sign string, pattern string, length int"
 RESET = "reset"  #: a frame whose control is this clears the session's state
@@ -31,9 +33,10 @@ class SessionState:
         self.held: str | None = s.get("held")
         self.buffer: list[str] = s.get("buffer", [])
         self.idle: int | None = s.get("idle")
+        self.node: int = s.get("node", 0)
 
     def saved(self) -> str:
-        return json.dumps({"window": self.window, "held": self.held, "buffer": self.buffer, "idle": self.idle})
+        return json.dumps({"window": self.window, "held": self.held, "buffer": self.buffer, "idle": self.idle, "node": self.node})
 
     def vote(self, sign: str | None, s: Smoothing) -> str | None:
         """The newly held sign, if this frame confirms one."""
@@ -48,17 +51,20 @@ class SessionState:
             self.held = None
         return None
 
-    def add(self, sign: str, ordered: list[Pattern], most: int) -> Pattern | None:
-        """The longest pattern that the sign completes. A sign equal to the last isn't added."""
+    def add(self, sign: str, known: PatternAutomaton, most: int) -> tuple[str, int] | None:
+        """Name and length of the longest pattern that the sign completes. A sign equal to the last isn't added."""
         self.idle = None
         if self.buffer and self.buffer[-1] == sign:
             return None
         self.buffer = [*self.buffer, sign][-most:]
-        for p in ordered:
-            if tuple(self.buffer[-len(p.signs) :]) == p.signs:
-                self.buffer = []
-                return p
-        return None
+        self.node = known.step(self.node, sign)
+        found = known.longest[self.node]
+        if found:
+            self.clear()
+        return found
+
+    def clear(self) -> None:
+        self.buffer, self.node, self.idle = [], 0, None
 
     def tick(self, now: int, timeout: int) -> None:
         """Microseconds. The clock runs while no sign is held and the buffer has one."""
@@ -67,12 +73,12 @@ class SessionState:
         elif self.idle is None:
             self.idle = now
         elif now - self.idle > timeout:
-            self.buffer, self.idle = [], None
+            self.clear()
 
 
 class MatchProcessor(StatefulProcessor):
     def __init__(self, patterns: list[Pattern], smoothing: Smoothing, timeout_s: float, max_length: int, buffered: bool):
-        self.ordered, self.smoothing = longest_first(patterns), smoothing
+        self.known, self.smoothing = automaton(patterns, max_length), smoothing
         self.timeout, self.most, self.buffered = round(timeout_s * 1e6), max_length, buffered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -119,8 +125,8 @@ class MatchProcessor(StatefulProcessor):
                 continue
             emitted = state.vote(sign, self.smoothing)
             if emitted is not None:
-                found = state.add(emitted, self.ordered, self.most)
-                out.append((key[0], frame, ts, emitted, found.name if found else None, len(found.signs) if found else None))
+                found = state.add(emitted, self.known, self.most)
+                out.append((key[0], frame, ts, emitted, *(found or (None, None))))
             state.tick(ts, self.timeout)
         self.state.update((state.saved(),))
         if out:
@@ -137,6 +143,7 @@ def match_stream(
 
     lateness: of the watermark; without one, frames are trusted to arrive in order, as from one camera.
     """
+    ship(frames.sparkSession)
     if "control" not in frames.columns:
         frames = frames.withColumn("control", F.lit(None).cast("string"))
     frames = frames.select("session", "frame", F.col("ts").cast("timestamp").alias("ts"), "sign", "control")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigilframe.functions import effects as fx
 from sigilframe.functions import geometry as g
 from sigilframe.functions.vocabulary import class_table
-from sigilframe.operators import evaluation, tracking
+from sigilframe.operators import blocks, evaluation, tracking
 
 
 def test_absent_class_has_no_score(spark):
@@ -69,7 +69,7 @@ def test_anchor_coasts_then_holds(spark):
 
 def test_moving_average_keeps_on_null(spark):
     df = spark.createDataFrame([(1, 0, 0, 1.0), (1, 1, 1, None), (1, 2, 2, 1.0)], "session long, frame long, ts long, v double")
-    out = [r.average for r in tracking.moving_average(df, "v").orderBy("frame").collect()]
+    out = [r.average for r in blocks.moving_average(df, "v").orderBy("frame").collect()]
     assert out == pytest.approx([0.3, 0.3, 0.51])
 
 
@@ -84,7 +84,8 @@ def test_envelope(spark):
 
 def test_ramps_rise(spark):
     for stops in fx.RAMPS.values():
-        rows = fx.ramp_table(spark, stops).orderBy("level").collect()
+        levels = spark.range(256).select(F.col("id").alias("level"), (F.col("id") / 255.0).alias("t"))
+        rows = fx.ramp_colours(levels, stops, ["level"], "t").orderBy("level").collect()
         assert len(rows) == 256 and tuple(rows[0])[1:] == (0, 0, 0) and tuple(rows[-1])[1:] == (255, 255, 255)
         sums = [sum(tuple(r)[1:]) for r in rows]
         assert sums == sorted(sums)

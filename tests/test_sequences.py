@@ -22,9 +22,24 @@ def frames(spark, sessions: dict[int, list[tuple[float, str | None]]]):
     return spark.createDataFrame(rows, FRAMES)
 
 
+class Tried(SessionState):
+    """The streaming twin's state, with every pattern tried one after another."""
+
+    def add(self, sign, known, most):
+        self.idle = None
+        if self.buffer and self.buffer[-1] == sign:
+            return None
+        self.buffer = [*self.buffer, sign][-most:]
+        for p in known:
+            if tuple(self.buffer[-len(p.signs) :]) == p.signs:
+                self.buffer = []
+                return p
+        return None
+
+
 def plain(fs, patterns, s, timeout):
-    """Emissions of one session by the streaming twin's state, which is written as a loop."""
-    state, out, ordered = SessionState(), [], sq.longest_first(patterns)
+    """Emissions of one session by a loop."""
+    state, out, ordered = Tried(), [], sq.longest_first(patterns)
     for i, (t, sign) in enumerate(fs):
         e = state.vote(sign, s)
         if e is not None:
