@@ -133,6 +133,17 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
 
 
+def grey_png(pixels: Column, height: Column, width: Column) -> Column:
+    """A file of grey values from 0 to 255, line by line."""
+
+    @F.arrow_udf("binary")
+    def encode(values: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+        shaped = (np.array(values[i].as_py(), np.uint8).reshape(h[i].as_py(), w[i].as_py(), 1) for i in range(len(values)))
+        return pa.array([encode_png(p) for p in shaped], pa.binary())
+
+    return encode(pixels, height, width)
+
+
 def cropped(image: Column) -> Column:
     """The image without bars, as PNG."""
 
