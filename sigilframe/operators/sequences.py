@@ -149,6 +149,30 @@ def trace(frames: DataFrame, patterns: list[Pattern], s: Smoothing, timeout_s: f
     return fold_sequences(emissions(clocked), patterns, max_length)
 
 
+def idle_expiries(frames: DataFrame, patterns: list[Pattern], s: Smoothing, timeout_s: float, max_length: int = 16) -> DataFrame:
+    """When buffers expire by a clock that needs no frame: session, idle_since, at (a timeout later), signs.
+
+    A sign is let go at the first frame without a held one; if none is held again within the timeout, what is in the
+    buffer expires, also where no frame follows.
+    """
+    by = Window.partitionBy("session").orderBy(*ORDER)
+    smoothed = smooth(frames, s)
+    first = F.row_number().over(by) == 1
+    let_go = smoothed.withColumn("__start", F.when(F.col("held").isNull() & (F.lag("held").over(by).isNotNull() | first), F.unix_micros("ts")))
+    events = let_go.filter(F.col("emitted").isNotNull() | F.col("__start").isNotNull())
+    # between two emissions a sign is let go once at most
+    since = F.when(F.col("emitted").isNotNull(), F.lag("__start").over(by))
+    timeout = round(timeout_s * 1e6)
+    told = events.withColumn("reset", F.coalesce(F.unix_micros("ts") - since > timeout, F.lit(False)))
+    told = told.withColumn("__idle", F.lead("__start").over(by)).withColumn("__next", F.lead(F.unix_micros("ts"), 2).over(by))
+    emitted = told.filter(F.col("emitted").isNotNull())
+    folded = fold_sequences(emitted, patterns, max_length).select("session", "frame", F.size("buffer").alias("signs"))
+    gone = F.col("__next").isNull() | (F.col("__next") - F.col("__idle") > timeout)
+    ends = emitted.filter(F.col("__idle").isNotNull() & gone).select("session", "frame", "__idle")
+    at = lambda c: F.timestamp_micros(c)
+    return ends.join(folded.filter("signs > 0"), ["session", "frame"]).select("session", at(F.col("__idle")).alias("idle_since"), at(F.col("__idle") + timeout).alias("at"), "signs")
+
+
 def match_sequences(frames: DataFrame, patterns: list[Pattern], s: Smoothing, timeout_s: float = 3.0, max_length: int = 16) -> DataFrame:
     return trace(frames, patterns, s, timeout_s, max_length).filter(F.col("pattern").isNotNull())
 

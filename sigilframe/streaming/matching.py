@@ -101,8 +101,6 @@ class MatchProcessor(StatefulProcessor):
             yield from self.work(key, sorted(new, key=lambda x: (x[1], x[0])))
             return
         self.waiting.appendList(new)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(x[1] for x in new) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -114,9 +112,9 @@ class MatchProcessor(StatefulProcessor):
         if left:
             self.waiting.appendList(left)
             self.handle.registerTimer(max(r[1] for r in left) // 1000 + 1)
-        yield from self.work(key, due)
+        yield from self.work(key, due, limit)
 
-    def work(self, key, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+    def work(self, key, frames: list[tuple], limit: int | None = None) -> Iterator[pd.DataFrame]:
         state = SessionState(self.state.get()[0] if self.state.exists() else None)
         out = []
         for frame, ts, sign, control in frames:
@@ -153,3 +151,55 @@ def match_stream(
     return frames.groupBy("session").transformWithStateInPandas(
         processor, OUTPUT, "Append", "EventTime" if lateness else "None"
     )
+
+
+EXPIRIES = "session bigint, idle_since timestamp, at timestamp, signs int"
+
+
+class ExpiryProcessor(MatchProcessor):
+    """Tells when a session's buffer expires: a timeout after its sign was let go, also if no frame ever follows."""
+
+    def work(self, key, frames: list[tuple], limit: int | None = None) -> Iterator[pd.DataFrame]:
+        state = SessionState(self.state.get()[0] if self.state.exists() else None)
+        out: list[tuple] = []
+
+        def expire(now: int) -> None:
+            if state.idle is not None and now - state.idle > self.timeout:
+                out.append((key[0], state.idle, state.idle + self.timeout, len(state.buffer)))
+                state.clear()
+
+        for _, ts, sign, control in frames:
+            expire(ts)
+            if control == RESET:
+                state = SessionState()
+                continue
+            emitted = state.vote(sign, self.smoothing)
+            if emitted is not None:
+                state.add(emitted, self.known, self.most)
+            if state.held is not None or not state.buffer:
+                state.idle = None
+            elif state.idle is None:
+                state.idle = ts
+        if limit is not None:
+            expire(limit)
+            if state.idle is not None:
+                # the timer of the frame that may never come
+                self.handle.registerTimer((state.idle + self.timeout) // 1000 + 1)
+        self.state.update((state.saved(),))
+        if out:
+            pdf = pd.DataFrame(out, columns=["session", "idle_since", "at", "signs"])
+            for c in ("idle_since", "at"):
+                pdf[c] = pd.to_datetime(pdf[c], unit="us")
+            pdf["signs"] = pdf["signs"].astype("int32")
+            yield pdf
+
+
+def expiry_stream(frames: DataFrame, patterns: list[Pattern], smoothing: Smoothing, timeout_s: float, lateness: str, max_length: int = 16) -> DataFrame:
+    """Expiries of a stream of frames: session, idle_since, at, signs in the buffer that goes. Equal to
+    sequences.idle_expiries once the watermark has passed."""
+    ship(frames.sparkSession)
+    if "control" not in frames.columns:
+        frames = frames.withColumn("control", F.lit(None).cast("string"))
+    frames = frames.select("session", "frame", F.col("ts").cast("timestamp").alias("ts"), "sign", "control").withWatermark("ts", lateness)
+    processor = ExpiryProcessor(patterns, smoothing, timeout_s, max_length, True)
+    return frames.groupBy("session").transformWithStateInPandas(processor, EXPIRIES, "Append", "EventTime")

@@ -1,11 +1,16 @@
 """The stream's rows equal the batch's, in order and with late frames inside the watermark."""
 
+import random
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from sigilframe.operators import sequences
 from sigilframe.plans import sequence_queries as q
 from sigilframe.plans.stream_queries import ROCKS
-from sigilframe.streaming.matching import match_stream
+from sigilframe.streaming import once
+from sigilframe.streaming.matching import EXPIRIES, OUTPUT, SessionState, expiry_stream, match_stream
 
 
 @pytest.mark.parametrize("mixed", [False, True])
@@ -25,3 +30,87 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path, mixed):
     batch = q.sequence_trace(spark, sf_dir).filter("session % 3 = 0")
     got = key(spark.read.schema(out.schema).parquet(f"{tmp_path}/out"))
     assert got == key(batch) and got
+
+
+def expired(fs, s, timeout):
+    """Expiries of one session's frames (micros, sign) by a loop; a clock runs between frames and after the last."""
+    state, known, out = SessionState(), sequences.automaton(q.PATTERNS), []
+    for ts, sign in [*fs, (None, None)]:
+        if state.idle is not None and (ts is None or ts - state.idle > timeout):
+            out.append((state.idle, state.idle + timeout, len(state.buffer)))
+            state.clear()
+        if ts is None:
+            return out
+        emitted = state.vote(sign, s)
+        if emitted is not None:
+            state.add(emitted, known, 16)
+        if state.held is not None or not state.buffer:
+            state.idle = None
+        elif state.idle is None:
+            state.idle = ts
+
+
+@pytest.fixture(scope="module")
+def clips():
+    rnd, out = random.Random(8), {}
+    for session in range(40):
+        ts, sign, fs = 1_700_000_000_000_000, None, []
+        for _ in range(rnd.randint(1, 120)):
+            if rnd.random() < 0.4:
+                sign = rnd.choice([None, None, "view", "click", "error", "signup"])
+            ts += rnd.choice([200_000, 500_000, 1_000_000, 4_000_000])
+            fs.append((ts, sign))
+        out[session] = fs
+    return out
+
+
+@pytest.mark.parametrize("timeout", [1.0, 3.0, 3.2])
+def test_expiries_need_no_next_frame(spark, tmp_path, clips, timeout):
+    s = sequences.Smoothing(3, 2, 2)
+    rows = [(k, i, t, sign) for k, fs in clips.items() for i, (t, sign) in enumerate(fs)]
+    df = spark.createDataFrame(rows, "session long, frame long, ts long, sign string").withColumn("ts", F.timestamp_micros("ts"))
+    want = sorted((k, *x) for k, fs in clips.items() for x in expired(fs, s, round(timeout * 1e6)))
+    micros = lambda d: sorted((r.session, r.since, r.at, r.signs) for r in d.select("session", F.unix_micros("idle_since").alias("since"), F.unix_micros("at").alias("at"), "signs").collect())
+    assert micros(sequences.idle_expiries(df, q.PATTERNS, s, timeout)) == want and len(want) > 30
+    if timeout != 3.0:
+        return
+    at = str(tmp_path)
+    once.numbered(df, f"{at}/in", F.col("frame") % 3, 3)
+    last = spark.createDataFrame([(-1, -1, 4_000_000_000_000_000, None)], "session long, frame long, ts long, sign string")
+    last.withColumn("ts", F.timestamp_micros("ts")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    once.run_to_end(expiry_stream(source, q.PATTERNS, s, timeout, "1 hour"), f"{at}/out", f"{at}/state")
+    assert micros(once.read_once(spark, f"{at}/out", EXPIRIES)) == want
+
+
+def test_every_batch_is_held_once(spark, tmp_path):
+    """Failures before and after a commit: what a batch wrote is written over, not added to."""
+    at, df = str(tmp_path), spark.range(90).withColumn("part", F.col("id") % 3)
+    once.numbered(df, f"{at}/in", F.col("part"), 3)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    failures, seen = [0, 1, 1], []
+
+    def after(number):
+        seen.append(number)
+        if failures and number == failures[0]:
+            failures.pop(0)
+            raise RuntimeError("stopped")
+
+    with pytest.raises(StreamingQueryException):
+        once.run_to_end(source, f"{at}/out", f"{at}/state", after, tries=2)
+    once.run_to_end(source, f"{at}/out", f"{at}/state", after)
+    assert seen == [0, 0, 1, 1, 1, 2]
+    assert sorted(r.id for r in once.read_once(spark, f"{at}/out", "id long, part long").collect()) == list(range(90))
+
+
+def test_reset_clears_the_session(spark, tmp_path):
+    """A frame whose control is reset clears window, held sign and buffer."""
+    rows = [(1, i, i * 1_000_000, s, c) for i, (s, c) in enumerate([("click", None), ("click", None), (None, "reset"), ("error", None), ("error", None), ("click", None), ("click", None), ("error", None), ("error", None)])]
+    df = spark.createDataFrame(rows, "session long, frame long, ts long, sign string, control string").withColumn("ts", F.timestamp_micros("ts"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out = match_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), q.PATTERNS, sequences.Smoothing(2, 2, 2), 100.0)
+    once.run_to_end(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted((r.frame, r.sign, r.pattern) for r in once.read_once(spark, f"{tmp_path}/out", OUTPUT).collect())
+    assert got == [(1, "click", None), (4, "error", None), (6, "click", None), (8, "error", "broken click")]
