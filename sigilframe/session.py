@@ -56,6 +56,22 @@ def ordered_index(df: DataFrame, *order: Column | str, out: str = "index") -> Da
     )
 
 
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of value up to each row, in the order of a column, within groups of any size; equal places in the
+    order are summed together.
+
+    Rows are dealt out by range of group and place, and what lies in the ranges before is added.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    totals = placed.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(order))
+    joined = placed.withColumn("__inside", inside).join(offsets, [*by, "__part"])
+    return joined.withColumn(out, F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table given in code."""
     return spark.createDataFrame(rows, schema)
