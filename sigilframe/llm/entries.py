@@ -205,15 +205,19 @@ v AS (SELECT *, unnest([{'k': 'symbols', 'v': n_symbols / greatest(n_words, 1)::
                         {'k': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1)::DOUBLE, 'c': n_dup_lines, 'z': greatest(n_lines, 1)},
                         {'k': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)::DOUBLE, 'c': n_repeat_words, 'z': greatest(n_words, 1)},
                         {'k': 'word_length', 'v': word_chars / greatest(n_words, 1)::DOUBLE, 'c': word_chars, 'z': greatest(n_words, 1)}]) AS x FROM m),
-b AS (SELECT *, CASE WHEN x.v < 1e-4 THEN 0 ELSE floor(ln(x.v / 1e-4) / ln(1.04::DOUBLE)) + 1 END AS bin FROM v WHERE n_words > 0),
+b AS (SELECT *, CASE WHEN x.v < 1e-4 THEN 0 ELSE floor(ln(x.v / 1e-4) / ln(1.04::DOUBLE)) + 1 END AS bin FROM v
+      WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)),
 lev AS (SELECT 0 AS level, lang, source, x.k AS k, bin FROM b UNION ALL SELECT 1, lang, NULL, x.k, bin FROM b UNION ALL SELECT 2, NULL, NULL, x.k, bin FROM b),
-q AS (SELECT level, lang, source, k, count(*) AS n, quantile_disc(bin, [0.25, 0.75, 0.8, 0.995]) AS qs FROM lev GROUP BY ALL),
-w AS (SELECT level, lang, source, k, n, [CASE WHEN a = 0 THEN 0 ELSE 1e-4 * pow(1.04::DOUBLE, a - 0.5) END FOR a IN qs] AS cut FROM q),
-e AS (SELECT level, lang, source, k, n, greatest(cut[2] + 3.0 * (cut[2] - cut[1]), CASE WHEN k IN ('dup_lines', 'repeats') THEN cut[4] ELSE cut[3] END) AS up,
-             cut[1] - 3.0 * (cut[2] - cut[1]) AS down FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, k ORDER BY bin) AS i, count(*) OVER (PARTITION BY level, lang, source, k) AS n FROM lev),
+q AS (SELECT level, lang, source, k, n, [min(bin) FILTER (1000 * i >= 250 * n), min(bin) FILTER (1000 * i >= 750 * n), min(bin) FILTER (1000 * (i + 1) >= 800 * n), min(bin) FILTER (1000 * (i + 1) >= 999 * n)] AS qs
+      FROM r GROUP BY level, lang, source, k, n),
+w AS (SELECT level, lang, source, k, n, [1e-4 * pow(1.04::DOUBLE, a) FOR a IN qs] AS up, CASE WHEN qs[1] = 0 THEN 0 ELSE 1e-4 * pow(1.04::DOUBLE, qs[1] - 1) END AS low, qs[1] = qs[2] AS flat FROM q),
+z AS (SELECT *, CASE WHEN flat THEN 0.0 ELSE 3.0 * (up[2] - low) END AS spread FROM w),
+e AS (SELECT level, lang, source, k, n, greatest(up[2] + spread, CASE WHEN k IN ('dup_lines', 'repeats') THEN up[4] ELSE up[3] END, CASE WHEN k = 'word_length' THEN 0.0 ELSE 0.05 END) AS up,
+             low - spread AS down FROM z),
 u AS (SELECT o.lang, o.source, o.k, CASE WHEN o.n >= 30 THEN o.up WHEN l.n >= 30 THEN l.up ELSE a.up END AS up, CASE WHEN o.n >= 30 THEN o.down WHEN l.n >= 30 THEN l.down ELSE a.down END AS down
       FROM e o JOIN e l ON l.level = 1 AND l.k = o.k AND l.lang IS NOT DISTINCT FROM o.lang JOIN e a ON a.level = 2 AND a.k = o.k WHERE o.level = 0),
-ok AS (SELECT v.doc_id, bool_and(x.c - u.up * x.z <= 3.0 * sqrt(x.c::DOUBLE) AND (x.k <> 'word_length' OR u.down * x.z - x.c <= 3.0 * sqrt(x.c::DOUBLE))) AS within
+ok AS (SELECT v.doc_id, bool_and(x.c - u.up * x.z <= 3.0 * sqrt(u.up * x.z + 1) AND (x.k <> 'word_length' OR greatest(0.0, u.down * x.z) - x.c <= 3.0 * sqrt(greatest(0.0, u.down * x.z) + 1))) AS within
        FROM v JOIN u ON u.k = v.x.k AND u.lang IS NOT DISTINCT FROM v.lang AND u.source IS NOT DISTINCT FROM v.source GROUP BY v.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

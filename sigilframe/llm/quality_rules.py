@@ -1,20 +1,25 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Each document has a few measures. Their distributions are kept as quantile sketches with logarithmic bins (a value
-is known within 2 percent), which are counts and therefore merge by addition: those of a language's sources make that
-language's sketch, and all make the corpus's. From its quartiles a language and source gets an upper fence for every
-measure, and a lower one for the length of words: `reach` times the distance of the quartiles beyond them. A measure
-that most documents of the group don't have has equal quartiles, so the upper fence is at least the group's quantile
-TAIL, which bounds the share of a group that the measure may call outliers. A document is kept if no measure lies
-beyond a fence by more than `errors` standard errors of its count, so that one or two symbols or lines don't condemn a
-short document. Where language and source have fewer than `least`
-documents, the language's fences hold, or else the corpus's.
+Each document has a few rates. The distributions of those that pass the base rule are kept as quantile sketches with
+logarithmic bins (a value is known within 4 percent), which are counts and therefore merge by addition: those of a
+language's sources make that language's sketch, and all make the corpus's. From its quartiles a language and source
+gets an upper fence for every rate, and a lower one for the length of words: `reach` times the distance of the quartiles
+beyond them. A measure that most documents of the group don't have has equal quartiles, so the upper fence is at least
+the group's quantile TAIL, which bounds the share of a group that the measure may call outliers, and at least PRIOR, a
+rate that is nobody's fault. Fences are the outer edges of bins, so what a whole group has alike is inside.
+
+A fence is a rate, and a document of n words (or lines) is expected to have fence * n at most; it is kept if no count is
+beyond that by more than `errors` standard errors of such a count, sqrt(fence * n + 1). So a short document isn't
+condemned by one or two symbols or lines, and a long one is held to the rate itself. Where language and source have
+fewer than `least` documents, the language's fences hold, or else the corpus's.
 
 The sketches are grouped by Spark, so a source with a third of all rows is summed before it is shuffled, and the
 fences are joined to the measures.
 
 Defined results: a null text has no words and fails the base rule; a null language or source is a group of its own;
-repeated rows are measured like others; extra columns are not looked at; an empty table gives an empty result.
+repeated rows are measured like others, and rows with equal counts in a group share a verdict; a count right at its
+bound is kept; texts of any length are measured whole, one at a time; extra columns are not looked at; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,11 @@ GAMMA, FIRST = 1.04, 1e-4
 #: Measure and, in thousandths, the quantile of its group that its upper fence isn't below: the tail beyond is what it
 #: may condemn at most where quartiles are equal. Symbols and long words are marks of whole kinds of junk, so their
 #: tails are wide; repeated lines and words are common in good documents too, and only extremes count.
-TAIL = {"symbols": 800, "dup_lines": 995, "repeats": 995, "word_length": 800}
+TAIL = {"symbols": 800, "dup_lines": 999, "repeats": 999, "word_length": 800}
+#: Documents of a group that don't make a tail by themselves, so that in a small group the one outlier isn't its measure.
+ALONE = 1
+#: Rates that no upper fence is below, whatever the group: one symbol, repeated line or repeated word in twenty.
+PRIOR = {"symbols": 0.05, "dup_lines": 0.05, "repeats": 0.05, "word_length": 0.0}
 #: Measures that have a lower fence too.
 LOWER = ("word_length",)
 
@@ -78,15 +87,24 @@ def bin_of(value: Column) -> Column:
     return F.when(value < FIRST, 0).otherwise((F.floor(F.log(value / FIRST) / math.log(GAMMA)) + 1).cast("int"))
 
 
-def value_of(at: Column) -> Column:
-    """The middle of a bin, within the sketch's error of all its values."""
-    return F.when(at == 0, F.lit(0.0)).otherwise(FIRST * F.pow(F.lit(GAMMA), at - 0.5))
+def upper_edge(at: Column) -> Column:
+    """No value of a bin is above it."""
+    return FIRST * F.pow(F.lit(GAMMA), at.cast("double"))
+
+
+def lower_edge(at: Column) -> Column:
+    return F.when(at == 0, F.lit(0.0)).otherwise(FIRST * F.pow(F.lit(GAMMA), at - 1.0))
+
+
+def base_failed() -> Column:
+    """Fewer than 50 words, or more than half of them inside repeated windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Counts of bins by level (0 language and source, 1 language, 2 all) and measure."""
+    """Counts of bins by level (0 language and source, 1 language, 2 all) and measure, of what passes the base rule."""
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(v).alias("bin")) for m, v in ratios().items()])
-    each = measured.filter("n_words > 0").select("lang", "source", F.explode(pairs).alias("p"))
+    each = measured.filter(~base_failed()).select("lang", "source", F.explode(pairs).alias("p"))
     own = each.groupBy("lang", "source", "p.measure", "p.bin").agg(F.count(F.lit(1)).alias("n"))
     none = F.lit(None).cast("string")
     merged = lambda level, lang: own.groupBy(lang.alias("lang"), "measure", "bin").agg(F.sum("n").alias("n")).select(
@@ -103,15 +121,14 @@ def fences(sketch: DataFrame, reach: float) -> DataFrame:
     """Upper and lower fences of each level and group, with the documents they stand on."""
     group = Window.partitionBy("level", "lang", "source", "measure")
     counted = sketch.withColumns({"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("bin"))})
-    level = lambda q: value_of(F.min(F.when(1000 * F.col("upto") >= q * F.col("total"), F.col("bin"))))
-    tail = F.lit(0)
-    for m, q in TAIL.items():
-        tail = F.when(F.col("measure") == m, F.lit(q)).otherwise(tail)
+    level = lambda q, free=0: F.min(F.when(1000 * (F.col("upto") + free) >= q * F.col("total"), F.col("bin")))
+    per = lambda held: F.coalesce(*(F.when(F.col("measure") == m, F.lit(x)) for m, x in held.items()))
     at = counted.groupBy("level", "lang", "source", "measure").agg(
-        level(F.lit(250)).alias("low"), level(F.lit(750)).alias("high"), level(tail).alias("tail"), F.max("total").alias("documents")
+        level(F.lit(250)).alias("low"), level(F.lit(750)).alias("high"), level(per(TAIL), ALONE).alias("tail"), F.max("total").alias("documents")
     )
-    spread = reach * (F.col("high") - F.col("low"))
-    upper, lower = F.greatest(F.col("high") + spread, F.col("tail")), F.col("low") - spread
+    first, third = lower_edge(F.col("low")), upper_edge(F.col("high"))
+    spread = reach * F.when(F.col("high") == F.col("low"), F.lit(0.0)).otherwise(third - first)
+    upper, lower = F.greatest(third + spread, upper_edge(F.col("tail")), per(PRIOR)), first - spread
     of = lambda m, v: F.max(F.when(F.col("measure") == m, v))
     return at.groupBy("level", "lang", "source").agg(
         F.max("documents").alias("documents"), *[of(m, upper).alias(m) for m in TAIL], *[of(m, lower).alias(f"least_{m}") for m in LOWER]
@@ -136,13 +153,14 @@ def group_fences(sketch: DataFrame, least: int, reach: float) -> DataFrame:
 
 
 def within(errors: float) -> Column:
-    """No count lies beyond a fence of the document's group by more than so many of its standard errors."""
+    """No count is farther beyond what the group's fences expect than so many standard errors."""
     out = F.lit(True)
     for m, (k, n) in SHARES.items():
-        error = errors * F.sqrt(F.col(k).cast("double"))
-        out = out & (F.col(k) - F.col(f"fence.{m}") * size_of(n) <= error)
+        most = F.col(f"fence.{m}") * size_of(n)
+        out = out & (F.col(k) - most <= errors * F.sqrt(most + 1))
         if m in LOWER:
-            out = out & (F.col(f"fence.least_{m}") * size_of(n) - F.col(k) <= error)
+            least = F.greatest(F.lit(0.0), F.col(f"fence.least_{m}") * size_of(n))
+            out = out & (least - F.col(k) <= errors * F.sqrt(least + 1))
     return out
 
 
@@ -153,7 +171,6 @@ def apply_quality_rules(docs: DataFrame, least: int = 30, reach: float = 3.0, er
     # written once, so that the join below deals out both sides and may split the rows of a hot source
     limits = group_fences(sketches(measured), least, reach).checkpoint()
     same = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.join(limits, same, "left").select(
         "doc_id",
         "n_words",
@@ -161,6 +178,6 @@ def apply_quality_rules(docs: DataFrame, least: int = 30, reach: float = 3.0, er
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        base_failed.alias("base_failed"),
-        (~base_failed & F.coalesce(within(errors), F.lit(False))).alias("kept"),
+        base_failed().alias("base_failed"),
+        (~base_failed() & F.coalesce(within(errors), F.lit(False))).alias("kept"),
     )
