@@ -15,7 +15,10 @@ LEAST_INSIDE inside of it, the latter two on evidence of MIN_PAGES pages or more
 What a page says of itself is a prior: branches that are menus, page headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments by their tag, role, class or id, or that aren't shown, are removed too, for a host of one
 page has no tree. A class or id doesn't remove the branch that holds the page's <article> or <main>, and a word such as
-in `no-sidebar` counts only beside those.
+in `no-sidebar` counts only beside those. Inside of them a class or id removes a branch by itself only if it is a name of
+noise as a whole (`share-buttons`, not `market-share`; on elements of running text, only one that says nothing else);
+where it may be the article's own, the branch goes if the tree finds it repeated (importance below LEAST_BESIDE) or half
+of its text is links.
 
 Copies of a page repeat each other without being a template. So a text counts as repeated only if the pages that
 share it differ in their longest text of another path; an article of which more than half would go is kept whole; and
@@ -78,12 +81,29 @@ BEFORE = frozenset("no not without non hide has have with is".split())
 AFTER = frozenset("free less off hidden content wrapper container layout page".split())
 OWN = frozenset("entry post article story page title".split())
 ANCHORS = frozenset(("article", "main"))
+#: Words that only say how a part is made or where it stands: with a noise word alone they make a name of noise, while in
+#: any other company, as in `market-share`, the word may well be the article's own.
+FILLER = frozenset(
+    "a area bar block body bottom box btn button buttons by col column component container content div entry fixed for global "
+    "grid group icon icons id in inline inner item items js latest left link links list main mobile module more my of on outer "
+    "page panel popular post posts primary right row secondary section site sticky stories story text the title to top us wide "
+    "widget wp wrap wrapper your".split()
+)
+#: Elements of running text, and the words that name noise even on them; others may be the text's own, as in a notice.
+TEXTUAL = HEADINGS | frozenset("p li dd dt td th tr blockquote figcaption pre caption".split())
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense comment comments commentlist consent cookie cookies disqus "
+    "gdpr newsletter promoted replies reply share sharing sponsor sponsored sponsors subscribe".split()
+)
+#: Words that name reader comments on most sites and a part of the article on some.
+SPLIT = frozenset("discussion discussions".split())
 
 TAG = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*+))")
 STOP = re.compile(r">|=\s*+([\"'])")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+WORDED = re.compile(r"[^<]*+</button", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]++|[A-Z]++")
 GAMMA, VOLUME, LEAST = 0.3, 0.25, 0.35
 LEAST_BESIDE, LEAST_INSIDE, MIN_PAGES = 0.6, 0.2, 3
@@ -96,16 +116,19 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _word(value: str, inside: bool, header: bool) -> int:
-    """What a class or id says."""
+def _word(value: str, inside: bool, tag: str) -> int:
+    """What a class or id says. inside: an <article> or <main> is open; there a word counts for sure only if it is the
+    whole name, but for filler, and names noise on such an element."""
     found = PLAIN
     for token in value.split():
         parts = [p.lower() for p in PARTS.findall(token)]
-        noisy = NOISE_WORDS.intersection(parts)
-        if noisy == {"header"} and inside and (header or not OWN.isdisjoint(parts)):
+        noisy = (NOISE_WORDS | SPLIT).intersection(parts)
+        if noisy == {"header"} and inside and (tag == "header" or not OWN.isdisjoint(parts)):
             continue
         if noisy:
-            doubt = parts[0] in BEFORE or parts[-1] in AFTER or noisy == {"header"} and not OWN.isdisjoint(parts)
+            doubt = parts[0] in BEFORE or parts[-1] in AFTER or noisy == {"header"} and not OWN.isdisjoint(parts) or noisy <= SPLIT
+            if inside:
+                doubt |= not (noisy | FILLER).issuperset(parts) or tag in TEXTUAL and noisy.isdisjoint(STRONG)
             found = max(found, MAYBE if doubt else NAMED)
     return found
 
@@ -125,7 +148,7 @@ def _describe(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
             if tag in ("html", "body"):
                 continue
             if name in ("class", "id"):
-                told = max(told, _word(value, inside, tag == "header"))
+                told = max(told, _word(value, inside, tag))
             elif (
                 name == "hidden"
                 or name == "role" and value.lower() in NOISE_ROLES
@@ -170,7 +193,8 @@ _cache = Cache()
 
 class Block(NamedTuple):
     """state: 1 inside the page's <article> or <main>, 0 outside, -1 noise by its own markup. element: the innermost
-    that begins a block. links: characters of the text that are links."""
+    that begins a block. links: characters of the text that are links. doubt: a class or id above it, inside the article,
+    may name noise."""
 
     path: int
     element: int
@@ -178,6 +202,7 @@ class Block(NamedTuple):
     text: str
     links: int
     heading: bool
+    doubt: bool = False
 
 
 class Open(NamedTuple):
@@ -204,7 +229,8 @@ class Page:
         self.open = [Open("", 0, 0, False, 0, 0, False)]
         self.where: dict[str, list[int]] = {}
         # of each element that a class or id names, from 1: the one above, how many stand above, sure of it or not
-        self.above, self.depth, self.certain = [0], [0], [True]
+        # and the <article> or <main> that it is in
+        self.above, self.depth, self.certain, self.within = [0], [0], [True], [0]
         # of each <article> or <main>, from 1: tag, what is named above it, characters of its own text
         self.anchors: list[list] = [["", 0, 0]]
         self.raw: list[tuple] = []
@@ -216,14 +242,18 @@ class Page:
         self.judge()
 
     def judge(self) -> None:
-        """What is named inside or beside the branches that hold the page's text is noise."""
+        """What is named inside or beside the branches that hold the page's text is noise; inside of them, what may be
+        named so is in doubt."""
         held = self.held()
-        bad = [False]
+        bad, doubt = [False], [False]
         for i in range(1, len(self.above)):
-            bad.append(bad[self.above[i]] or i not in held and (self.certain[i] or self.anchored))
+            above, own = self.above[i], i not in held
+            inside = self.within[i] > 0 and self.anchors[self.within[i]][0] == self.chosen
+            bad.append(bad[above] or own and (self.certain[i] or self.anchored and not inside))
+            doubt.append(doubt[above] or own and inside and not self.certain[i])
         for path, element, sure, named, anchor, text, links, heading in self.raw:
             state = -1 if sure or bad[named] else int(anchor > 0)
-            self.blocks.append(Block(path, element, state, text, links, heading))
+            self.blocks.append(Block(path, element, state, text, links, heading, state == 1 and doubt[named]))
 
     def held(self) -> set[int]:
         """Named elements above the page's text: its <article>s below the fewest of them, or the <main> if that has as
@@ -241,7 +271,7 @@ class Page:
         if article and main and main[0] < article[0] and main[1] >= article[1]:
             article = None
         chosen = article or main
-        self.anchored = chosen is not None
+        self.anchored, self.chosen = chosen is not None, "article" if article else "main"
         held: set[int] = set()
         for named in chosen[2] if chosen else ():
             while named and named not in held:
@@ -326,6 +356,7 @@ class Page:
             self.above.append(named)
             self.depth.append(self.depth[named] + 1)
             self.certain.append(told == NAMED)
+            self.within.append(anchor)
             named = len(self.above) - 1
         path = _cache.path(at.path, own)
         self.parents[path] = at.path
@@ -381,6 +412,8 @@ class Page:
             if m[1]:
                 self.close(tag)
                 continue
+            if tag == "button" and self.open[-1].anchor and self.open[-1].tag in TEXTUAL and WORDED.match(source, at):
+                continue  # named in a sentence
             attributes = source[m.end() : end].strip()
             self.start(tag, attributes)
             if tag in RAW and not attributes.endswith("/"):
@@ -486,7 +519,11 @@ def prune(page: Page, low: dict[int, tuple[float, float, bool]]) -> tuple[list[b
     gone = []
     for b in page.blocks:
         value, _, sure = low.get(b.path, (1.0, 1.0, True))
-        gone.append(sure and value < LEAST_INSIDE if b.state == 1 else value < (least if sure else LEAST))
+        if b.state == 1:
+            # a name that is in doubt counts where the tree or the links agree
+            gone.append(sure and value < (LEAST_BESIDE if b.doubt else LEAST_INSIDE) or b.doubt and 2 * b.links >= len(b.text))
+        else:
+            gone.append(value < (least if sure else LEAST))
         if b.state < 1:
             size[b.element] += len(b.text)
             worth[b.element] += len(b.text) * value

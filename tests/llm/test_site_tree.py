@@ -238,3 +238,97 @@ def test_odd_rows(spark):
     # the two pages without a url are one host, whose only text repeats
     assert [o[0] for o in out] == ["1", "1", "2", "3", "None"] and out[2] == ("2", "", 0) and out[4] == ("None", "b", 1)
     assert st.extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ('<div class="market-share"><p>Shares rose.</p></div>', "Shares rose."),
+        ('<div class="menu-item-recipe"><p>Soup of the day.</p></div>', "Soup of the day."),
+        ('<section id="cookie-recipe"><p>Mix flour.</p></section>', "Mix flour."),
+        ('<h2 class="social-history">Social history</h2><p>x</p>', "Social history x"),
+        ('<p class="notice">A notice of the court.</p>', "A notice of the court."),
+        ("<p>press <button>OK</button> now</p>", "press OK now"),
+        ('<div class="discussion"><p>We discuss results.</p></div>', "We discuss results."),
+        ('<div class="share-buttons">Share this</div><p>x</p>', "x"),
+        ('<div class="cookie-notice">We use cookies</div><p>x</p>', "x"),
+        ('<section class="related-posts"><p>More</p></section><p>x</p>', "x"),
+        ('<ol class="comment-list"><li class="comment">nice</li></ol><p>x</p>', "x"),
+        ('<p class="advert">Buy</p><p>x</p>', "x"),
+        ('<div class="acme-related"><a href="/a">One</a> <a href="/b">Two</a></div><p>x</p>', "x"),
+        ("<div><button>Play</button></div><form><p><button>Send</button></p></form><p>x</p>", "x"),
+    ],
+)
+def test_names_inside_the_article(inside, want):
+    """A word counts by itself only if it is the whole name; else the links or the tree decide."""
+    page = st.Page(f"<article><h1>T</h1>{inside}<p>And so the text comes to its end.</p></article><div class='discussion'>great post</div>")
+    kept, _ = st.prune(page, {})
+    assert " ".join(b.text for b, k in zip(page.blocks, kept, strict=True) if k) == f"T {want} And so the text comes to its end."
+
+
+def test_the_tree_decides_on_names_in_doubt(spark):
+    """The same class: on one host a part that all pages share, on another the article's own."""
+    page = lambda text, i: f"<article><h1>Title {i}</h1><p>Own words of {i} and many more of them.</p><div class='acme-notice'><p>{text}</p></div></article>"
+    rows = [(i, f"http://one.example/{i}", page("Terms of our service apply.", i)) for i in range(10)]
+    rows += [(100 + i, f"http://two.example/{i}", page(f"The {i}th notice was served.", i)) for i in range(10)]
+    out = {r.page_id: r.text for r in st.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(10):
+        assert out[i] == f"Title {i} Own words of {i} and many more of them."
+        assert out[100 + i] == f"Title {i} Own words of {i} and many more of them. The {i}th notice was served."
+
+
+def plainly_pruned(page, low):
+    """prune by its definition: for each block, each branch above it is averaged over all blocks anywhere below."""
+
+    def above(e):
+        while e:
+            yield e
+            e = page.up[e]
+
+    told = lambda b: low.get(b.path, (1.0, 1.0, True))
+    outer = [b for b in page.blocks if b.state < 1]
+    gone = []
+    for b in page.blocks:
+        value, _, sure = told(b)
+        if b.state == 1:
+            bound = st.LEAST_BESIDE if b.doubt else st.LEAST_INSIDE
+            gone.append(sure and value < bound or b.doubt and 2 * b.links >= len(b.text))
+            continue
+        bound = st.LEAST_BESIDE if page.anchored and sure else st.LEAST
+        low_branch = False
+        for e in above(b.element):
+            below = [x for x in outer if e in above(x.element)]
+            weight = sum(len(x.text) for x in below)
+            low_branch |= not page.holds[e] and sum(len(x.text) * told(x)[0] for x in below) < st.LEAST * weight
+        gone.append(value < bound or bool(low) and low_branch)
+    kept = []
+    for b, g in zip(page.blocks, gone, strict=True):
+        peers = [(x, y) for x, y in zip(page.blocks, gone, strict=True) if x.state == b.state]
+        varied = lambda x: x.state == 1 or told(x)[1] >= 0.5
+        lost = sum(len(x.text) for x, y in peers if y and varied(x))
+        spared = 2 * lost > sum(len(x.text) for x, _ in peers) and (b.state == 1 or not page.anchored)
+        kept.append(b.state >= 0 and (not g or varied(b) and spared))
+    return kept, gone
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_prune_equals_brute_force(seed):
+    rnd = random.Random(seed)
+
+    def branch(depth):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            name = rnd.choice(["", " class=a", " class=b", " class=top-story", " class=sidebar", " class=acme-share", " class=share"])
+            if depth and rnd.random() < 0.6:
+                tag = rnd.choice(["div", "section", "ul"])
+                parts.append(f"<{tag}{name}>{branch(depth - 1)}</{tag}>")
+            else:
+                text = "w" * rnd.randint(1, 30)
+                parts.append(f"<p{name}>{rnd.choice([text, f'<a href=x>{text}</a> y', text + ' <a>l</a>'])}</p>")
+        return "".join(parts)
+
+    wrap = rnd.choice(["{}", "<article>{}</article>", "<main>{}</main>", "<main>{}<article>{}</article></main>", "{}<article>{}</article>{}"])
+    page = st.Page(f"<body>{wrap.format(*(branch(3) for _ in range(3)))}</body>")
+    for share in (0.0, 0.4, 1.0):
+        low = {p: (rnd.choice([0.05, 0.19, 0.3, 0.36, 0.5, 0.59, 0.8]), rnd.random(), rnd.random() < 0.7) for p in sorted({b.path for b in page.blocks}) if rnd.random() < share}
+        assert st.prune(page, low) == plainly_pruned(page, low)
