@@ -38,6 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or "file:///tmp/checkpoints/sigilframe")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def map_rows(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str
 ) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, ensure_checkpoint_dir, fold_words, map_rows, shingle_hashes, texts, word_hashes
+from .common import as_long, ensure_checkpoint_dir, fold_words, map_rows, shingle_hashes, spare, texts, word_hashes
 
 #: Words of a window and of a shingle; the largest filter is of 2 ** FILTER_BITS bits.
 WINDOW, SHINGLE, FILTER_BITS = 13, 3, 27
@@ -207,6 +207,7 @@ def benchmark_overlap(
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated. Rows are judged, not ids, which may be null or repeated; docs are read
     twice and must give their rows in the same order, as written tables do."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = benchmark_overlap(rows, items, id_col="__row").filter("contaminated").select("__row")
-    return rows.join(found, "__row", "left_anti").select(*docs.columns)
+    own = spare(docs, "__row")
+    rows = docs.withColumn(own, F.monotonically_increasing_id())
+    found = benchmark_overlap(rows, items, id_col=own).filter("contaminated").select(own)
+    return rows.join(found, own, "left_anti").select(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, ensure_checkpoint_dir, fold_words, map_rows, mix, ship, shingle_hashes, texts, word_hashes
+from .common import as_long, ensure_checkpoint_dir, fold_words, map_rows, mix, shingle_hashes, ship, spare, texts, word_hashes
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 
@@ -144,8 +144,9 @@ def compare_blocks(rows: DataFrame, words: int, threshold: Fraction) -> DataFram
         for g in group:
             if g[0] not in seen:
                 own = shingle_set(g[5], words)
-                if node_of(None, g[5], own) == g[0]:
-                    seen[g[0]] = (*g[:5], own)
+                if node_of(None, g[5], own) != g[0]:
+                    raise RuntimeError("a row's text isn't the one that was sketched: the input gave its rows in another order")
+                seen[g[0]] = (*g[:5], own)
         if len(seen) < 2:
             return None
         group = sorted(seen.values(), key=lambda g: g[0])
@@ -298,6 +299,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     equal id and text, or of null ids, are told apart by their place. Null texts all stay. docs are read twice and must
     give their rows in the same order, as written tables do."""
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    rows = docs.withColumn("__row", row)
-    spare = jaccard_classes(rows, id_col="__row").filter(F.col("class_id") != F.col("__row")).select("__row").checkpoint()
-    return rows.join(spare, "__row", "left_anti").select(*docs.columns)
+    own = spare(docs, "__row")
+    rows = docs.withColumn(own, row)
+    others = jaccard_classes(rows, id_col=own).filter(F.col("class_id") != F.col(own)).select(own).checkpoint()
+    return rows.join(others, own, "left_anti").select(*docs.columns)

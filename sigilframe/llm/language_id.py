@@ -6,9 +6,12 @@ is known, the length is reduced by one, down to single characters, and the first
 word by their mean. The text's distance from a language is the mean over its words; the nearest wins.
 
 The counts come from a bounded sample of the labelled rows: of each language `per_language` distinct texts at most, in
-the order of a hash of the text, and no more once `characters` are passed. Texts are learned whole, and every word and
-n-gram of them is in the model, so that the bounds of the sample are the only ones. Spark counts, and the model comes
-to the driver as columns.
+the order of a hash of the text, and no more once its even share of `characters` is passed, which are for all languages
+together. So the model, which the driver gathers and sends to the executors, is bounded however many languages there
+are. Texts are learned whole, and every word and n-gram of them is in the model: the bounds of the sample are the only
+ones. Spark counts, and the model comes to the driver as columns.
+
+A text's score is that of ten words at most: near 1 says that the language is likelier by far, not how long the text is.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is all text if there was nothing to
 learn from; ties go to the first language in alphabetical order; repeated rows get equal results and are learned from
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, map_rows, ship, texts
+from .common import ensure_checkpoint_dir, map_rows, ship, spare, texts
 
 
 def _ranges(kinds: str) -> str:
@@ -166,7 +169,9 @@ def sample_texts(labelled: DataFrame, per_language: int, characters: int, text_c
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of").checkpoint()
-    if counts.count() <= 10_000:  # a row for each language; else the optimizer decides
+    languages = counts.count()
+    share = characters // max(1, languages)
+    if languages <= 10_000:  # a row for each language; else the optimizer decides
         counts = F.broadcast(counts)
     draw = F.xxhash64("text", F.lit(17))
     # twice as many as are wanted, about, as some may be copies
@@ -175,17 +180,18 @@ def sample_texts(labelled: DataFrame, per_language: int, characters: int, text_c
     order = Window.partitionBy("lang").orderBy(draw, "text")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = once.withColumns({"rank": F.row_number().over(order), "before": before})
-    return ranked.filter((F.col("rank") <= per_language) & (F.col("before") < characters)).select("lang", "text")
+    return ranked.filter((F.col("rank") <= per_language) & (F.col("before") < share)).select("lang", "text")
 
 
 def train(
     labelled: DataFrame,
     per_language: int = 1000,
-    characters: int = 6_000_000,
+    characters: int = 8_000_000,
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> LanguageModel:
-    """per_language: texts learned from in each language; characters: of them after which no other text is taken."""
+    """per_language: texts learned from in each language; characters: of all languages, an even share of which a language's
+    texts may pass once."""
 
     def count(batch: pa.RecordBatch):
         words: dict[str, Counter] = {}
@@ -271,7 +277,8 @@ def keep_identified(docs: DataFrame, score: float = 0.4, told: float = 0.5) -> D
     than half of the words share with the learned languages single characters at most. If nothing was learned all go.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    marked = docs.withColumn("__language", predict_column(docs, model, F.col("text")))
-    known = (F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= score) & (F.col("__language.told") >= told)
-    lang = F.coalesce("lang", F.col("__language.lang")).cast(docs.schema["lang"].dataType)
-    return marked.filter(known).withColumn("lang", lang).drop("__language")
+    own = spare(docs, "__language")
+    marked = docs.withColumn(own, predict_column(docs, model, F.col("text")))
+    known = (F.col(f"{own}.lang") != UNKNOWN) & (F.col(f"{own}.score") >= score) & (F.col(f"{own}.told") >= told)
+    lang = F.coalesce("lang", F.col(f"{own}.lang")).cast(docs.schema["lang"].dataType)
+    return marked.filter(known).withColumn("lang", lang).drop(own)

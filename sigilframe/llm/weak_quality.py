@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship, texts
+from .common import map_rows, ship, spare, texts
 from .text_measures import Measures, measure
 
 GOOD, BAD, NONE = 1, -1, 0
@@ -315,5 +315,6 @@ def classify_quality(docs: DataFrame, least: float = 0.25) -> DataFrame:
 def keep_good(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """The documents that the classifier doesn't reject."""
     _, scorer = train(docs)
-    marked = docs.withColumn("__score", score_column(docs, scorer, F.col("text")))
-    return marked.filter(F.col("__score") >= least).drop("__score")
+    score = spare(docs, "__score")
+    marked = docs.withColumn(score, score_column(docs, scorer, F.col("text")))
+    return marked.filter(F.col(score) >= least).drop(score)

@@ -127,3 +127,14 @@ def test_held_out_rows_are_never_learned_from(spark):
     held = {r.doc_id for r in docs.filter(li.held_out(F.col("doc_id"))).collect()}
     assert held == {i for i in range(30) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert all((f"secret{i}" not in model.words) for i in held)
+
+
+def test_the_model_is_bounded_over_all_languages(spark):
+    """Ten times the languages, a tenth of the texts of each."""
+    rows = [(100 * k + i, " ".join(f"{chr(97 + k)}{chr(97 + i)}{chr(97 + j)}" for j in range(25)), f"l{k}") for k in range(20) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = li.sample_texts(df.filter("lang in ('l1', 'l2')"), 1000, 2000, "text", "lang")
+    many = li.sample_texts(df, 1000, 2000, "text", "lang")
+    size = lambda d: d.agg(F.sum(F.length("text"))).first()[0]
+    assert 2000 <= size(few) <= 2000 + 2 * 100 and 2000 <= size(many) <= 2000 + 20 * 100
+    assert many.select("lang").distinct().count() == 20

@@ -82,5 +82,17 @@ def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_duplicates", "decontamination", "encoding"]
     names = set(__spark_entry__.queries())
     assert set(entries.QUERIES) | {"pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert set(entries.ORACLES) <= names
+
+
+def test_stages_keep_columns_with_their_own_names(spark, odd_docs):
+    """Columns named like those that stages work with come through unchanged."""
+    names = ["__score", "__language", "__row", "___row", "row", "class_id", "contaminated"]
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    docs = docs.checkpoint()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}-{'none' if r.doc_id is None else r.doc_id}" for n in names], name
