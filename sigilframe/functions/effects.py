@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import first_interval
@@ -75,19 +75,19 @@ def clone_alpha(index: Column, age: Column, duration: float, fade: float, stagge
     )
 
 
-def clone_placements(spark: SparkSession, count: int, shrink: float) -> DataFrame:
-    """place, depth, side, scale, index of each copy, far ones first."""
-    i = F.col("id").cast("int")
-    depth = F.floor(i / 2).cast("int") + 1
-    rows = spark.range(count).select(
-        depth.alias("depth"),
-        F.when(i % 2 == 0, -1.0).otherwise(1.0).alias("side"),
-        F.greatest(F.lit(0.25), 1.0 - shrink * depth).alias("scale"),
-        i.alias("index"),
+def clone_placements(count: Column, shrink: float) -> Column:
+    """array of (depth, side, scale, index) of the copies, far ones first."""
+    depth = lambda i: F.floor(i / 2).cast("int") + 1
+    each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((-depth(i)).alias("far"), i.alias("index")))
+    return F.transform(
+        F.array_sort(each),
+        lambda c: F.struct(
+            (-c["far"]).alias("depth"),
+            F.when(c["index"] % 2 == 0, -1.0).otherwise(1.0).alias("side"),
+            F.greatest(F.lit(0.25), 1.0 + shrink * c["far"]).alias("scale"),
+            c["index"].alias("index"),
+        ),
     )
-    # as many rows as copies of the caster
-    order = Window.partitionBy().orderBy(F.desc("depth"), "index")
-    return rows.withColumn("place", F.row_number().over(order) - 1)
 
 
 def extent(age: Column, lunge: float) -> Column:

@@ -225,15 +225,14 @@ def progress(traced: DataFrame, patterns: list[Pattern], max_length: int = 16) -
 def unreachable(patterns: DataFrame) -> DataFrame:
     """Patterns (name, signs, place) that a shorter one interrupts before they end: name, blocked_by, at.
 
-    The table of patterns is small and read from a file, so each is compared with each. Of several the first counts.
+    The runs of signs inside a pattern, which are few as patterns are short, meet the patterns that are such runs by an
+    equality. Of several the first in the table counts, where it ends first.
     """
-    outer = patterns.select(F.col("name"), F.col("signs").alias("o"), F.col("place").alias("po"))
-    inner = patterns.select(F.col("name").alias("blocked_by"), F.col("signs").alias("i"), F.col("place").alias("pi"))
-    n = F.size("i")
-    places = F.sequence(n, F.greatest(n, F.size("o") - 1))
-    ends = F.filter(places, lambda k: (k < F.size("o")) & (F.slice("o", F.greatest(F.lit(1), k - n + 1), n) == F.col("i")))
-    met = outer.join(F.broadcast(inner), (F.size("i") < F.size("o")) & (F.size("i") > 0)).withColumn("at", F.array_min(ends))
-    first = met.filter(F.col("at").isNotNull()).groupBy("name", "po").agg(F.min(F.struct("pi", "blocked_by", "at")).alias("m"))
+    outer = patterns.select("name", F.col("place").alias("po"), F.col("signs").alias("o"))
+    ends = outer.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("o") - 1)))).filter(F.col("at") < F.size("o"))
+    runs = ends.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("at")))).select("name", "po", "at", F.slice("o", F.col("at") - F.col("n") + 1, F.col("n")).alias("run"))
+    inner = patterns.filter(F.size("signs") > 0).select(F.col("name").alias("blocked_by"), F.col("place").alias("pi"), F.col("signs").alias("run"))
+    first = runs.join(inner, "run").groupBy("name", "po").agg(F.min(F.struct("pi", "at", "blocked_by")).alias("m"))
     return first.select("name", "m.blocked_by", "m.at")
 
 

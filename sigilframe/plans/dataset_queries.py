@@ -15,28 +15,31 @@ from ..operators import dedup, labels, linkage
 from ..session import ensure_checkpoint_dir, literal_rows, ordered_index, table
 from .literals import sql_value, sql_values
 
-RAW_NAMES = [
-    (1, "Bird"), (2, " hitsuji -ram-"), (3, "Hitsuji -ram-"), (4, "Bird-"), (5, "TORA"), (6, "serpent"), (7, "rabbit"),
-    (8, "i"), (9, "Ne -rat-"), (10, "ushi--"), (11, "Tatsu -dragon-"), (12, "mouse "), (13, "cat"), (14, "u"),
-]
+#: Spellings that sources use; one is none of the vocabulary.
+RAW_NAMES = ["Bird", "hitsuji -ram-", "Hitsuji -ram-", "Bird-", "TORA", "serpent", "rabbit", "i", "Ne -rat-", "ushi--", "Tatsu -dragon-", "mouse", "cat", "u"]
 VOCAB_SQL = f"{sql_values(list(ALIASES.items()), 'alias, canonical')}"
 NAMES_SQL = sql_values(list(enumerate(NAMES)), "class_id, name")
 
 
 def normalize_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = literal_rows(spark, RAW_NAMES, "id int, raw string")
-    name = normalize_class_name(F.col("raw"), strict=False)
-    return raw.select("id", "raw", name.alias("name"))
+    """Each event spells a class name its own way, in capitals or between blanks."""
+    e = table(spark, sf_dir, "events")
+    name = F.get(F.array(*map(F.lit, RAW_NAMES)), (F.col("event_id") % len(RAW_NAMES)).cast("int"))
+    blanks = F.repeat(F.lit(" "), (F.col("event_id") % 3).cast("int"))
+    raw = e.select("event_id", F.concat(blanks, F.when(F.col("user_id") % 2 == 1, F.upper(name)).otherwise(name), blanks).alias("raw"))
+    return raw.select("event_id", "raw", normalize_class_name(F.col("raw"), strict=False).alias("name"))
 
 
 NORMALIZE_VOCAB = f"""
 WITH a AS (SELECT * FROM {VOCAB_SQL}),
-r AS (SELECT id, raw, lower(trim(raw)) AS t FROM {sql_values(RAW_NAMES, 'id, raw')}),
-k AS (SELECT id, raw,
+n AS (SELECT event_id, user_id, {sql_value(RAW_NAMES)}[event_id % {len(RAW_NAMES)} + 1] AS n, repeat(' ', CAST(event_id % 3 AS INTEGER)) AS pad FROM events),
+w AS (SELECT event_id, pad || CASE WHEN user_id % 2 = 1 THEN upper(n) ELSE n END || pad AS raw FROM n),
+r AS (SELECT event_id, raw, lower(trim(raw)) AS t FROM w),
+k AS (SELECT event_id, raw,
              CASE WHEN contains(t, ' -') AND ends_with(t, '-')
                   THEN trim(rtrim(string_split(t, ' -')[-1], '-')) END AS inside,
              trim(rtrim(t, '-')) AS bare FROM r)
-SELECT k.id, k.raw, coalesce(i.canonical, b.canonical) AS name
+SELECT k.event_id, k.raw, coalesce(i.canonical, b.canonical) AS name
 FROM k LEFT JOIN a i ON i.alias = k.inside LEFT JOIN a b ON b.alias = k.bare
 """
 

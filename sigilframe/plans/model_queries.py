@@ -10,30 +10,35 @@ from ..functions import geometry as g
 from ..functions.vocabulary import NAMES, class_table
 from ..operators import evaluation, linkage
 from ..operators.intervals import first_interval
-from ..session import literal_rows, table
+from ..session import table
 from .literals import sql_values
 
-METRICS = [([0, 2, 3, 5, 7, 11], [0.99, 0.91, 0.8712, 0.66, 0.95, 0.9333], [0.6, 0.55, 0.51234, 0.4, 0.58, 0.52], [0.9, 0.92, 0.81, 0.7, 0.96, 0.9], [0.88, 0.9, 0.8, 0.65, 0.94, 0.91])]
-METRIC_ROWS = [tuple(row) for row in zip(*METRICS[0], strict=True)]
 NAMES_SQL = sql_values(list(enumerate(NAMES)), "class_id, name")
+#: Metrics of a class, by places in the vectors of its label.
+PLACES = {"ap50": 0, "ap": 1, "p": 2, "r": 3}
 
 
-def summary(spark: SparkSession) -> DataFrame:
-    given = literal_rows(spark, METRICS, "ap_class_index array<int>, ap50 array<double>, ap array<double>, p array<double>, r array<double>")
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as classes: means over their vectors as metrics, in one row of arrays as evaluations give them."""
+    e = table(spark, sf_dir, "embeddings")
+    mean = {n: F.avg(F.abs(F.get("embedding", F.lit(i)).cast("double"))).alias(n) for n, i in PLACES.items()}
+    each = e.groupBy(F.col("label").cast("int").alias("label")).agg(*mean.values())
+    rows = each.agg(F.array_sort(F.collect_list(F.struct("label", *PLACES))).alias("a"))  # as many as classes
+    given = rows.select(F.col("a.label").alias("ap_class_index"), *(F.col(f"a.{n}").alias(n) for n in PLACES))
     return evaluation.summarize(given, class_table(spark).select("class_id", "name"))
 
 
 def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(spark)
+    return summary(spark, sf_dir)
 
 
 def weakest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.weakest(summary(spark)).select("name", "AP50")
+    return evaluation.weakest(summary(spark, sf_dir)).select("name", "AP50")
 
 
 METRICS_SQL = f"""
-m AS (SELECT n.class_id, n.name, round(ap50, 4) AS "AP50", round(ap, 4) AS "AP50_95", round(p, 4) AS precision, round(r, 4) AS recall
-      FROM {NAMES_SQL.replace(' AS v(', ' AS n(')} LEFT JOIN {sql_values(METRIC_ROWS, 'class_id, ap50, ap, p, r')} USING (class_id))
+e AS (SELECT label AS class_id, {', '.join(f"round(avg(abs(embedding[{i + 1}]::DOUBLE)), 4) AS {n}" for n, i in PLACES.items())} FROM embeddings GROUP BY label),
+m AS (SELECT n.class_id, n.name, ap50 AS "AP50", ap AS "AP50_95", p AS precision, r AS recall FROM {NAMES_SQL.replace(' AS v(', ' AS n(')} LEFT JOIN e USING (class_id))
 """
 
 
@@ -139,62 +144,57 @@ i AS (SELECT *, greatest(0.0, least(x2, 35.0) - greatest(x1, 25.0)) * greatest(0
 SELECT l_orderkey, l_linenumber, round(n / (areas - n), 6) AS iou FROM i
 """
 
-#: id, then x, y, conf of nose, left eye, right eye, left ear, right ear.
-POSES = [
-    (1, 100.0, 100.0, 0.9, 90.0, 90.0, 0.9, 110.0, 90.0, 0.9, 0.9, 0.9),
-    (2, 108.0, 100.0, 0.9, 90.0, 90.0, 0.9, 110.0, 90.0, 0.9, 0.9, 0.9),
-    (3, 101.0, 100.0, 0.9, 90.0, 90.0, 0.9, 110.0, 90.0, 0.9, 0.1, 0.9),
-    (4, 101.0, 100.0, 0.9, 90.0, 90.0, 0.9, 110.0, 90.0, 0.9, 0.9, 0.2),
-    (5, 101.0, 100.0, 0.2, 90.0, 90.0, 0.9, 110.0, 90.0, 0.9, 0.9, 0.9),
-    (6, 101.0, 100.0, 0.9, 100.0, 90.0, 0.9, 102.0, 90.0, 0.9, 0.9, 0.9),
-    (7, 140.0, 100.0, 0.9, 90.0, 90.0, 0.9, 110.0, 90.0, 0.9, 0.9, 0.9),
-    (8, 60.0, 100.0, 0.35, 90.0, 92.0, 0.9, 110.0, 95.0, 0.9, 0.1, 0.1),
-    (9, 60.0, 100.0, 0.45, 97.0, 92.0, 0.1, 100.0, 92.0, 0.9, 0.1, 0.1),
-]
-POSE_NAMES = "id, nx, ny, nc, lx, ly, lc, rx, ry, rc, le, re"
-
-
-def keypoints(spark: SparkSession) -> DataFrame:
-    rows = literal_rows(spark, POSES, POSE_NAMES.replace("id,", "id int,").replace(", ", " double, ").replace("id int double", "id int") + " double")
+#: Points of a pose from the numbers of a vector: where each lies without them, and the number's place.
+POSE = {"nx": (100, 0), "ny": (100, 1), "lx": (85, 2), "ly": (90, 3), "rx": (115, 4), "ry": (90, 5)}
+SURE = {"nc": 6, "lc": 7, "rc": 8, "le": 9, "re": 10}
+
+
+def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as poses: nose, eyes and ears, some of them unsure."""
+    e = table(spark, sf_dir, "embeddings")
+    number = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    rows = e.select(F.col("vec_id").alias("id"), *((x + number(i) * 10).alias(n) for n, (x, i) in POSE.items()), *(F.abs(number(i) * 3).alias(n) for n, i in SURE.items()))
     point = lambda x, y, c: F.struct(x.alias("x"), y.alias("y"), c.alias("conf"))
     ear = lambda c: point(F.lit(0.0), F.lit(0.0), F.col(c))
     named = [point(*map(F.col, names)) for names in (("nx", "ny", "nc"), ("lx", "ly", "lc"), ("rx", "ry", "rc"))]
     return rows.select("id", F.array(*named, ear("le"), ear("re")).alias("k"))
 
 
+POSED = f"""(SELECT vec_id AS id, {', '.join(f"{x} + embedding[{i + 1}]::DOUBLE * 10 AS {n}" for n, (x, i) in POSE.items())},
+                {', '.join(f"abs(embedding[{i + 1}]::DOUBLE * 3) AS {n}" for n, i in SURE.items())} FROM embeddings)"""
+
+
 def head_yaw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keypoints(spark).select("id", F.round(fx.estimate_yaw(F.col("k")), 6).alias("yaw"))
+    return keypoints(spark, sf_dir).select("id", F.round(fx.estimate_yaw(F.col("k")), 6).alias("yaw"))
 
 
 HEAD_YAW = f"""
-WITH p AS (SELECT *, abs(lx - rx) AS span, (nx - (lx + rx) / 2) / (abs(lx - rx) / 2) AS raw FROM {sql_values(POSES, POSE_NAMES)})
+WITH p AS (SELECT *, abs(lx - rx) AS span, (nx - (lx + rx) / 2) / (abs(lx - rx) / 2) AS raw FROM {POSED})
 SELECT id, CASE WHEN nc >= 0.3 AND lc >= 0.3 AND rc >= 0.3 AND span >= 3 THEN round(least(1.0, greatest(-1.0,
     CASE WHEN le < 0.3 AND re >= 0.3 THEN greatest(raw, 0.35) WHEN re < 0.3 AND le >= 0.3 THEN least(raw, -0.35) ELSE raw END)), 6) END AS yaw FROM p
 """
 
 
 def mouth_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = keypoints(spark).select("id", fx.mouth_box(F.col("k"), F.lit(640.0), F.lit(1.5)).alias("b"))
+    rows = keypoints(spark, sf_dir).select("id", fx.mouth_box(F.col("k"), F.lit(640.0), F.lit(1.5)).alias("b"))
     return rows.select("id", *[F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 MOUTH_BOX = f"""
-WITH p AS (SELECT *, sqrt((lx - rx) * (lx - rx) + (ly - ry) * (ly - ry)) AS eyes FROM {sql_values(POSES, POSE_NAMES)}),
+WITH p AS (SELECT *, sqrt((lx - rx) * (lx - rx) + (ly - ry) * (ly - ry)) AS eyes FROM {POSED}),
 q AS (SELECT *, CASE WHEN eyes > 4 THEN eyes ELSE 640.0 * 0.05 END AS gap FROM p),
 m AS (SELECT id, nx * 1.5 AS x, (ny + gap * 0.55) * 1.5 AS y, greatest(8.0, gap * 1.5) AS r, nc > 0.4 AS sure FROM q)
 SELECT id, CASE WHEN sure THEN round(x - r, 6) END AS x1, CASE WHEN sure THEN round(y - r, 6) END AS y1,
        CASE WHEN sure THEN round(x + r, 6) END AS x2, CASE WHEN sure THEN round(y + r, 6) END AS y2 FROM m
 """
 
-#: Ages at which effects are looked at: every twentieth of a second, from before the start to after the end.
-AGE_STEPS = 135
-
-
-def ages(spark: SparkSession) -> DataFrame:
-    return spark.range(AGE_STEPS).select(F.col("id").alias("step"), ((F.col("id") - 5) / 20).alias("age"))
+def ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as moments of an effect, by their values: from before its start to after its end."""
+    age = (F.floor(F.col("value") * 7) % 135 - 5) / 20
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), age.alias("age"))
 
 
-AGES = f"a AS (SELECT CAST(i AS BIGINT) AS step, (i - 5) / 20::DOUBLE AS age FROM range({AGE_STEPS}) t(i))"
+AGES = "a AS (SELECT event_id AS step, (CAST(floor(value * 7) AS BIGINT) % 135 - 5) / 20::DOUBLE AS age FROM events)"
 TIMED = [(n, s["kind"], float(s["duration"]), float(s["fade"]), float(s.get("charge", 0.0))) for n, s in fx.SPECS.items() if s["kind"] not in ("transform", "clone")]
 
 
@@ -202,8 +202,8 @@ def effect_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = fx.effect_table(spark).filter(~F.col("kind").isin("transform", "clone"))
     rise = F.coalesce(F.try_element_at("params", F.lit("charge")), F.lit(0.0))
     level = fx.envelope(F.col("age"), F.col("duration"), F.col("params")["fade"], rise)
-    # seven effects by a fixed number of ages
-    return ages(spark).join(F.broadcast(spec)).select("name", "step", F.round(level, 6).alias("intensity"))
+    # as many rows of the right side as effects
+    return ages(spark, sf_dir).join(F.broadcast(spec)).select("name", "step", F.round(level, 6).alias("intensity"))
 
 
 EFFECT_ENVELOPES = f"""
@@ -216,7 +216,7 @@ SELECT name, step, round(CASE WHEN age < 0 OR age > duration THEN 0.0 WHEN charg
 def sprite_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, c = fx.SPECS["Transformation Jutsu"], fx.SPECS["Clone Jutsu"]
     age = F.col("age")
-    return ages(spark).select(
+    return ages(spark, sf_dir).select(
         "step",
         F.round(fx.sprite_alpha(age, t["duration"], t["fade"], t["smoke_s"]), 6).alias("sprite"),
         F.round(fx.smoke_alpha(age, t["smoke_s"]), 6).alias("smoke"),
@@ -235,14 +235,17 @@ FROM a
 
 
 def clone_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event casts one to six copies."""
     spec = fx.SPECS["Clone Jutsu"]
-    out = fx.clone_placements(spark, spec["count"], spec["shrink"])
-    return out.select(F.col("place").cast("bigint").alias("place"), "depth", "side", F.round("scale", 6).alias("scale"), "index")
+    copies = fx.clone_placements((1 + F.col("event_id") % spec["count"]).cast("int"), spec["shrink"])
+    out = table(spark, sf_dir, "events").select("event_id", F.posexplode(copies).alias("place", "c"))
+    return out.select("event_id", F.col("place").cast("bigint").alias("place"), "c.depth", "c.side", F.round("c.scale", 6).alias("scale"), "c.index")
 
 
 CLONE_PLACEMENTS = """
-WITH c AS (SELECT CAST(i // 2 + 1 AS INTEGER) AS depth, CASE WHEN i % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS side, CAST(i AS INTEGER) AS index FROM range(6) t(i))
-SELECT row_number() OVER (ORDER BY depth DESC, index) - 1 AS place, depth, side, round(greatest(0.25::DOUBLE, 1.0::DOUBLE - 0.17::DOUBLE * depth), 6) AS scale, index FROM c
+WITH c AS (SELECT event_id, CAST(i // 2 + 1 AS INTEGER) AS depth, CASE WHEN i % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS side, CAST(i AS INTEGER) AS index
+           FROM events, range(6) t(i) WHERE i <= event_id % 6)
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY depth DESC, index) - 1 AS place, depth, side, round(greatest(0.25::DOUBLE, 1.0::DOUBLE - 0.17::DOUBLE * depth), 6) AS scale, index FROM c
 """
 
 
@@ -285,7 +288,7 @@ FROM e JOIN h ON t BETWEEN low AND high QUALIFY row_number() OVER (PARTITION BY
 def volley_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, v = fx.SPECS["Water Bullet Jutsu"], fx.SPECS["Vacuum Wave"]
     blades = fx.blades_in_flight(F.col("age"), v["blades"], v["interval"], v["speed"])
-    return ages(spark).select(
+    return ages(spark, sf_dir).select(
         "step",
         fx.shots_due(F.col("age"), w["shots"], w["interval"]).cast("bigint").alias("shots"),
         F.size(blades).cast("bigint").alias("blades"),
@@ -303,7 +306,7 @@ SELECT step, (SELECT count(*) FROM range(4) t(i) WHERE a.age >= i * 0.42::DOUBLE
 def aim_and_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aim, extension and the head's pose over time, for a yaw that swings with it."""
     spec = fx.SPECS["Earth Dragon Bullet"]
-    rows = ages(spark).withColumn("yaw", (F.col("step") % 21 - 10) / 10)
+    rows = ages(spark, sf_dir).withColumn("yaw", (F.col("step") % 21 - 10) / 10)
     pose = fx.head_pose(F.lit(320.0), F.lit(240.0), F.lit(640.0), F.col("yaw"), fx.extent(F.col("age"), spec["lunge"]), spec)
     rows = rows.withColumn("pose", pose).withColumn("tip", fx.place(F.lit(0.5), F.lit(-0.25), F.col("pose")))
     return rows.select(
@@ -324,26 +327,27 @@ SELECT step, round(CASE WHEN yaw >= 0 THEN yaw * 1.15::DOUBLE * 0.5 ELSE pi() -
        round(x, 6) AS x, round(y, 6) AS y, round(angle, 6) AS angle, round(scale, 6) AS scale, round(flip, 6) AS flip,
        round(x + (0.5 * flip * cos(angle) + 0.25 * sin(angle)) * scale, 6) AS tip_x, round(y + (0.5 * flip * sin(angle) - 0.25 * cos(angle)) * scale, 6) AS tip_y FROM q
 """
-MATCHED = [(1, "Chidori"), (2, "Dragon Fire Jutsu"), (3, "Dragon Flame Jutsu"), (4, None), (5, "Vacuum Wave")]
+#: Types of events as patterns that matched, one of them without a name and one without an effect.
+MATCHED = {"view": "Chidori", "click": "Dragon Fire Jutsu", "purchase": "Dragon Flame Jutsu", "signup": None, "error": "Vacuum Wave"}
 
 
 def effect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, MATCHED, "id int, name string")
-    return rows.join(F.broadcast(fx.effect_table(spark)), "name", "left").select("id", "name", "kind", "duration")
-
-
-SCORES = [(1, 0.9872, True), (2, 0.9872, False), (3, 0.97, True), (4, 0.5, True)]
-CACHES = [(1, "ram", 8, "spawn"), (2, "ram", 8, "fork"), (3, "ram", 0, "spawn"), (4, "disk", 8, "spawn"), (5, "none", 4, "spawn")]
+    name = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(n)) for t, n in MATCHED.items()))
+    rows = table(spark, sf_dir, "events").select("event_id", name.alias("name"))
+    return rows.join(F.broadcast(fx.effect_table(spark)), "name", "left").select("event_id", "name", "kind", "duration")
 
 
 def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, SCORES, "id int, score double, disjoint boolean")
-    return rows.select("id", evaluation.implausible(F.col("score"), F.col("disjoint")).alias("implausible"))
+    """Vectors as evaluations: a score, on a disjoint split or not."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("score"), (F.col("vec_id") % 2 == 0).alias("disjoint"))
+    return rows.select("vec_id", evaluation.implausible(F.col("score") * 4, F.col("disjoint")).alias("implausible"))
 
 
 def cache_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, CACHES, "id int, requested string, workers int, start string")
-    return rows.select("id", evaluation.cache_mode(F.col("requested"), F.col("workers"), F.col("start")).alias("mode"))
+    """Events as trainings: what they ask for, their workers, and how those start."""
+    pick = lambda names, c: F.get(F.array(*map(F.lit, names)), (c % len(names)).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", pick(("ram", "disk", "none", "ram"), F.col("event_id")).alias("requested"), (F.col("user_id") % 3).alias("workers"), pick(("spawn", "fork"), F.col("user_id")).alias("start"))
+    return rows.select("event_id", evaluation.cache_mode(F.col("requested"), F.col("workers"), F.col("start")).alias("mode"))
 
 
 QUERIES = {
@@ -370,7 +374,9 @@ ORACLES = {
     "busy_hours": BUSY_HOURS,
     "volley_schedule": VOLLEY_SCHEDULE,
     "aim_and_pose": AIM_AND_POSE,
-    "effect_lookup": f"SELECT id, m.name, kind, duration FROM {sql_values(MATCHED, 'id, name').replace(' AS v(', ' AS m(')} LEFT JOIN {sql_values([(n, s['kind'], float(s['duration'])) for n, s in fx.SPECS.items()], 'name, kind, duration')} USING (name)",
-    "score_gate": f"SELECT id, disjoint AND score > 0.97 AS implausible FROM {sql_values(SCORES, 'id, score, disjoint')}",
-    "cache_mode": f"SELECT id, CASE WHEN requested <> 'ram' OR workers = 0 OR start_method = 'fork' THEN requested ELSE 'disk' END AS mode FROM {sql_values(CACHES, 'id, requested, workers, start_method')}",
+    "effect_lookup": f"""SELECT event_id, m.name, kind, duration FROM events JOIN {sql_values(list(MATCHED.items()), 'event_type, name').replace(' AS v(', ' AS m(')} USING (event_type)
+LEFT JOIN {sql_values([(n, s['kind'], float(s['duration'])) for n, s in fx.SPECS.items()], 'name, kind, duration')} USING (name)""",
+    "score_gate": "SELECT vec_id, vec_id % 2 = 0 AND abs(embedding[1]::DOUBLE) * 4 > 0.97 AS implausible FROM embeddings",
+    "cache_mode": """SELECT event_id, CASE WHEN requested <> 'ram' OR workers = 0 OR start_method = 'fork' THEN requested ELSE 'disk' END AS mode
+FROM (SELECT event_id, ['ram', 'disk', 'none', 'ram'][event_id % 4 + 1] AS requested, user_id % 3 AS workers, ['spawn', 'fork'][user_id % 2 + 1] AS start_method FROM events)""",
 }

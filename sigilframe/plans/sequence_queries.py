@@ -13,9 +13,9 @@ from ..functions import effects as fx
 from ..functions.vocabulary import NAMES
 from ..operators import blocks, evaluation, sequences, tracking
 from ..operators.sequences import Pattern, Smoothing
-from ..session import literal_rows, table
+from ..session import table
 from ..sources.patterns import parse_pattern_lines
-from .literals import sql_values
+from .literals import sql_value, sql_values
 
 ACCEPT, DAY, HOLD_S = 20.0, 86400.0, 43200.0
 SMOOTHING = Smoothing(3, 2, 2)
@@ -191,36 +191,38 @@ SELECT session, frame, round(count(gap) OVER w / greatest(coalesce(sum(gap) OVER
 FROM g WINDOW w AS (PARTITION BY session ORDER BY ts, frame ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
 """
 
-PATTERN_LINES = [
-    (0, "﻿element,jutsu,sign1,sign2,sign3,sign4,sign5"),
-    (1, "Fire Style, Short ,TIGER, snake ,,,"),
-    (2, ",,,,,,"),
-    (3, "Water Style,Long,ram,tiger,snake,dog,ox"),
-    (4, "Earth Style,Tail,hare,ox,tiger,snake,"),
-    (5, ",Other,ox,hare,monkey,,"),
-    (6, "Wind Style,Wide,rat,ox,hare,monkey,bird"),
-    (7, '"Fire Style","Fireball, Great ""Flame""",snake,"ram",monkey,'),
-]
+def pattern_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of patterns in which each user is a line: the first classes of their events, some in quotes, in capitals
+    and with empty cells."""
+    e = table(spark, sf_dir, "events")
+    sign = F.get(F.array(*map(F.lit, NAMES)), (F.col("event_id") % len(NAMES)).cast("int"))
+    first = e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter(F.col("k") <= 2 + F.col("user_id") % 4)
+    signs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", sign.alias("s")))), lambda x: F.when(x["k"] % 2 == 1, F.upper(x["s"])).otherwise(x["s"])), " , ")
+    user = F.col("user_id").cast("string")
+    name = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit('"Jutsu, '), user, F.lit(' ""x"""'))).otherwise(F.concat(F.lit(" Jutsu "), user))
+    line = F.concat(F.when(F.col("user_id") == 0, F.lit("\ufeff")).otherwise(""), F.lit("Style "), (F.col("user_id") % 5).cast("string"), F.lit(","), name, F.lit(","), F.col("signs"), F.lit(",,"))
+    rows = first.groupBy("user_id").agg(signs.alias("signs"))
+    return rows.select(F.col("user_id").cast("int").alias("place"), line.alias("line"))
 
 
 def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = literal_rows(spark, PATTERN_LINES, "place int, line string")
-    out = parse_pattern_lines(lines, NAMES)
+    out = parse_pattern_lines(pattern_lines(spark, sf_dir), NAMES)
     return out.select("place", "name", "element", F.array_join("signs", ">").alias("signs"))
 
 
 LINES = f"""
+s AS (SELECT user_id, {sql_value(list(NAMES))}[event_id % {len(NAMES)} + 1] AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+n AS (SELECT user_id, string_agg(CASE WHEN k % 2 = 1 THEN upper(s) ELSE s END, ' , ' ORDER BY k) AS signs FROM s WHERE k <= 2 + user_id % 4 GROUP BY user_id),
+g AS (SELECT CAST(user_id AS INTEGER) AS place, CASE WHEN user_id = 0 THEN chr(65279) ELSE '' END || 'Style ' || (user_id % 5) || ',' ||
+             CASE WHEN user_id % 7 = 0 THEN '"Jutsu, ' || user_id || ' ""x""' || '"' ELSE ' Jutsu ' || user_id END || ',' || signs || ',,' AS line FROM n),
 l AS (SELECT place, list_transform(regexp_extract_all(regexp_replace(line, '^\\x{{FEFF}}', '') || ',', '("(?:[^"]|"")*"|[^,]*),', 1),
-             lambda c: trim(CASE WHEN c LIKE '"%"' THEN replace(c[2:-2], '""', '"') ELSE c END)) AS c
-      FROM {sql_values(PATTERN_LINES, 'place, line')}),
-p AS (SELECT place, c[2] AS name, c[1] AS element, list_transform(list_filter(c[3:], lambda x: x <> ''), lambda x: lower(x)) AS signs
-      FROM l WHERE len(list_filter(c, lambda x: x <> '')) > 0 AND NOT (place = 0 AND c[1] = 'element' AND c[2] = 'jutsu'))
+             lambda c: trim(CASE WHEN c LIKE '"%"' THEN replace(c[2:-2], '""', '"') ELSE c END)) AS c FROM g),
+p AS (SELECT place, c[2] AS name, c[1] AS element, list_transform(list_filter(c[3:], lambda x: x <> ''), lambda x: lower(x)) AS signs FROM l)
 """
 
 
 def unreachable_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = literal_rows(spark, PATTERN_LINES, "place int, line string")
-    out = sequences.unreachable(parse_pattern_lines(lines, NAMES))
+    out = sequences.unreachable(parse_pattern_lines(pattern_lines(spark, sf_dir), NAMES))
     return out.select("name", "blocked_by", F.col("at").cast("bigint").alias("at"))
 
 
