@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.sequences import Pattern, unreachable
@@ -19,7 +19,8 @@ def parse_pattern_lines(lines: DataFrame, vocab: tuple[str, ...]) -> DataFrame:
     plain = lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
     cells = F.transform(raw, lambda c: F.trim(plain(c)))
     rows = lines.select("place", cells.alias("c")).filter(F.exists("c", lambda x: x != ""))
-    rows = rows.join(F.broadcast(rows.agg(F.min("place").alias("first"))))  # one row
+    # a file's few lines; later filters, which may raise, don't pass a window
+    rows = rows.withColumn("first", F.min("place").over(Window.partitionBy()))
     header = (F.col("place") == F.col("first")) & (F.col("c")[0] == "element") & (F.get("c", F.lit(1)) == "jutsu")
     rows = rows.filter(~F.coalesce(header, F.lit(False)))
     signs = F.transform(F.filter(F.slice("c", 3, 1 << 20), lambda x: x != ""), F.lower)
@@ -61,6 +62,7 @@ def load_patterns(spark: SparkSession, path: str, vocab: tuple[str, ...], warn:
     if not found:
         raise ValueError(f"{path} defines no pattern")
     if warn:
-        for r in unreachable(rows).collect():
+        known = spark.createDataFrame([(i, p.name, list(p.signs)) for i, p in enumerate(found)], "place int, name string, signs array<string>")
+        for r in unreachable(known).collect():
             print(f"warning: {r['name']!r} can never match, as {r['blocked_by']!r} ends at its sign {r['at']}")
     return found
