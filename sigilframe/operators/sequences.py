@@ -225,14 +225,16 @@ def progress(traced: DataFrame, patterns: list[Pattern], max_length: int = 16) -
 def unreachable(patterns: DataFrame) -> DataFrame:
     """Patterns (name, signs, place) that a shorter one interrupts before they end: name, blocked_by, at.
 
-    The runs of signs inside a pattern, which are few as patterns are short, meet the patterns that are such runs by an
-    equality. Of several the first in the table counts, where it ends first.
+    Patterns of equal signs are one, with the first in the table, so hot signs aren't paired with each other. The runs of
+    signs inside each, which are few as patterns are short, meet those that are such runs by an equality, and what they
+    find is joined to the patterns. Of several the first in the table counts, where it ends first.
     """
-    outer = patterns.select("name", F.col("place").alias("po"), F.col("signs").alias("o"))
-    ends = outer.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("o") - 1)))).filter(F.col("at") < F.size("o"))
-    runs = ends.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("at")))).select("name", "po", "at", F.slice("o", F.col("at") - F.col("n") + 1, F.col("n")).alias("run"))
-    inner = patterns.filter(F.size("signs") > 0).select(F.col("name").alias("blocked_by"), F.col("place").alias("pi"), F.col("signs").alias("run"))
-    first = runs.join(inner, "run").groupBy("name", "po").agg(F.min(F.struct("pi", "at", "blocked_by")).alias("m"))
+    firsts = patterns.groupBy("signs").agg(F.min(F.struct(F.col("place").alias("pi"), F.col("name").alias("blocked_by"))).alias("i"))
+    ends = firsts.select("signs", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("signs") - 1))).alias("at")).filter(F.col("at") < F.size("signs"))
+    runs = ends.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("at")))).select("signs", "at", F.slice("signs", F.col("at") - F.col("n") + 1, F.col("n")).alias("run"))
+    met = runs.join(firsts.select(F.col("signs").alias("run"), "i"), "run")
+    blocked = met.groupBy("signs").agg(F.min(F.struct("i.pi", "at", "i.blocked_by")).alias("m"))
+    first = patterns.join(blocked, "signs").groupBy("name", "place").agg(F.min("m").alias("m"))
     return first.select("name", "m.blocked_by", "m.at")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequences import Pattern, unreachable
@@ -19,9 +19,8 @@ def parse_pattern_lines(lines: DataFrame, vocab: tuple[str, ...]) -> DataFrame:
     plain = lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
     cells = F.transform(raw, lambda c: F.trim(plain(c)))
     rows = lines.select("place", cells.alias("c")).filter(F.exists("c", lambda x: x != ""))
-    # a file's few lines; later filters, which may raise, don't pass a window
-    rows = rows.withColumn("first", F.min("place").over(Window.partitionBy()))
-    header = (F.col("place") == F.col("first")) & (F.col("c")[0] == "element") & (F.get("c", F.lit(1)) == "jutsu")
+    first = rows.agg(F.min("place")).scalar()  # not a window, which would bring all lines into one task
+    header = (F.col("place") == first) & (F.col("c")[0] == "element") & (F.get("c", F.lit(1)) == "jutsu")
     rows = rows.filter(~F.coalesce(header, F.lit(False)))
     signs = F.transform(F.filter(F.slice("c", 3, 1 << 20), lambda x: x != ""), F.lower)
     named = rows.select("place", F.get("c", F.lit(1)).alias("name"), F.col("c")[0].alias("element"), signs.alias("signs"))

@@ -226,6 +226,17 @@ def test_pattern_files(spark, tmp_path, capsys):
         patterns.load_patterns(spark, f"{tmp_path}/none.csv", NAMES)
 
 
+def test_pattern_lines_never_meet_in_one_task(spark):
+    """The header is told by the least place, without a window over all lines; its cells are no unknown signs later on."""
+    from sigilframe.operators import sequences
+
+    made = [(3, "\ufeffelement,jutsu,sign1"), (2, " ,,"), *((i, f"x,p{i},ox,hare" + ",ram" * (i % 2)) for i in range(4, 40)), (40, "element,jutsu,dog")]
+    out = patterns.parse_pattern_lines(spark.createDataFrame(made, "place int, line string"), NAMES)
+    assert sorted(r.place for r in out.collect()) == list(range(4, 41))
+    assert {r.name for r in sequences.unreachable(out).collect()} == {f"p{i}" for i in range(5, 40, 2)}
+    assert "Window" not in out._jdf.queryExecution().toString()
+
+
 def test_class_order_is_checked():
     dataset_tree.check_class_order(list(NAMES), NAMES)
     with pytest.raises(ValueError):

@@ -117,6 +117,28 @@ def test_unreachable(spark):
     assert [(r.name, r.blocked_by, r["at"]) for r in out] == [("B", "A", 3)]
 
 
+def most_joined(plan):
+    """The most rows that a join of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_joined(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return most_joined(plan.plan())
+    below = plan.children()
+    own = plan.metrics().get("numOutputRows").get().value() if kind.endswith("JoinExec") else 0
+    return max([own, *(most_joined(below.apply(i)) for i in range(below.size()))])
+
+
+def test_unreachable_does_not_pair_equal_signs(spark):
+    """Of many patterns with the same signs each is told once; the rows on the way don't grow with their square."""
+    signs = [["x", "y"], ["z", "x", "y", "w"], ["x"], []]
+    df = spark.createDataFrame([(i, f"p{i}", signs[i % 4]) for i in range(1600)], "place int, name string, signs array<string>")
+    out = sq.unreachable(df)
+    rows = {r.name: (r.blocked_by, r["at"]) for r in out.collect()}
+    assert rows == {f"p{i}": ("p2", 1) if i % 4 == 0 else ("p0", 3) for i in range(1600) if i % 4 < 2}
+    assert most_joined(out._jdf.queryExecution().executedPlan()) <= 1600
+
+
 def test_progress_ranks_by_depth(spark):
     fs = [(0.0, "ram"), (1.0, "monkey"), (2.0, "tiger")]
     traced = sq.trace(frames(spark, {1: fs}), [SHORT, LONG], Smoothing(1, 1, 1))
