@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def once(path: str, after: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
@@ -49,6 +51,9 @@ def run_to_end(out: DataFrame, path: str, checkpoint: str, after: Callable[[int]
 
 
 def numbered(rows: DataFrame, at: str, part: Column, parts: int) -> None:
-    """Writes rows as a folder of files that a stream reads one after another: those of part 0, 1 and so on."""
+    """Writes rows as a folder of files that a stream reads one after another: those of part 0, 1 and so on. The rows are
+    read once, by all tasks; then each file takes a task that reads its own part only."""
+    rows.withColumn("__part", part.cast("int")).write.partitionBy("__part").parquet(f"{at}-parts")
+    dealt = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("__part", IntegerType())])).parquet(f"{at}-parts")
     for i in range(parts):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(at)
+        dealt.filter(F.col("__part") == i).drop("__part").coalesce(1).write.mode("append").parquet(at)

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from sigilframe.operators import sequences
 from sigilframe.plans import sequence_queries as q
 from sigilframe.plans.stream_queries import ROCKS
 from sigilframe.streaming import once
-from sigilframe.streaming.matching import EXPIRIES, OUTPUT, SessionState, expiry_stream, match_stream
+from sigilframe.streaming.matching import EXPIRIES, OUTPUT, ExpiryProcessor, MatchProcessor, SessionState, expiry_stream, match_stream
 
 
 @pytest.mark.parametrize("mixed", [False, True])
@@ -114,3 +115,67 @@ def test_reset_clears_the_session(spark, tmp_path):
     once.run_to_end(out, f"{tmp_path}/out", f"{tmp_path}/state")
     got = sorted((r.frame, r.sign, r.pattern) for r in once.read_once(spark, f"{tmp_path}/out", OUTPUT).collect())
     assert got == [(1, "click", None), (4, "error", None), (6, "click", None), (8, "error", "broken click")]
+
+
+class Kept:
+    """Of a bucket, what Spark hands over with its rows."""
+
+    exists, hasTimedOut, mark, wake = False, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms >= self.mark
+        self.wake = ms
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_sessions_of_a_bucket_share_calls():
+    """Sessions in one call give what each gives in calls of its own, also null and large ones; those without rows or
+    something due aren't looked at."""
+    rnd, sessions = random.Random(5), [None, str(2**60 + 1), "5", "-7"]
+    rows = [(s, i, i * 1_000_000, rnd.choice(["click", "click", "error", None]), None) for i in range(80) for s in sessions]
+    worked = []
+
+    class Watched(ExpiryProcessor):
+        def work(self, session, *a):
+            worked.append(session)
+            return super().work(session, *a)
+
+    for kind in (MatchProcessor, ExpiryProcessor):
+
+        def run(own, kind=kind):
+            processor, state, out = kind(q.PATTERNS, sequences.Smoothing(3, 2, 2), 2.0, 16, True), Kept(), []
+            for part, mark in ((0, 0), (1, 20_000), (2, 45_000), (None, 200_000)):
+                state.mark, state.hasTimedOut = mark, part is None
+                given = pd.DataFrame([r for r in rows if r[0] in own and r[1] % 3 == part], columns=["session", "frame", "micros", "sign", "control"], dtype=object)
+                for pdf in processor.handle((0,), iter([given]), state):
+                    out += [tuple(None if pd.isna(x) else x for x in r) for r in pdf.itertuples(index=False)]
+            return out
+
+        apart = [r for s in sessions for r in run([s])]
+        together = run(sessions)
+        by = lambda r: tuple(map(str, r))
+        assert sorted(together, key=by) == sorted(apart, key=by) and {r[0] for r in together} == {None, 2**60 + 1, 5, -7}
+    processor, state = Watched(q.PATTERNS, sequences.Smoothing(3, 2, 2), 2.0, 16, True), Kept()
+    given = lambda s: pd.DataFrame([r for r in rows if r[0] in s], columns=["session", "frame", "micros", "sign", "control"], dtype=object)
+    list(processor.handle((0,), iter([given(sessions)]), state))
+    worked.clear()
+    list(processor.handle((0,), iter([given(["5"]).head(1)]), state))
+    assert worked == [5]
+
+
+def test_rows_are_read_once_for_all_files(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    once.numbered(spark.range(60).mapInArrow(count, "id long"), f"{tmp_path}/in", F.col("id") % 3, 4)
+    assert seen.value == 60
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/in").collect()) == list(range(60))
