@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+T = TypeVar("T")
 
 #: A-Z to a-z, and every ASCII byte that belongs to no word to a space.
 FOLD = bytes(
@@ -45,13 +47,34 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task under a name. What it kept under others goes: workers outlive a pipeline's
+    stages, and would else hold at once what each of them remembered."""
+    if name not in _kept:
+        forget()
+        _kept[name] = make()
+    return _kept[name]  # type: ignore[return-value]
+
+
+def forget(but: str = "") -> None:
+    """Drops what the worker keeps, but for one name, and gives unused memory back."""
+    for name in [n for n in _kept if n != but]:
+        del _kept[name]
+    pa.default_memory_pool().release_unused()
+
+
 def map_rows(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, keeps: str = ""
 ) -> DataFrame:
-    """mapInArrow over record batches, which Spark bounds by rows and bytes; no batch waits for another."""
+    """mapInArrow over record batches, which Spark bounds by rows and bytes; no batch waits for another. keeps: the name of
+    what fn keeps from task to task, if anything."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, ensure_checkpoint_dir, fold_words, map_rows, mix, shingle_hashes, ship, spare, texts, word_hashes
+from .common import as_long, ensure_checkpoint_dir, fold_words, forget, map_rows, mix, shingle_hashes, ship, spare, texts, word_hashes
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 
@@ -201,6 +201,7 @@ def compare_blocks(rows: DataFrame, words: int, threshold: Fraction) -> DataFram
         )
 
     def run(batches):
+        forget()
         at, group = None, []
         for batch in batches:
             cols = [batch.column(k) for k in range(9)]

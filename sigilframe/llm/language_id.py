@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, map_rows, ship, spare, texts
+from .common import ensure_checkpoint_dir, kept, map_rows, ship, spare, texts
 
 
 def _ranges(kinds: str) -> str:
@@ -71,9 +71,6 @@ class Memory:
     rows: np.ndarray | None = None
 
 
-_memory = Memory()
-
-
 @dataclass
 class LanguageModel:
     """Words and n-grams have a row each; row r's languages and their gains on the penalty are at starts[r]:starts[r + 1].
@@ -132,16 +129,16 @@ class LanguageModel:
         if not text or not self.languages:
             return UNKNOWN, 0.0, 0.0
         width = len(self.languages) + 2
-        kept = max(1000, self.cells // width)
-        memory = _memory
-        if memory.of != self.key or len(memory.seen) >= kept:
+        most = max(1000, self.cells // width)
+        memory = kept("language", Memory)
+        if memory.of != self.key or len(memory.seen) >= most:
             memory.of, memory.seen, memory.rows = self.key, {}, np.empty((1024, width))
         seen, total, found = memory.seen, np.zeros(width), Counter(text.split())  # no word reaches over a blank
         new = [c for c in found if c not in seen]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             got, first = self.sums(part), len(seen)
-            brief = [k for k, c in enumerate(part) if len(c) <= 64][: max(0, kept - first)]
+            brief = [k for k, c in enumerate(part) if len(c) <= 64][: max(0, most - first)]
             if len(brief) < len(part):  # the others are scored like these, but not remembered
                 rest = np.setdiff1d(np.arange(len(part)), brief)
                 total += np.array([found.pop(part[k]) for k in rest]) @ got[rest]

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, sha_hex, texts
+from .common import kept, map_rows, sha_hex, texts
 
 SPACE = "▁"
 
@@ -205,13 +205,8 @@ class PieceCodec:
         return self.whole.decode(ids)
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(model_file: str) -> PieceCodec:
-    if model_file not in _codecs:
-        _codecs[model_file] = PieceCodec(model_file)
-    return _codecs[model_file]
+    return kept(f"pieces {model_file}", lambda: PieceCodec(model_file))
 
 
 def encode_pieces(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +229,10 @@ def encode_pieces(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
 
     kind = df.schema[id_col].dataType.simpleString()
     out = map_rows(
-        df.select(id_col, text_col), run, f"id {kind}, ids array<int>, begins array<bigint>, ends array<bigint>"
+        df.select(id_col, text_col),
+        run,
+        f"id {kind}, ids array<int>, begins array<bigint>, ends array<bigint>",
+        keeps=f"pieces {model_file}",
     )
     return out.withColumnRenamed("id", id_col)
 
@@ -264,4 +262,4 @@ def piece_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint"
-    return map_rows(df.select(id_col, text_col), run, schema).withColumnRenamed("id", id_col)
+    return map_rows(df.select(id_col, text_col), run, schema, keeps=f"pieces {model_file}").withColumnRenamed("id", id_col)

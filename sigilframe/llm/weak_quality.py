@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship, spare, texts
+from .common import kept, map_rows, ship, spare, texts
 from .text_measures import Measures, measure
 
 GOOD, BAD, NONE = 1, -1, 0
@@ -288,9 +288,6 @@ def train(docs: DataFrame, sample: int = 3000, text_col: str = "text") -> tuple[
     return labels, fit_scorer(rows, good)
 
 
-_features = Features()
-
-
 def score_column(df: DataFrame, scorer: Scorer, text: Column) -> Column:
     """The scorer's probability that a text is good."""
     ship(df.sparkSession)
@@ -298,9 +295,8 @@ def score_column(df: DataFrame, scorer: Scorer, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        from sigilframe.llm.weak_quality import _features
-
-        return pa.array([sent.value.score(_features(t)) for t in texts(column)], pa.float64())
+        features = kept("features", Features)
+        return pa.array([sent.value.score(features(t)) for t in texts(column)], pa.float64())
 
     return score(text)
 
